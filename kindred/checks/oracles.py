@@ -1,0 +1,466 @@
+"""The same results as the queries, in DuckDB SQL over the same tables."""
+
+from __future__ import annotations
+
+from kindred.checks.queries import (
+    DOCUMENT_CONFIG, DOCUMENT_MODEL, PARTY_CONFIG, PARTY_MODEL, TRAIN_ROUNDS,
+)
+from kindred.functions.compare import LEVELS, top_level
+from kindred.functions.text import WHITE_SPACE
+from kindred.linkage.train import LOWEST_M, MAX_RANDOM_PAIRS, RECALL, start_m
+
+_SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
+TRIMMED_TEXT = f"lower(trim(text, {_SPACES}))"
+
+
+# --- comparison levels --------------------------------------------------------------------------
+
+def level_sql(kind: str, a: str, b: str) -> str:
+    if kind == "exact":
+        tests = f"WHEN {a} = {b} THEN 1"
+    elif kind == "name":
+        jw = f"jaro_winkler_similarity({a}, {b})"
+        tests = (f"WHEN {a} = {b} THEN 4 WHEN {jw} >= 0.92 THEN 3 WHEN {jw} >= 0.88 THEN 2 "
+                 f"WHEN {jw} >= 0.70 THEN 1")
+    elif kind == "email":
+        ua, ub = (f"regexp_extract({x}, '^[^@]+')" for x in (a, b))
+        tests = (f"WHEN {a} = {b} THEN 4 WHEN {ua} = {ub} AND {ua} <> '' THEN 3 "
+                 f"WHEN jaro_winkler_similarity({a}, {b}) >= 0.88 THEN 2 "
+                 f"WHEN jaro_winkler_similarity({ua}, {ub}) >= 0.88 THEN 1")
+    elif kind == "phone":
+        tests = (f"WHEN {a} = {b} THEN 3 WHEN levenshtein({a}, {b}) <= 1 THEN 2 "
+                 f"WHEN levenshtein({a}, {b}) <= 2 THEN 1")
+    else:
+        da, db = (f"try_strptime({x}, '%Y-%m-%d')::DATE" for x in (a, b))
+        days = f"abs(datediff('day', {da}, {db}))"
+        tests = (f"WHEN {da} IS NULL OR {db} IS NULL THEN -1 WHEN {a} = {b} THEN 5 "
+                 f"WHEN damerau_levenshtein({a}, {b}) <= 1 THEN 4 WHEN {days} <= 30.4375 THEN 3 "
+                 f"WHEN {days} <= 365.25 THEN 2 WHEN {days} <= 3652.5 THEN 1")
+    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN -1 {tests} ELSE 0 END)"
+
+
+def weight_sql(model, gammas: list[str]) -> str:
+    parts = [repr(model.prior_weight)]
+    for gamma, column in zip(gammas, model.comparisons):
+        whens = " ".join(f"WHEN {k} THEN {w!r}" for k, w in enumerate(model.weights(column)))
+        parts.append(f"(CASE {gamma} WHEN -1 THEN 0.0 {whens} END)::DOUBLE")
+    return " + ".join(parts)
+
+
+# --- fuzzy dedup --------------------------------------------------------------------------------
+
+def fuzzy_ctes(source: str, threshold: int, block_size: int) -> str:
+    """``source``: a query of id and key. Ends in member(id, key, block, rep).
+
+    LCS by the bit-vector recurrence, one character of the second text per recursion step; then
+    the loop over keys in id order, one key per recursion step.
+    """
+    return f"""
+  src AS ({source}),
+  tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, {block_size}) AS block,
+            array_to_string(list_sort(list_filter(
+              regexp_split_to_array(lower(key), '\\s+'), lambda w: w <> '')), ' ') AS text
+          FROM src),
+  node AS (SELECT block, text, min(id) AS id FROM tok GROUP BY block, text),
+  letter AS (SELECT id, unnest(range(0, length(text))) AS pos, text FROM node),
+  mask AS (SELECT id, text[pos + 1] AS ch, sum(1::HUGEINT << pos::INT)::HUGEINT AS bits
+           FROM letter GROUP BY ALL),
+  d AS (SELECT a.id AS ia, b.id AS ib, length(a.text) AS la, b.text AS b, 0 AS i,
+               ((1::HUGEINT << length(a.text)::INT) - 1)::HUGEINT AS v
+        FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
+        UNION ALL
+        SELECT ia, ib, la, b, i + 1,
+               (((v + (v & coalesce(m.bits, 0::HUGEINT))) | (v - (v & coalesce(m.bits, 0::HUGEINT))))
+                & ((1::HUGEINT << la::INT) - 1))::HUGEINT
+        FROM d LEFT JOIN mask m ON m.id = d.ia AND m.ch = d.b[d.i + 1]
+        WHERE i < length(b)),
+  edge AS (SELECT ia, ib FROM d
+           WHERE i = length(b)
+             AND 200 * (la - bit_count(v)) >= {threshold} * (la + length(b))),
+  near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
+             coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
+           FROM node LEFT JOIN edge ON node.id = edge.ib GROUP BY node.id),
+  g AS (SELECT rn, idx, idx AS rep, [idx] AS reps FROM near WHERE rn = 1
+        UNION ALL
+        SELECT n.rn, n.idx,
+          coalesce(list_filter(n.ns, lambda q: list_contains(g.reps, q))[1], n.idx),
+          CASE WHEN len(list_filter(n.ns, lambda q: list_contains(g.reps, q))) = 0
+               THEN list_append(g.reps, n.idx) ELSE g.reps END
+        FROM g JOIN near n ON n.rn = g.rn + 1),
+  member AS (SELECT tok.id, tok.key, tok.block, g.rep
+             FROM tok JOIN node ON tok.block = node.block AND tok.text = node.text
+             JOIN g ON g.idx = node.id)"""
+
+
+FUZZY_AUDIT = """
+  SELECT row_number() OVER (ORDER BY start, rep) AS group_id, 'fuzzy' AS method, key,
+         rep AS kept_index, removed AS removed_indices, n AS n_duplicates
+  FROM (SELECT rep, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (id <> rep) AS removed,
+               count(*) - 1 AS n, min(key) FILTER (id = rep) AS key,
+               min(block) AS block
+        FROM member GROUP BY rep HAVING count(*) > 1) x
+  JOIN (SELECT block, min(id) AS start FROM member GROUP BY block) s USING (block)"""
+
+
+def fuzzy_audit(source: str, threshold: int, block_size: int) -> str:
+    return f"WITH RECURSIVE {fuzzy_ctes(source, threshold, block_size)} {FUZZY_AUDIT}"
+
+
+PART_KEYS = "SELECT p_partkey AS id, concat(p_name, ' | ', p_type) AS key FROM part"
+
+
+# --- exact dedup --------------------------------------------------------------------------------
+
+def exact_audit(table: str, id_: str, by: str, key: str, method: str = "exact") -> str:
+    return f"""
+  SELECT row_number() OVER (ORDER BY min(id)) AS group_id, '{method}' AS method,
+         any_value(key) AS key, min(id) AS kept_index,
+         array_to_string(list_sort(list(id))[2:], ',') AS removed_indices,
+         count(*) - 1 AS n_duplicates
+  FROM (SELECT {id_} AS id, {by} AS k, {key} AS key FROM {table})
+  GROUP BY k HAVING count(*) > 1"""
+
+
+EVENT_KEY = "(user_id, event_type)"
+EVENT_TEXT = "concat(user_id, ' | ', event_type)"
+EVENT_MEMBERS = f"""
+  WITH a AS ({exact_audit('events', 'event_id', EVENT_KEY, EVENT_TEXT)})
+  SELECT group_id, method, kept_index, unnest(string_split(removed_indices, ','))::BIGINT AS removed_index
+  FROM a"""
+
+
+# --- linkage ------------------------------------------------------------------------------------
+
+PEOPLE = """
+  people AS (SELECT c_custkey AS id, c_name AS name,
+      concat(lower(regexp_replace(c_name, '#0*', '.')), '@', lower(c_mktsegment), '.example') AS email,
+      c_acctbal::VARCHAR AS phone, c_mktsegment AS segment,
+      c_nationkey AS nation FROM customer)"""
+
+
+def people_levels(kind: str, column: str, grp: str = "concat(nation, '/', segment)") -> str:
+    return f"""
+  WITH {PEOPLE}, rec AS (SELECT id, {column} AS v, {grp} AS grp FROM people)
+  SELECT l.id AS id_l, r.id AS id_r, {level_sql(kind, 'l.v', 'r.v')}::INT AS gamma
+  FROM rec l JOIN rec r ON l.grp = r.grp AND l.id < r.id"""
+
+
+DOCUMENT_RECORDS = """
+  rec AS (SELECT min(doc_id) AS id, count(*) AS copies, md5(text) AS text, source, lang,
+            n_chars::VARCHAR AS n_chars
+          FROM documents GROUP BY md5(text), source, lang, n_chars)"""
+DOCUMENT_PAIRS = f"""
+  {DOCUMENT_RECORDS},
+  cand AS (
+    SELECT l.id AS id_l, r.id AS id_r, l.copies AS copies_l, r.copies AS copies_r,
+           CASE WHEN l.text = r.text THEN 0 ELSE 1 END AS match_key,
+           {level_sql('exact', 'l.text', 'r.text')} AS gamma_0,
+           {level_sql('exact', 'l.source', 'r.source')} AS gamma_1,
+           {level_sql('exact', 'l.lang', 'r.lang')} AS gamma_2,
+           {level_sql('phone', 'l.n_chars', 'r.n_chars')} AS gamma_3
+    FROM rec l JOIN rec r ON l.id < r.id AND (l.text = r.text OR l.n_chars = r.n_chars))"""
+_DOC_GAMMAS = [f"gamma_{i}" for i in range(4)]
+DOCUMENT_SCORED = f"""
+  {DOCUMENT_PAIRS},
+  weighed AS (SELECT *, {weight_sql(DOCUMENT_MODEL, _DOC_GAMMAS)} AS match_weight FROM cand),
+  scored AS (SELECT *, 1.0 / (1.0 + pow(2.0::DOUBLE, -match_weight)) AS match_probability
+             FROM weighed WHERE 1.0 / (1.0 + pow(2.0::DOUBLE, -match_weight)) >= {DOCUMENT_CONFIG.threshold})"""
+_OWN_WEIGHT = weight_sql(DOCUMENT_MODEL, ["1", "1", "1", "3"])
+DOCUMENT_CLUSTERS = f"""
+  {DOCUMENT_SCORED},
+  own AS (SELECT id, p FROM (SELECT id, 1.0 / (1.0 + pow(2.0::DOUBLE, -({_OWN_WEIGHT}))) AS p
+          FROM rec WHERE copies > 1) WHERE p >= {DOCUMENT_CONFIG.threshold}),
+  both_ways AS (SELECT id_l AS a, id_r AS b FROM scored UNION SELECT id_r, id_l FROM scored),
+  reach AS (SELECT a AS id, a AS root FROM both_ways
+            UNION
+            SELECT e.b, reach.root FROM reach JOIN both_ways e ON e.a = reach.id),
+  label AS (SELECT id, min(root) AS component FROM reach GROUP BY id
+            UNION ALL SELECT id, id FROM own WHERE id NOT IN (SELECT id FROM reach)),
+  sure AS (SELECT component, round_even(min(p), 4) AS match_probability
+           FROM (SELECT id_l AS id, match_probability AS p FROM scored UNION ALL SELECT id, p FROM own)
+           JOIN label USING (id) GROUP BY component),
+  member AS (SELECT doc_id AS id, component, d.text, d.source, d.lang, d.n_chars
+             FROM documents d JOIN rec ON md5(d.text) = rec.text AND d.source = rec.source
+               AND d.lang = rec.lang AND d.n_chars::VARCHAR = rec.n_chars
+             JOIN label ON label.id = rec.id)"""
+DOCUMENT_AUDIT = """
+  SELECT row_number() OVER (ORDER BY component) AS group_id, 'probabilistic' AS method,
+         md5(key) AS key, component AS kept_index, removed AS removed_indices,
+         n AS n_duplicates, match_probability
+  FROM (SELECT component, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (id <> component) AS removed,
+               count(*) - 1 AS n,
+               min(concat(text, ' | ', source, ' | ', lang, ' | ', n_chars)) FILTER (id = component) AS key
+        FROM member GROUP BY component HAVING count(*) > 1)
+  JOIN sure USING (component)"""
+
+PARTY_A = """
+  SELECT c_custkey AS id, c_name AS name, c_nationkey::VARCHAR AS nation,
+         floor(c_acctbal)::BIGINT::VARCHAR AS balance FROM customer"""
+PARTY_B = """
+  SELECT s_suppkey AS id, s_name AS name, s_nationkey::VARCHAR AS nation,
+         floor(s_acctbal)::BIGINT::VARCHAR AS balance FROM supplier"""
+_PARTY_LEVELS = ", ".join(
+    f"{level_sql(kind, f'l.{c}', f'r.{c}')} AS gamma_{i}"
+    for i, (c, kind) in enumerate(PARTY_CONFIG.comparisons.items())
+)
+PARTY_SCORED = f"""
+  a AS ({PARTY_A}), b AS ({PARTY_B}),
+  cand AS (SELECT l.id AS index_a, r.id AS index_b, {_PARTY_LEVELS}
+           FROM a l JOIN b r ON l.nation = r.nation OR l.balance = r.balance),
+  scored AS (SELECT *, 1.0 / (1.0 + pow(2.0::DOUBLE,
+               -({weight_sql(PARTY_MODEL, ['gamma_0', 'gamma_1', 'gamma_2'])}))) AS p FROM cand)"""
+PARTY_PAIRS = f"""
+  WITH {PARTY_SCORED}
+  SELECT index_a, index_b, round_even(p, 4) AS match_probability FROM scored
+  WHERE p >= {PARTY_CONFIG.threshold}"""
+
+
+# --- training -----------------------------------------------------------------------------------
+
+SUPPLIER_KINDS = {"name": "name", "nation": "exact", "balance": "phone"}
+
+
+def training_ctes(source: str, kinds: dict[str, str], rounds: int) -> str:
+    """Prior, u and unrolled EM rounds; every compared column is also a blocking column.
+
+    Valid while all pairs of rows are at most MAX_RANDOM_PAIRS.
+    """
+    cols = list(kinds)
+    gammas = ", ".join(f"{level_sql(k, f'l.{c}', f'r.{c}')} AS g{i}" for i, (c, k) in enumerate(kinds.items()))
+    equals = ", ".join(f"coalesce(l.{c} = r.{c}, false) AS e{i}" for i, c in enumerate(cols))
+    any_equal = " OR ".join(f"e{i}" for i in range(len(cols)))
+    levels = [(i, k) for i, c in enumerate(cols) for k in range(top_level(kinds[c]) + 1)]
+    u = ", ".join(
+        f"greatest(count(*) FILTER (g{i} = {k}) / greatest(count(*) FILTER (g{i} >= 0), 1)::DOUBLE, "
+        f"0.5 / count(*)) AS u{i}_{k}"
+        for i, k in levels
+    )
+    out = [
+        f"r0 AS ({source})",
+        f"p AS (SELECT {gammas}, {equals} FROM r0 l JOIN r0 r ON l.id < r.id)",
+        f"u AS (SELECT count(*) AS total, {u}, "
+        f"least(greatest(count(*) FILTER ({any_equal}) / {RECALL} / count(*), 1e-12), 1 - 1e-6) AS prior FROM p)",
+        f"pat AS (SELECT *, count(*) AS n FROM p WHERE {any_equal} GROUP BY ALL)",
+    ]
+    starts = {c: start_m(kind).tolist() for c, kind in kinds.items()}
+    for j, fixed in enumerate(cols):
+        top = top_level(kinds[fixed])
+        first = ", ".join(f"{starts[cols[i]][k]!r}::DOUBLE AS m{i}_{k}" for i, k in levels)
+        out.append(
+            f"s{j}_0 AS (SELECT o / (1 + o) AS prior, {first} FROM "
+            f"(SELECT prior / (1 - prior) * 0.95 / u{j}_{top} AS o FROM u) "
+            f"WHERE EXISTS (SELECT 1 FROM pat WHERE e{j}))"
+        )
+        for r in range(1, rounds + 1):
+            terms = "".join(
+                f" + CASE g{i} " + " ".join(
+                    f"WHEN {k} THEN ln(s.m{i}_{k} / u.u{i}_{k})" for i2, k in levels if i2 == i
+                ) + " ELSE 0 END"
+                for i in range(len(cols)) if i != j
+            )
+            new = ", ".join(
+                (f"coalesce(greatest(coalesce(sum(w) FILTER (g{i} = {k}), 0) / "
+                 f"nullif(sum(w) FILTER (g{i} >= 0), 0), {LOWEST_M}), any_value(m{i}_{k})) AS m{i}_{k}")
+                if i != j else f"any_value(m{i}_{k}) AS m{i}_{k}"
+                for i, k in levels
+            )
+            out.append(
+                f"s{j}_{r} AS (SELECT least(greatest(sum(w) / sum(n), 1e-12), 1 - 1e-12) AS prior, {new} "
+                f"FROM (SELECT pat.*, s.* EXCLUDE (prior), "
+                f"pat.n / (1 + exp(-(ln(s.prior / (1 - s.prior)){terms}))) AS w "
+                f"FROM pat, s{j}_{r - 1} s, u WHERE pat.e{j}) HAVING count(*) > 0)"
+            )
+    found = " UNION ALL ".join(
+        f"SELECT {i} AS c, {k} AS k, (SELECT m{i}_{k} FROM s{j}_{rounds} "
+        f"WHERE EXISTS (SELECT 1 FROM pat WHERE e{j} AND g{i} = {k})) AS m, {starts[cols[i]][k]!r} AS start"
+        for i, k in levels for j in range(len(cols)) if i != j
+    )
+    out.append(f"found AS ({found})")
+    out.append(
+        "share AS (SELECT c, k, greatest(coalesce(median(m), any_value(start)), "
+        f"{LOWEST_M}) AS m FROM found GROUP BY c, k)"
+    )
+    names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols))
+    us = " UNION ALL ".join(f"SELECT {i} AS c, {k} AS k, u{i}_{k} AS u FROM u" for i, k in levels)
+    out.append(
+        f"trained AS (SELECT CASE share.c {names} END AS comparison, share.k AS level, "
+        f"share.m / sum(share.m) OVER (PARTITION BY share.c) AS m, x.u, u.prior "
+        f"FROM share JOIN ({us}) x ON x.c = share.c AND x.k = share.k, u)"
+    )
+    return ",\n  ".join(out)
+
+
+_TRAINED = training_ctes(PARTY_B, SUPPLIER_KINDS, TRAIN_ROUNDS)
+
+
+def _document_shares() -> str:
+    rows = []
+    for c, kind in DOCUMENT_MODEL.comparisons.items():
+        for k in range(len(LEVELS[kind])):
+            rows.append(f"('{c}', {k}, {DOCUMENT_MODEL.m[c][k]!r}::DOUBLE, {DOCUMENT_MODEL.u[c][k]!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+def _explain() -> str:
+    parts = []
+    for i, (c, kind) in enumerate(DOCUMENT_MODEL.comparisons.items()):
+        labels = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(LEVELS[kind]))
+        weights = " ".join(f"WHEN {k} THEN {w!r}" for k, w in enumerate(DOCUMENT_MODEL.weights(c)))
+        parts.append(
+            f"SELECT id_l, id_r, '{c}' AS comparison, gamma_{i} AS level, "
+            f"CASE gamma_{i} WHEN -1 THEN 'missing' {labels} END AS label, "
+            f"round_even((CASE gamma_{i} WHEN -1 THEN 0.0 {weights} END)::DOUBLE, 6) AS log2_weight FROM scored"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _null_share(position: int, column: str) -> str:
+    return (f"SELECT {position} AS position, '{column}' AS \"column\", "
+            f"round_even(100.0::DOUBLE * count(*) FILTER ({column} IS NULL) / count(*), 2) AS null_pct FROM t")
+
+
+_LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
+ORACLES = {
+    "profile_summary_events": """
+      SELECT (SELECT count(*) FROM events) AS n_rows, 6 AS n_cols,
+             (SELECT count(*) FROM events) - (SELECT count(*) FROM (SELECT DISTINCT * FROM events)) AS exact_duplicates""",
+    "profile_dup_rows_part": """
+      WITH t AS (SELECT p_name, p_brand, p_type, p_size FROM part)
+      SELECT (SELECT count(*) FROM t) AS n_rows, 4 AS n_cols,
+             (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS exact_duplicates""",
+    "profile_columns_labelled_documents":
+        "WITH t AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) "
+        + " UNION ALL ".join(_null_share(i, c) for i, c in enumerate(_LABELLED)),
+    "normalize_customer_name": """
+      SELECT c_custkey, lower(trim(c_name)) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer""",
+    "normalize_email_like_urls": "SELECT page_id, lower(trim(url)) AS url FROM pages",
+    "normalize_phone_digits_documents":
+        "SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS text FROM documents",
+    "normalize_trim_documents": f"SELECT doc_id, md5(trim(text, {_SPACES})) AS text FROM documents",
+    "row_ids_orders": """
+      SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _row_id, o_orderkey FROM orders""",
+    "combined_key_part": """
+      SELECT p_partkey, concat(p_name, ' | ', p_type, ' | ', p_size) AS key FROM part""",
+    "preview_customer": "SELECT *, c_custkey AS _row_id FROM customer ORDER BY c_custkey LIMIT 50",
+    "common_columns_parties": f"""
+      SELECT id, name, nation::INT AS nation, balance FROM ({PARTY_A})
+      UNION ALL SELECT id, name, nation::INT, balance FROM ({PARTY_B})""",
+    "dedup_exact_documents": f"""
+      SELECT doc_id, md5(t) AS text, lang, source, n_chars FROM (
+        SELECT *, {TRIMMED_TEXT} AS t, row_number() OVER (PARTITION BY {TRIMMED_TEXT} ORDER BY doc_id) AS rn
+        FROM documents) WHERE rn = 1""",
+    "dedup_exact_audit_documents":
+        exact_audit("documents", "doc_id", TRIMMED_TEXT, f"md5({TRIMMED_TEXT})"),
+    "dedup_exact_events_multi_key": """
+      SELECT event_id, ts, user_id, event_type, value, props FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events)
+      WHERE rn = 1""",
+    "audit_members_events": EVENT_MEMBERS,
+    "audit_members_from_audit_events": EVENT_MEMBERS,
+    "dedup_summary_events": """
+      SELECT n_in, n_in - n_out AS n_removed, n_out FROM (
+        SELECT count(*) AS n_in, count(DISTINCT (user_id, event_type)) AS n_out FROM events)""",
+    "block_pairs_part": f"""
+      WITH n AS (SELECT lower(key) AS key, substring(lower(key), 1, 1) AS block, min(id) AS id
+                 FROM ({PART_KEYS}) GROUP BY ALL)
+      SELECT l.block, l.id AS id_l, r.id AS id_r FROM n l JOIN n r ON l.block = r.block AND l.id < r.id""",
+    "block_forecast_part": f"""
+      SELECT block, n AS n_rows, n * (n - 1) // 2 AS n_pairs FROM (
+        SELECT substring(lower(key), 1, 1) AS block, count(*) AS n FROM ({PART_KEYS}) GROUP BY 1)""",
+    "block_forecast_documents": """
+      SELECT lang, n AS n_rows, n * (n - 1) // 2 AS n_pairs FROM (
+        SELECT lang, count(*) AS n FROM documents GROUP BY 1)""",
+    "token_sort_ratio_part": f"""
+      WITH RECURSIVE {fuzzy_ctes("SELECT p_partkey AS id, p_name AS key FROM part", 0, 1)}, 
+      k AS (SELECT key, block, text, min(id) AS id FROM tok GROUP BY ALL),
+      s AS (SELECT ia, ib, 200.0::DOUBLE * (la - bit_count(v)) / (la + length(b)) AS score FROM d WHERE i = length(b)),
+      node_of AS (SELECT k.*, node.id AS nid FROM k JOIN node ON k.block = node.block AND k.text = node.text)
+      SELECT l.key AS key_l, r.key AS key_r,
+             round_even(CASE WHEN l.nid = r.nid THEN 100.0 ELSE s.score END, 6) AS score
+      FROM node_of l JOIN node_of r ON l.block = r.block AND l.id < r.id
+      LEFT JOIN s ON s.ia = least(l.nid, r.nid) AND s.ib = greatest(l.nid, r.nid)""",
+    "dedup_fuzzy_part": f"""
+      WITH RECURSIVE {fuzzy_ctes(PART_KEYS, 85, 1)}
+      SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part
+      WHERE p_partkey IN (SELECT id FROM member WHERE id = rep)""",
+    "dedup_fuzzy_audit_part": fuzzy_audit(PART_KEYS, 85, 1),
+    "dedup_fuzzy_audit_urls": fuzzy_audit("SELECT page_id AS id, url AS key FROM pages", 90, 8),
+    "dedup_fuzzy_customer_names":
+        fuzzy_audit("SELECT c_custkey AS id, c_name AS key FROM customer", 94, 1),
+    "clean_exact_then_fuzzy_part": f"""
+      WITH RECURSIVE
+      keyed AS (SELECT p_partkey AS id, concat(lower(trim(p_name)), ' | ', p_type) AS key FROM part),
+      first_stage AS ({exact_audit('keyed', 'id', 'key', 'key')}),
+      {fuzzy_ctes("SELECT min(id) AS id, key FROM keyed GROUP BY key", 85, 1)},
+      second_stage AS ({FUZZY_AUDIT})
+      SELECT * FROM first_stage
+      UNION ALL
+      SELECT group_id + (SELECT coalesce(max(group_id), 0) FROM first_stage), method, key, kept_index,
+             removed_indices, n_duplicates FROM second_stage""",
+    "audit_union": f"""
+      WITH RECURSIVE {DOCUMENT_CLUSTERS},
+      e AS ({exact_audit('events', 'event_id', EVENT_KEY, f'md5({EVENT_TEXT})')})
+      SELECT *, NULL::DOUBLE AS match_probability FROM e UNION ALL BY NAME ({DOCUMENT_AUDIT})""",
+    "compare_exact_people": people_levels("exact", "segment", "nation"),
+    "compare_name_people": people_levels("name", "name"),
+    "compare_email_people": people_levels("email", "email"),
+    "compare_phone_people": people_levels("phone", "phone"),
+    "compare_date_orders": f"""
+      WITH o AS (SELECT o_orderkey AS id, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders)
+      SELECT l.id AS id_l, r.id AS id_r, {level_sql('date', 'l.v', 'r.v')}::INT AS gamma
+      FROM o l JOIN o r ON l.o_custkey = r.o_custkey AND l.id < r.id""",
+    "candidate_pairs_documents":
+        f"WITH {DOCUMENT_PAIRS} SELECT id_l, id_r, copies_l, copies_r, match_key FROM cand",
+    "link_candidates_parties": f"""
+      WITH a AS ({PARTY_A}), b AS ({PARTY_B})
+      SELECT l.id AS id_l, r.id AS id_r, CASE WHEN l.nation = r.nation THEN 0 ELSE 1 END AS match_key
+      FROM a l JOIN b r ON l.nation = r.nation OR l.balance = r.balance""",
+    "prior_documents": f"""
+      WITH t AS (SELECT doc_id, md5(text) AS text, n_chars FROM documents),
+      n AS (SELECT count(*) FILTER (l.text = r.text OR l.n_chars = r.n_chars) AS agreeing,
+                   count(*) FILTER (l.text = r.text) AS equal_text,
+                   count(*) FILTER (l.n_chars = r.n_chars) AS equal_n_chars
+            FROM t l JOIN t r ON l.doc_id < r.doc_id),
+      c AS (SELECT count(*) AS rows FROM t)
+      SELECT agreeing, equal_text, equal_n_chars,
+             round_even(agreeing / {RECALL}::DOUBLE / (rows * (rows - 1) // 2), 10) AS prior FROM n, c""",
+    "prior_parties": f"""
+      WITH a AS ({PARTY_A}), b AS ({PARTY_B})
+      SELECT count(*) FILTER (l.nation = r.nation OR l.balance = r.balance) AS agreeing,
+             count(*) FILTER (l.nation = r.nation) AS equal_nation,
+             count(*) FILTER (l.balance = r.balance) AS equal_balance
+      FROM a l, b r""",
+    "u_shares_suppliers": f"""
+      WITH {_TRAINED} SELECT comparison, level, round_even(u, 8) AS u FROM trained""",
+    "trained_weights_suppliers": f"""
+      WITH {_TRAINED}
+      SELECT comparison, level, round_even(m, 6) AS m, round_even(u, 6) AS u, round_even(prior, 8) AS prior
+      FROM trained""",
+    "predict_fixed_weights_documents": f"""
+      WITH {DOCUMENT_SCORED}
+      SELECT id_l, id_r, gamma_0, gamma_1, gamma_2, gamma_3, round_even(match_weight, 6) AS match_weight,
+             round_even(match_probability, 6) AS match_probability FROM scored""",
+    "cluster_documents": """
+      WITH RECURSIVE t AS (SELECT doc_id AS id, md5(text) AS text, source, n_chars FROM documents),
+      e AS (SELECT l.id AS a, r.id AS b FROM t l JOIN t r ON l.id <> r.id
+            AND (l.text = r.text OR (l.source = r.source AND l.n_chars = r.n_chars))),
+      reach AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id)
+      SELECT id AS node, min(root) AS component FROM reach GROUP BY id""",
+    "dedupe_prob_audit_documents": f"WITH RECURSIVE {DOCUMENT_CLUSTERS} {DOCUMENT_AUDIT}",
+    "dedupe_prob_clean_documents": f"""
+      WITH RECURSIVE {DOCUMENT_CLUSTERS}
+      SELECT doc_id, lang, source, n_chars FROM documents
+      WHERE doc_id NOT IN (SELECT id FROM member WHERE id <> component)""",
+    "link_pairs_parties": PARTY_PAIRS,
+    "link_audit_parties": f"SELECT 'link' AS method, * FROM ({PARTY_PAIRS})",
+    "match_weights_documents": f"""
+      SELECT c AS comparison, k AS level, round_even(m / u, 6) AS bayes_factor,
+             round_even(log2(m / u), 6) AS log2_weight FROM (VALUES {_document_shares()}) v(c, k, m, u)""",
+    "explain_pairs_documents": f"WITH {DOCUMENT_SCORED} {_explain()}",
+    "csv_round_trip_customer": "SELECT * FROM customer",
+    "csv_round_trip_conversations":
+        "SELECT conv_id, turn, role, md5(text) AS text FROM conversations",
+    "parquet_round_trip_events": "SELECT event_id, user_id, event_type, value, props FROM events",
+}
+assert MAX_RANDOM_PAIRS >= 499_500  # the training SQL takes all pairs of up to 1000 suppliers

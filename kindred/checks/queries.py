@@ -1,0 +1,485 @@
+"""Queries over whole test tables. Each takes (spark, folder of parquet tables)."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kindred.config import LinkConfig
+from kindred.errors import CleaningError
+from kindred.functions.distance import indel_ratio
+from kindred.functions.text import combined_key, sorted_tokens
+from kindred.linkage.candidates import candidate_pairs, with_levels
+from kindred.linkage.model import LinkModel, explain_pairs, match_weights
+from kindred.linkage.records import merge_copies, record_rows
+from kindred.linkage.runs import dedupe_records, link_records, score
+from kindred.linkage.train import (
+    Patterns, agreeing_on_any, all_pairs_of, estimate_prior, random_patterns, train, u_shares,
+)
+from kindred.operators.audit import audit_members, summary, union_audits
+from kindred.operators.clean import clean_table
+from kindred.operators.cluster import connected_components
+from kindred.operators.exact import dedup_exact
+from kindred.operators.fuzzy import block_pairs, dedup_fuzzy, match_keys
+from kindred.operators.normalize import normalize
+from kindred.operators.profile import common_columns, preview, profile_columns, profile_summary
+from kindred.plans.ids import with_row_id
+from kindred.plans.pairs import pair_forecast
+from kindred.sources.tables import read_table, write_table
+
+# Fixed models, so that scoring can be checked apart from training.
+DOCUMENT_CONFIG = LinkConfig(
+    {"text": "exact", "source": "exact", "lang": "exact", "n_chars": "phone"},
+    threshold=0.9, blocking=("text", "n_chars"),
+)
+DOCUMENT_MODEL = LinkModel(
+    0.001, DOCUMENT_CONFIG.comparisons,
+    {"text": [0.1, 0.9], "source": [0.7, 0.3], "lang": [0.05, 0.95],
+     "n_chars": [0.05, 0.05, 0.1, 0.8]},
+    {"text": [0.999, 0.001], "source": [0.95, 0.05], "lang": [0.55, 0.45],
+     "n_chars": [0.9, 0.06, 0.03, 0.01]},
+)
+PARTY_CONFIG = LinkConfig(
+    {"name": "name", "nation": "exact", "balance": "phone"}, threshold=0.3,
+    blocking=("nation", "balance"),
+)
+PARTY_MODEL = LinkModel(
+    0.01, PARTY_CONFIG.comparisons,
+    {"name": [0.1, 0.2, 0.2, 0.2, 0.3], "nation": [0.05, 0.95],
+     "balance": [0.1, 0.2, 0.3, 0.4]},
+    {"name": [0.5, 0.3, 0.1, 0.09, 0.01], "nation": [0.96, 0.04],
+     "balance": [0.9, 0.09, 0.009, 0.001]},
+)
+TRAIN_ROUNDS = 5
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# --- profile, normalise, ids -------------------------------------------------------------------
+
+def profile_summary_events(spark, folder):
+    return profile_summary(table(spark, folder, "events"))
+
+
+def profile_dup_rows_part(spark, folder):
+    part = table(spark, folder, "part").drop("p_partkey", "p_retailprice")
+    return profile_summary(part)
+
+
+def profile_columns_labelled_documents(spark, folder):
+    labelled = table(spark, folder, "documents").join(
+        table(spark, folder, "labels"), "doc_id", "left"
+    )
+    return profile_columns(labelled).drop("dtype")
+
+
+def normalize_customer_name(spark, folder):
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return normalize(customer, {"c_name": ["trim", "lowercase"], "c_mktsegment": ["lowercase"]})
+
+
+def normalize_email_like_urls(spark, folder):
+    return normalize(table(spark, folder, "pages").select("page_id", "url"), {"url": ["email"]})
+
+
+def normalize_phone_digits_documents(spark, folder):
+    return normalize(table(spark, folder, "documents").select("doc_id", "text"), {"text": ["phone"]})
+
+
+def normalize_trim_documents(spark, folder):
+    out = normalize(table(spark, folder, "documents").select("doc_id", "text"), {"text": ["trim"]})
+    return out.withColumn("text", F.md5("text"))
+
+
+def row_ids_orders(spark, folder):
+    orders = table(spark, folder, "orders")
+    return with_row_id(orders, order_by=["o_orderdate", "o_orderkey"]).select("_row_id", "o_orderkey")
+
+
+def combined_key_part(spark, folder):
+    part = table(spark, folder, "part")
+    return part.select("p_partkey", combined_key(part, ["p_name", "p_type", "p_size"]).alias("key"))
+
+
+def preview_customer(spark, folder):
+    return preview(with_row_id(table(spark, folder, "customer"), id_col="c_custkey"), 50)
+
+
+def common_columns_parties(spark, folder):
+    shared = common_columns(*parties(spark, folder))
+    a, b = parties(spark, folder)
+    return a.select(shared).unionByName(b.select(shared))
+
+
+# --- exact and fuzzy dedup ---------------------------------------------------------------------
+
+def _trimmed_documents(spark, folder):
+    return normalize(table(spark, folder, "documents"), {"text": ["trim", "lowercase"]})
+
+
+def dedup_exact_documents(spark, folder):
+    out = dedup_exact(_trimmed_documents(spark, folder), ["text"], id_col="doc_id")
+    return out.clean.select("doc_id", F.md5("text").alias("text"), "lang", "source", "n_chars")
+
+
+def dedup_exact_audit_documents(spark, folder):
+    out = dedup_exact(_trimmed_documents(spark, folder), ["text"], id_col="doc_id")
+    return out.audit.withColumn("key", F.md5("key"))
+
+
+def dedup_exact_events_multi_key(spark, folder):
+    events = table(spark, folder, "events")
+    return dedup_exact(events, ["user_id", "event_type"], id_col="event_id").clean.drop("_row_id")
+
+
+def audit_members_events(spark, folder):
+    events = table(spark, folder, "events")
+    return dedup_exact(events, ["user_id", "event_type"], id_col="event_id").members
+
+
+def audit_members_from_audit_events(spark, folder):
+    events = table(spark, folder, "events")
+    return audit_members(dedup_exact(events, ["user_id", "event_type"], id_col="event_id").audit)
+
+
+def dedup_summary_events(spark, folder):
+    events = table(spark, folder, "events")
+    return summary(events, dedup_exact(events, ["user_id", "event_type"], id_col="event_id").clean)
+
+
+def block_pairs_part(spark, folder):
+    return block_pairs(
+        table(spark, folder, "part"), ["p_name", "p_type"], id_col="p_partkey"
+    ).select("block", "id_l", "id_r")
+
+
+def block_forecast_part(spark, folder):
+    part = with_row_id(table(spark, folder, "part"), id_col="p_partkey")
+    forecast = pair_forecast(match_keys(part, ["p_name", "p_type"], 1), "block")
+    return forecast.withColumn("n_pairs", F.col("n_pairs").cast("bigint"))
+
+
+def token_sort_ratio_part(spark, folder):
+    pairs = block_pairs(table(spark, folder, "part"), ["p_name"], id_col="p_partkey")
+    scored = indel_ratio(sorted_tokens(F.col("key_l")), sorted_tokens(F.col("key_r")))
+    return pairs.select("key_l", "key_r", F.bround(scored, 6).alias("score"))
+
+
+def dedup_fuzzy_part(spark, folder):
+    part = table(spark, folder, "part")
+    out = dedup_fuzzy(part, ["p_name", "p_type"], 85, id_col="p_partkey")
+    return out.clean.drop("_row_id", "p_retailprice")
+
+
+def dedup_fuzzy_audit_part(spark, folder):
+    part = table(spark, folder, "part")
+    return dedup_fuzzy(part, ["p_name", "p_type"], 85, id_col="p_partkey").audit
+
+
+def dedup_fuzzy_audit_urls(spark, folder):
+    pages = table(spark, folder, "pages")
+    return dedup_fuzzy(pages, ["url"], 90, block_size=8, id_col="page_id").audit
+
+
+def dedup_fuzzy_customer_names(spark, folder):
+    customer = table(spark, folder, "customer")
+    return dedup_fuzzy(customer, ["c_name"], 94, id_col="c_custkey").audit
+
+
+def clean_exact_then_fuzzy_part(spark, folder):
+    config = {
+        "keys": ["p_name", "p_type"], "normalize": {"p_name": ["trim", "lowercase"]},
+        "mode": "Exact then Fuzzy", "threshold": 85,
+    }
+    return clean_table(table(spark, folder, "part"), config, id_col="p_partkey").audit
+
+
+def audit_union(spark, folder):
+    exact = dedup_exact(table(spark, folder, "events"), ["user_id", "event_type"], id_col="event_id")
+    probable = dedupe_records(
+        table(spark, folder, "documents"), DOCUMENT_CONFIG, id_col="doc_id", model=DOCUMENT_MODEL
+    )
+    stacked = union_audits(exact.audit, probable.audit)
+    return stacked.withColumn("key", F.md5("key"))
+
+
+# --- comparisons and candidates ----------------------------------------------------------------
+
+def people(spark, folder):
+    """Customers as contact records, with an address made from their own columns."""
+    handle = F.lower(F.regexp_replace("c_name", "#0*", "."))
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.concat(handle, F.lit("@"), F.lower("c_mktsegment"), F.lit(".example")).alias("email"),
+        F.col("c_acctbal").cast("string").alias("phone"),
+        F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"),
+    )
+
+
+def _people_levels(spark, folder, kind, column, together=("nation", "segment")):
+    """Levels of one comparison over all pairs of people who have ``together`` in common."""
+    config = LinkConfig({column: kind}, blocking=("group",))
+    grouped = people(spark, folder).withColumn("group", F.concat_ws("/", *together))
+    records = record_rows(with_row_id(grouped, id_col="id"), config).withColumn("copies", F.lit(1))
+    out = with_levels(candidate_pairs(records, None, 1), config)
+    return out.select("id_l", "id_r", F.col("gamma_0").alias("gamma"))
+
+
+def compare_exact_people(spark, folder):
+    return _people_levels(spark, folder, "exact", "segment", ["nation"])
+
+
+def compare_name_people(spark, folder):
+    return _people_levels(spark, folder, "name", "name")
+
+
+def compare_email_people(spark, folder):
+    return _people_levels(spark, folder, "email", "email")
+
+
+def compare_phone_people(spark, folder):
+    return _people_levels(spark, folder, "phone", "phone")
+
+
+def compare_date_orders(spark, folder):
+    """Order dates of all pairs of orders of one customer."""
+    config = LinkConfig({"day": "date"}, blocking=("o_custkey",))
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    )
+    records = record_rows(with_row_id(orders, id_col="o_orderkey"), config).withColumn(
+        "copies", F.lit(1)
+    )
+    out = with_levels(candidate_pairs(records, None, 1), config)
+    return out.select("id_l", "id_r", F.col("gamma_0").alias("gamma"))
+
+
+def _document_records(spark, folder):
+    documents = with_row_id(table(spark, folder, "documents"), id_col="doc_id")
+    rows = record_rows(documents, DOCUMENT_CONFIG)
+    return rows, merge_copies(rows)
+
+
+def candidate_pairs_documents(spark, folder):
+    _, records = _document_records(spark, folder)
+    return candidate_pairs(records, None, 2).select(
+        "id_l", "id_r", "copies_l", "copies_r", "match_key"
+    )
+
+
+def block_forecast_documents(spark, folder):
+    return pair_forecast(table(spark, folder, "documents"), "lang").withColumn(
+        "n_pairs", F.col("n_pairs").cast("bigint")
+    )
+
+
+def parties(spark, folder):
+    """Customers and suppliers with the columns they share."""
+    a = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nation"),
+        F.floor("c_acctbal").cast("string").alias("balance"), "c_mktsegment",
+    )
+    b = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nation"),
+        F.floor("s_acctbal").cast("string").alias("balance"),
+    )
+    return a, b
+
+
+def link_candidates_parties(spark, folder):
+    a, b = (
+        merge_copies(record_rows(with_row_id(t, id_col="id"), PARTY_CONFIG))
+        for t in parties(spark, folder)
+    )
+    return candidate_pairs(a, b, 2).select("id_l", "id_r", "match_key")
+
+
+# --- training ----------------------------------------------------------------------------------
+
+def prior_documents(spark, folder):
+    _, records = _document_records(spark, folder)
+    n = records.agg(F.sum("copies")).first()[0]
+    agreeing, single = agreeing_on_any(records, None, ["k0", "k1"])
+    prior = estimate_prior(agreeing, all_pairs_of(n, None))
+    return spark.createDataFrame(
+        [(agreeing, single["k0"], single["k1"], round(prior, 10))],
+        "agreeing bigint, equal_text bigint, equal_n_chars bigint, prior double",
+    )
+
+
+def prior_parties(spark, folder):
+    a, b = (
+        merge_copies(record_rows(with_row_id(t, id_col="id"), PARTY_CONFIG))
+        for t in parties(spark, folder)
+    )
+    agreeing, single = agreeing_on_any(a, b, ["k0", "k1"])
+    return spark.createDataFrame(
+        [(agreeing, single["k0"], single["k1"])],
+        "agreeing bigint, equal_nation bigint, equal_balance bigint",
+    )
+
+
+def u_shares_suppliers(spark, folder):
+    """All pairs of suppliers: few enough for the sample to be everything."""
+    config = LinkConfig({"name": "name", "nation": "exact", "balance": "phone"})
+    _, b = parties(spark, folder)
+    rows = record_rows(with_row_id(b, id_col="id"), config)
+    n = rows.count()
+    patterns = Patterns(random_patterns(rows, n, None, None, config).collect(), 3)
+    return spark.createDataFrame(
+        [(c, k, round(float(s), 8)) for c, u in u_shares(patterns, config).items()
+         for k, s in enumerate(u)],
+        "comparison string, level int, u double",
+    )
+
+
+def trained_weights_suppliers(spark, folder):
+    """Prior, u and m of suppliers after a fixed number of EM rounds."""
+    config = LinkConfig({"name": "name", "nation": "exact", "balance": "phone"})
+    _, b = parties(spark, folder)
+    rows = record_rows(with_row_id(b, id_col="id"), config)
+    model = train(
+        merge_copies(rows), rows, None, None, config, rounds=TRAIN_ROUNDS, tolerance=0.0
+    )
+    weights = match_weights(spark, model)
+    return weights.select(
+        "comparison", "level", F.bround("m", 6).alias("m"), F.bround("u", 6).alias("u"),
+        F.lit(round(model.prior, 8)).alias("prior"),
+    )
+
+
+# --- scoring and results -----------------------------------------------------------------------
+
+def predict_fixed_weights_documents(spark, folder):
+    _, records = _document_records(spark, folder)
+    levels = with_levels(candidate_pairs(records, None, 2), DOCUMENT_CONFIG)
+    return score(levels, DOCUMENT_MODEL, DOCUMENT_CONFIG.threshold).select(
+        "id_l", "id_r", "gamma_0", "gamma_1", "gamma_2", "gamma_3",
+        F.bround("match_weight", 6).alias("match_weight"),
+        F.bround("match_probability", 6).alias("match_probability"),
+    )
+
+
+def cluster_documents(spark, folder):
+    """Documents of one source that have a text or a length in common, directly or in steps."""
+    documents = table(spark, folder, "documents")
+    config = LinkConfig({"text": "exact"}, blocking=("text", "length_in_source"))
+    keyed = documents.withColumn("length_in_source", F.concat_ws("/", "source", "n_chars"))
+    rows = record_rows(with_row_id(keyed, id_col="doc_id"), config).withColumn(
+        "copies", F.lit(1)
+    )
+    pairs = candidate_pairs(rows, None, 2)
+    return connected_components(
+        pairs.select(F.col("id_l").alias("src"), F.col("id_r").alias("dst"))
+    )
+
+
+def _documents_deduped(spark, folder):
+    return dedupe_records(
+        table(spark, folder, "documents"), DOCUMENT_CONFIG, id_col="doc_id", model=DOCUMENT_MODEL
+    )
+
+
+def dedupe_prob_audit_documents(spark, folder):
+    return _documents_deduped(spark, folder).audit.withColumn("key", F.md5("key"))
+
+
+def dedupe_prob_clean_documents(spark, folder):
+    return _documents_deduped(spark, folder).clean.select("doc_id", "lang", "source", "n_chars")
+
+
+def dedupe_trained_documents(spark, folder):
+    """Training and clustering together."""
+    out = dedupe_records(table(spark, folder, "documents"), DOCUMENT_CONFIG, id_col="doc_id")
+    return out.audit.withColumn("key", F.md5("key"))
+
+
+def _parties_linked(spark, folder):
+    a, b = parties(spark, folder)
+    return link_records(a, b, PARTY_CONFIG, "id", "id", model=PARTY_MODEL)
+
+
+def link_pairs_parties(spark, folder):
+    return _parties_linked(spark, folder).pairs
+
+
+def link_audit_parties(spark, folder):
+    return _parties_linked(spark, folder).audit
+
+
+def link_trained_parties(spark, folder):
+    a, b = parties(spark, folder)
+    return link_records(a, b, PARTY_CONFIG, "id", "id").pairs
+
+
+def match_weights_documents(spark, folder):
+    weights = _documents_deduped(spark, folder).weights
+    return weights.select(
+        "comparison", "level", F.bround("bayes_factor", 6).alias("bayes_factor"),
+        F.bround("log2_weight", 6).alias("log2_weight"),
+    )
+
+
+def explain_pairs_documents(spark, folder):
+    out = _documents_deduped(spark, folder)
+    return explain_pairs(out.scored, out.model).withColumn(
+        "log2_weight", F.bround("log2_weight", 6)
+    )
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+def _scratch(spark) -> str:
+    """A new folder next to the checkpoints; only a local session may use its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise CleaningError("Set spark.checkpoint.dir to a folder all executors share.")
+        base = tempfile.mkdtemp(prefix="kindred-")
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def csv_round_trip_customer(spark, folder):
+    path = write_table(table(spark, folder, "customer"), _scratch(spark) + ".csv")
+    return read_table(spark, path)
+
+
+def csv_round_trip_conversations(spark, folder):
+    """Texts with quotes and line breaks."""
+    path = write_table(table(spark, folder, "conversations"), _scratch(spark) + ".csv")
+    return read_table(spark, path, multi_line=True).withColumn("text", F.md5("text"))
+
+
+def parquet_round_trip_events(spark, folder):
+    path = write_table(table(spark, folder, "events"), _scratch(spark) + ".parquet")
+    return read_table(spark, path).drop("ts")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        profile_summary_events, profile_dup_rows_part, profile_columns_labelled_documents,
+        normalize_customer_name, normalize_email_like_urls, normalize_phone_digits_documents,
+        normalize_trim_documents, row_ids_orders, combined_key_part, preview_customer,
+        common_columns_parties,
+        dedup_exact_documents, dedup_exact_audit_documents, dedup_exact_events_multi_key,
+        audit_members_events, audit_members_from_audit_events, dedup_summary_events,
+        block_pairs_part, block_forecast_part, block_forecast_documents, token_sort_ratio_part,
+        dedup_fuzzy_part, dedup_fuzzy_audit_part, dedup_fuzzy_audit_urls,
+        dedup_fuzzy_customer_names, clean_exact_then_fuzzy_part, audit_union,
+        compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
+        compare_date_orders, candidate_pairs_documents, link_candidates_parties,
+        prior_documents, prior_parties, u_shares_suppliers, trained_weights_suppliers,
+        predict_fixed_weights_documents, cluster_documents, dedupe_prob_audit_documents,
+        dedupe_prob_clean_documents, dedupe_trained_documents, link_pairs_parties,
+        link_audit_parties, link_trained_parties, match_weights_documents,
+        explain_pairs_documents, csv_round_trip_customer, csv_round_trip_conversations,
+        parquet_round_trip_events,
+    )
+}

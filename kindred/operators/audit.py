@@ -80,9 +80,9 @@ def drop_rows(df: DataFrame, row_id: str, members: DataFrame) -> DataFrame:
 
 def audit_members(audit: DataFrame) -> DataFrame:
     """Long form of any audit: one row per removed record."""
-    removed = F.explode(F.split("removed_indices", ","))
+    removed = F.split("removed_indices", ",").cast("array<bigint>")
     return audit.select(
-        "group_id", "method", "kept_index", removed.cast("bigint").alias("removed_index")
+        "group_id", "method", "kept_index", F.explode(removed).alias("removed_index")
     )
 
 
