@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred.plans.cut import cut_lineage
 
-# Rows of one key that meet in one task on each side. A key with more rows is cut into tiles.
-TILE_ROWS = 20_000
+# Rows of one key that meet in one tile on each side; a tile makes a few million pairs at most. The
+# bytes of a hot key are often too few for AQE to see the skew, but its pairs are not. Copying the
+# rows along the grid costs one row per TILE_ROWS / 2 pairs.
+TILE_ROWS = 2_000
 
 
 def pair_forecast(df: DataFrame, block: str) -> DataFrame:
