@@ -203,7 +203,7 @@ def read_workbooks(
     for i in range(len(names)):
         present = value(i).isNotNull()
         tests += [
-            F.count_if(present).alias(f"n{i}"),
+            F.count_if(present).alias(f"all{i}"),
             *[F.count_if(present & (kind(i) == k)).alias(f"{k}{i}") for k in "nbd"],
             F.count_if(present & (kind(i) == "n") & text(i).rlike("^-?[0-9]+$")).alias(f"w{i}"),
         ]
@@ -212,7 +212,7 @@ def read_workbooks(
         raise EmptyDataError("The source has no data rows (empty or header only).")
     columns = []
     for i, name in enumerate(names):
-        n = fits[f"n{i}"]
+        n = fits[f"all{i}"]
         candidates = (("w", "bigint"), ("n", "double"), ("b", "boolean"), ("d", "timestamp"))
         dtype = next((t for k, t in candidates if fits[f"{k}{i}"] == n), "string")
         columns.append(value(i).try_cast("double" if not n else dtype).alias(name))
