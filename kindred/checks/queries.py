@@ -358,8 +358,8 @@ def trained_weights_suppliers(spark, folder):
 
 def predict_fixed_weights_documents(spark, folder):
     _, records = _document_records(spark, folder)
-    levels = with_levels(candidate_pairs(records, None, 2), DOCUMENT_CONFIG)
-    return score(levels, DOCUMENT_MODEL, DOCUMENT_CONFIG.threshold).select(
+    pairs = candidate_pairs(records, None, 2)
+    return score(pairs, DOCUMENT_CONFIG, DOCUMENT_MODEL, DOCUMENT_CONFIG.threshold).select(
         "id_l", "id_r", "gamma_0", "gamma_1", "gamma_2", "gamma_3",
         F.bround("match_weight", 6).alias("match_weight"),
         F.bround("match_probability", 6).alias("match_probability"),

@@ -37,6 +37,10 @@ LEVELS = {
 }
 
 
+# Types whose levels need a Python distance; the others are built-in expressions.
+SLOW_TYPES = ("name", "email")
+
+
 def top_level(kind: str) -> int:
     return len(LEVELS[kind]) - 1
 

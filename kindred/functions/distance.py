@@ -112,24 +112,51 @@ def _byte_rows(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, starts[:-1], np.diff(starts)
 
 
+# Bytes that never occur in UTF-8, so padding equals nothing.
+_PAD_LEFT, _PAD_RIGHT = 0xFF, 0xFE
+
+
 def _matrix(flat, starts, lengths, pad: int) -> np.ndarray:
     width = max(1, int(lengths.max(initial=0)))
     column = np.arange(width)
     inside = column < lengths[:, None]
-    out = np.full((len(starts), width), pad, np.int16)
+    out = np.full((len(starts), width), pad, np.uint8)
     out[inside] = flat[(starts[:, None] + column)[inside]]
     return out
 
 
-def _matched(chars: np.ndarray, flags: np.ndarray, width: int) -> np.ndarray:
-    """Matched characters moved to the left, in order."""
-    out = np.full((len(chars), width), -9, np.int16)
-    row, _ = np.nonzero(flags)
-    out[row, (np.cumsum(flags, axis=1) - 1)[flags]] = chars[flags]
-    return out
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    n = n.astype(np.uint64)
+    full = ~np.uint64(0)
+    return np.where(n >= 64, full, (np.uint64(1) << (n & np.uint64(63))) - np.uint64(1))
 
 
-def _jaro_winkler_slice(left, la, right, lb) -> np.ndarray:
+def _flags(bits: np.ndarray, width: int) -> np.ndarray:
+    as_bytes = bits.astype("<u8").view(np.uint8).reshape(len(bits), 8)
+    return np.unpackbits(as_bytes, axis=1, count=width, bitorder="little").view(bool)
+
+
+def _match_short(left, la, right, lb) -> tuple[np.ndarray, np.ndarray]:
+    """Matched positions of texts up to 64 bytes, one word of flags per text."""
+    n, one = len(left), np.uint64(1)
+    window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free = _low_bits(lb)
+    all_right = free.copy()
+    hit_left = np.zeros(n, np.uint64)
+    bits = np.zeros((n, 8), np.uint8)
+    used = (right.shape[1] + 7) // 8
+    for i in range(left.shape[1]):
+        low = np.maximum(i - window, 0)
+        reach = _low_bits(np.minimum(i + window + 1, 64) - low) << low.astype(np.uint64)
+        bits[:, :used] = np.packbits(right == left[:, i, None], axis=1, bitorder="little")
+        candidate = bits.view("<u8")[:, 0] & free & reach
+        first = candidate & (~candidate + one)
+        free ^= first
+        hit_left |= (first != 0).astype(np.uint64) << np.uint64(i)
+    return _flags(hit_left, left.shape[1]), _flags(all_right & ~free, right.shape[1])
+
+
+def _match_long(left, la, right, lb) -> tuple[np.ndarray, np.ndarray]:
     window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
     column = np.arange(right.shape[1])
     free = column < lb[:, None]
@@ -142,16 +169,28 @@ def _jaro_winkler_slice(left, la, right, lb) -> np.ndarray:
         hit_left[rows, i] = True
         hit_right[rows, first[rows]] = True
         free[rows, first[rows]] = False
+    return hit_left, hit_right
+
+
+def _matched(chars: np.ndarray, flags: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Matched characters moved to the left, in order."""
+    width = max(1, int(counts.max(initial=0)))
+    out = np.zeros((len(chars), width), np.uint8)
+    out[np.arange(width) < counts[:, None]] = chars[flags]
+    return out
+
+
+def _jaro_winkler_slice(left, la, right, lb) -> np.ndarray:
+    short = max(left.shape[1], right.shape[1]) <= 64
+    hit_left, hit_right = (_match_short if short else _match_long)(left, la, right, lb)
     m = hit_left.sum(axis=1)
-    width = max(1, int(m.max(initial=0)))
-    moved = (_matched(left, hit_left, width) != _matched(right, hit_right, width)).sum(axis=1) // 2
+    moved = (_matched(left, hit_left, m) != _matched(right, hit_right, m)).sum(axis=1) // 2
     some = np.maximum(m, 1)
     jaro = np.where(
         m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved) / some) / 3.0, 0.0
     )
     head = min(4, left.shape[1], right.shape[1])
-    same = (left[:, :head] == right[:, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None])
-    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    prefix = np.cumprod(left[:, :head] == right[:, :head], axis=1).sum(axis=1)
     return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
 
 
@@ -164,7 +203,7 @@ def jaro_winklers(a: pa.Array, b: pa.Array) -> np.ndarray:
     for part in _chunks(np.maximum(np.maximum(len_a, len_b), 8)):
         la, lb = len_a[part], len_b[part]
         out[part] = _jaro_winkler_slice(
-            _matrix(flat_a, start_a[part], la, -1), la,
-            _matrix(flat_b, start_b[part], lb, -2), lb,
+            _matrix(flat_a, start_a[part], la, _PAD_LEFT), la,
+            _matrix(flat_b, start_b[part], lb, _PAD_RIGHT), lb,
         )
     return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.config import LinkConfig
-from kindred.functions.compare import level
+from kindred.functions.compare import SLOW_TYPES, level
+from kindred.linkage.model import LinkModel
 from kindred.plans.pairs import TILE_ROWS, join_pairs
 
 
@@ -75,3 +77,27 @@ def copy_pairs(records: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"{c}_r") for c in copied.columns],
         first.alias("match_key"),
     )
+
+
+def within_reach(
+    pairs: DataFrame, config: LinkConfig, model: LinkModel, threshold: float
+) -> DataFrame:
+    """Drop pairs that miss the threshold whatever their names and addresses say.
+
+    Only built-in comparisons are looked at, the others count with their best level, so most pairs
+    of a large group never leave the JVM. Nothing that could pass is lost.
+    """
+    if not any(kind in SLOW_TYPES for kind in config.comparisons.values()):
+        return pairs
+    reachable = F.lit(model.prior_weight)
+    for i, (column, kind) in enumerate(config.comparisons.items()):
+        a, b = F.col(f"v{i}_l"), F.col(f"v{i}_r")
+        if kind in SLOW_TYPES:
+            best = max(0.0, *model.weights(column)[:-1])
+            top = model.weights(column)[-1]
+            weight = F.when(a.isNull() | b.isNull(), 0.0).when(a == b, top).otherwise(best)
+        else:
+            weight = model.weight_of(level(kind, a, b), column)
+        reachable = reachable + weight
+    # rounding differences must not decide here
+    return pairs.where(reachable >= math.log2(threshold / (1.0 - threshold)) - 1e-6)

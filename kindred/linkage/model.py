@@ -29,14 +29,16 @@ class LinkModel:
     def prior_weight(self) -> float:
         return math.log2(self.prior / (1.0 - self.prior))
 
-    def level_weight(self, i: int, column: str) -> Column:
-        """Weight of one comparison as literals; a missing value says nothing."""
-        gamma = F.col(f"gamma_{i}")
+    def weight_of(self, gamma: Column, column: str) -> Column:
+        """Weight of one level as literals; a missing value says nothing."""
         out = F.when(gamma < 0, 0.0)
         for k, weight in enumerate(self.weights(column)):
             out = out.when(gamma == k, weight)
         return out
 
+    def level_weight(self, i: int, column: str) -> Column:
+        return self.weight_of(F.col(f"gamma_{i}"), column)
+
     def match_weight(self) -> Column:
         parts = [self.level_weight(i, c) for i, c in enumerate(self.comparisons)]
         return reduce(add, parts, F.lit(self.prior_weight))

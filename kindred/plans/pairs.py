@@ -12,6 +12,18 @@ from kindred.plans.cut import cut_lineage
 TILE_ROWS = 2_000
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Partition by ``by`` for a step that costs far more time than bytes.
+
+    AQE merges small shuffle partitions by their size, which would put such a step into a few
+    tasks; a partition number given here is left alone.
+    """
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # not the usual number itself: a shuffle like the one below would be dropped as redundant
+    return df.repartition(max(usual, 3 * spark.sparkContext.defaultParallelism) + 1, *by)
+
+
 def pair_forecast(df: DataFrame, block: str) -> DataFrame:
     """Rows and pairs per block, before any pair is made: look here first on a large table."""
     n = F.col("n_rows").cast("decimal(19,0)")
@@ -53,11 +65,11 @@ def join_pairs(
         hot = hot.join(hot_r, on, "full_outer")
     hot = cut_lineage(hot)
     if hot.isEmpty():
-        return left.join(right, on)
+        return spread(left, *on).join(right, on)
     tiles_l = F.coalesce("_tiles_l", F.lit(1))
     tiles_r = F.coalesce("_tiles_r", F.lit(1))
 
-    def spread(side, row_id, own, other, own_name, other_name):
+    def on_grid(side, row_id, own, other, own_name, other_name):
         return (
             side.join(hot, on, "left")
             .withColumn(own_name, F.pmod(F.xxhash64(row_id), own))
@@ -65,6 +77,7 @@ def join_pairs(
             .drop("_tiles_l", "_tiles_r")
         )
 
-    grid_l = spread(left, id_l, tiles_l, tiles_r, "_tile_l", "_tile_r")
-    grid_r = spread(right, id_r, tiles_r, tiles_l, "_tile_r", "_tile_l")
-    return grid_l.join(grid_r, [*on, "_tile_l", "_tile_r"]).drop("_tile_l", "_tile_r")
+    grid_l = on_grid(left, id_l, tiles_l, tiles_r, "_tile_l", "_tile_r")
+    grid_r = on_grid(right, id_r, tiles_r, tiles_l, "_tile_r", "_tile_l")
+    tile = [*on, "_tile_l", "_tile_r"]
+    return spread(grid_l, *tile).join(grid_r, tile).drop("_tile_l", "_tile_r")
