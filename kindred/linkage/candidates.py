@@ -4,56 +4,119 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.config import LinkConfig
 from kindred.functions.compare import SLOW_TYPES, level
 from kindred.linkage.model import LinkModel
-from kindred.plans.pairs import TILE_ROWS, join_pairs
+from kindred.plans.pairs import TILE_ROWS, join_pairs, largest_groups
 
 
-def _side(records: DataFrame, suffix: str, key: int) -> DataFrame:
+# The most compared columns for which sets of them are enumerated.
+_MOST_COLUMNS = 10
+
+
+def _side(records: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     renamed = records.drop("_digest").select(
         *[F.col(c).alias(f"{c}_{suffix}") for c in records.columns if c != "_digest"]
     )
-    return renamed.withColumn("_key", F.col(f"k{key}_{suffix}")).where("_key IS NOT NULL")
+    named = {f"_key{n}": F.col(f"{key}_{suffix}") for n, key in enumerate(keys)}
+    return renamed.withColumns(named).dropna(subset=list(named))
 
 
-def _equal(j: int) -> Column:
-    return F.coalesce(F.col(f"k{j}_l") == F.col(f"k{j}_r"), F.lit(False))
+def _equal(key: str) -> Column:
+    return F.coalesce(F.col(f"{key}_l") == F.col(f"{key}_r"), F.lit(False))
 
 
 def candidate_pairs(
-    left: DataFrame, right: DataFrame | None, n_rules: int, tile_rows: int = TILE_ROWS
+    left: DataFrame, right: DataFrame | None, n_rules: int, tile_rows: int = TILE_ROWS,
+    also_equal: list[list[list[str]]] | None = None,
 ) -> DataFrame:
     """Every pair once, with ``match_key`` (the first rule it satisfies).
 
     One equi-join per rule; rule k leaves out pairs an earlier rule has made, so the union needs
     no distinct. One join on an OR of the rules would compare everything with everything.
     ``right`` None: pairs within ``left``, smaller id first.
+
+    ``also_equal``: per rule, sets of further columns of which one must be equal as a whole (see
+    ``needed_agreement``); each set is a join of its own on the longer key.
     """
     same = right is None
+    rule_keys = [f"k{rule}" for rule in range(n_rules)]
+    largest = largest_groups(left, rule_keys)
+    if not same:
+        largest = list(map(max, largest, largest_groups(right, rule_keys)))
     parts = []
     for rule in range(n_rules):
-        pairs = join_pairs(
-            _side(left, "l", rule), _side(left if same else right, "r", rule),
-            ["_key"], "id_l", "id_r", same, tile_rows,
-        ).drop("_key")
-        if same:
-            pairs = pairs.where("id_l < id_r")
-        for earlier in range(rule):
-            pairs = pairs.where(~_equal(earlier))
-        parts.append(pairs.withColumn("match_key", F.lit(rule)))
+        # a longer key has no larger groups than the rule's own
+        tiles = tile_rows if largest[rule] > tile_rows else None
+        sets = [[]] if also_equal is None else also_equal[rule]
+        for at, columns in enumerate(sets):
+            keys = [f"k{rule}", *columns]
+            pairs = join_pairs(
+                _side(left, "l", keys), _side(left if same else right, "r", keys),
+                [f"_key{n}" for n in range(len(keys))], "id_l", "id_r", same, tiles,
+            ).drop(*[f"_key{n}" for n in range(len(keys))])
+            if same:
+                pairs = pairs.where("id_l < id_r")
+            for earlier in range(rule):
+                pairs = pairs.where(~_equal(f"k{earlier}"))
+            for made in sets[:at]:
+                pairs = pairs.where(~reduce(Column.__and__, [_equal(c) for c in made]))
+            parts.append(pairs.withColumn("match_key", F.lit(rule)))
+    if not parts:
+        none = candidate_pairs(left.limit(0), None if same else right.limit(0), 1)
+        return none
     return reduce(DataFrame.unionByName, parts)
 
 
+def needed_agreement(
+    config: LinkConfig, model: LinkModel, threshold: float
+) -> list[list[list[str]]]:
+    """What a pair must have in common, beyond a rule's own column, to be able to pass.
+
+    With the columns of a set equal and all others at their best level short of equal, the
+    weight either can reach the threshold or cannot. Per rule these are the smallest sets that
+    can; a passing pair agrees on all columns of at least one of them. A weak column that many
+    records share (a city, a language) then only makes pairs together with stronger ones.
+    """
+    names = config.columns
+    need = _needed_weight(threshold)
+    best = [max(0.0, *model.weights(c)[:-1]) for c in names]
+    equal = [max(b, model.weights(c)[-1]) for b, c in zip(best, names)]
+    if len(names) > _MOST_COLUMNS:
+        return [[[]] for _ in config.blocking_columns]
+    out = []
+    for column in config.blocking_columns:
+        own = {names.index(column)} if column in names else set()
+        rest = [i for i in range(len(names)) if i not in own]
+        found: list[set[int]] = []
+        for size in range(len(rest) + 1):
+            for extra in map(set, combinations(rest, size)):
+                if any(small <= extra for small in found):
+                    continue
+                reach = model.prior_weight + sum(
+                    equal[i] if i in own | extra else best[i] for i in range(len(names))
+                )
+                if reach >= need:
+                    found.append(extra)
+        out.append([[f"v{i}" for i in sorted(extra)] for extra in found])
+    return out
+
+
+def _needed_weight(threshold: float) -> float:
+    """Rounding differences must not decide before the score does."""
+    return math.log2(threshold / (1.0 - threshold)) - 1e-6
+
+
 def with_levels(pairs: DataFrame, config: LinkConfig) -> DataFrame:
     """Ids, copies, match_key, ``agree`` (bit j: equal on blocking column j) and ``gamma_<i>``."""
     agree = reduce(
         Column.bitwiseOR,
         [
-            F.when(_equal(j), F.lit(1 << j)).otherwise(F.lit(0))
+            F.when(_equal(f"k{j}"), F.lit(1 << j)).otherwise(F.lit(0))
             for j in range(len(config.blocking_columns))
         ],
     )
@@ -99,5 +162,4 @@ def within_reach(
         else:
             weight = model.weight_of(level(kind, a, b), column)
         reachable = reachable + weight
-    # rounding differences must not decide here
-    return pairs.where(reachable >= math.log2(threshold / (1.0 - threshold)) - 1e-6)
+    return pairs.where(reachable >= _needed_weight(threshold))

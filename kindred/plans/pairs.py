@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.plans.cut import cut_lineage
@@ -35,6 +37,16 @@ def pair_forecast(df: DataFrame, block: str) -> DataFrame:
     )
 
 
+def largest_groups(df: DataFrame, keys: list[str]) -> list[int]:
+    """Rows of the most frequent value of each key column, all keys in one job."""
+    tops = [
+        df.where(F.col(k).isNotNull()).groupBy(k).count()
+        .agg(F.lit(i).alias("at"), F.coalesce(F.max("count"), F.lit(0)).alias("n"))
+        for i, k in enumerate(keys)
+    ]
+    return [r["n"] for r in sorted(reduce(DataFrame.unionAll, tops).collect())]
+
+
 def hot_keys(df: DataFrame, on: list[str], tile_rows: int = TILE_ROWS) -> DataFrame:
     """Keys with more rows than one tile; at most rows/tile_rows of them."""
     return (
@@ -48,15 +60,18 @@ def hot_keys(df: DataFrame, on: list[str], tile_rows: int = TILE_ROWS) -> DataFr
 
 def join_pairs(
     left: DataFrame, right: DataFrame, on: list[str], id_l: str, id_r: str,
-    same: bool = False, tile_rows: int = TILE_ROWS,
+    same: bool = False, tile_rows: int | None = TILE_ROWS,
 ) -> DataFrame:
     """Equi-join of two sides whose other columns differ in name.
 
     A key that holds a large share of the rows would put all its pairs into one task. Such keys
     are cut into a grid: each left row falls into one grid row and is copied along it, each right
     row into one grid column, so every pair meets in exactly one tile of bounded size. The other
-    keys form a grid of one tile. ``same`` says that both sides hold the same keys.
+    keys form a grid of one tile. ``same`` says that both sides hold the same keys; ``tile_rows``
+    None that no key is known to be large.
     """
+    if tile_rows is None:
+        return spread(left, *on).join(right, on)
     hot = hot_keys(left, on, tile_rows).withColumnRenamed("_tiles", "_tiles_l")
     if same:
         hot = hot.withColumn("_tiles_r", F.col("_tiles_l"))
