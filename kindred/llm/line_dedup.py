@@ -1,144 +1,147 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
-A line is the sequence of its words. Two lines are copies if their words are equal, and near
-copies if one word edit (a word put in, taken out or replaced) turns one into the other and the
-shorter has at least ``near_words`` words. Of copies and near copies the earliest occurrence, in
-the order of (doc_id, line number), stays: a line goes if and only if an earlier line is equal or
-near.
-
-Every line emits the variants with one word deleted. Lines that are equal after the deletion at
-the same place are one replacement apart; a line that equals another one's variant is one deletion
-apart. So a join on (variant) or (variant, place) needs no pairs: the earliest member of each key
-decides for all others, and a key that very many lines share is summed up before the shuffle.
-The edit distance is then verified on the words of the line and of the earlier one found.
-
-Variants are many, so lines that cannot have a partner emit none: one edit leaves the first or the
-last half of the shorter line untouched, hence only lines that share such a half with a different
-line are expanded. This loses nothing.
+A line, without the blanks around it, is the sequence of its words between single spaces. Two
+lines are copies if they are equal, and near copies if one word edit (a word put in, taken out or
+replaced) turns one into the other and the shorter has at least ``near_words`` words. Of copies and
+near copies the earliest occurrence, in the order of (doc_id, line number), stays: a line goes if
+and only if an earlier line is equal or near.
+
+A line emits its variants with one word deleted, as hashes. Lines that are equal after the deletion
+at the same place are one replacement apart; a line that equals another one's variant is one
+deletion apart. So the earliest member of each key decides for all others and no pairs are made,
+however many lines share a key. The edit distance is then verified on the line and the earlier
+one found.
+
+Variants are many, so lines that cannot have a partner emit none: one edit leaves the front or the
+back half of a line untouched, hence only lines that share such a half with a different line are
+expanded, and only in the half that may differ. This loses nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.llm.common import SPACE, col, written
+from kindred.llm.common import col, written
 
 _BLANKS = " \t\r\x0b\x0c"
+# rows of the bitmap that says which lines to read again; 64 bits each, so a broadcast of 1 MB
+BITMAP_ROWS = 65_536
 
 
-def _cut_length(n: Column) -> Column:
-    """Length, rounded down, from which half a line is taken: neighbours n and n + 1 mostly share it."""
+def _cut(n: Column) -> Column:
+    """Length, rounded down to an even step, that halves are taken from: n and n + 1 mostly share it."""
     step = F.greatest(F.lit(2), F.pow(F.lit(2), F.floor(F.log2(n)) - 2).cast("int"))
-    return (n - n % step).cast("int")
+    return n - n % step
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc, line, words of every line that takes part."""
+def _lines(source: DataFrame, min_chars: int) -> DataFrame:
+    """doc, line, text of every line that takes part."""
     return (
-        docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+        source.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
         .where(F.length("raw") >= min_chars)
-        .select("doc", "line", F.split(F.btrim("raw", F.lit(_BLANKS)), SPACE, -1).alias("words"))
+        .select("doc", "line", F.btrim("raw", F.lit(_BLANKS)).alias("text"))
     )
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    """128 bits that stand for the words, and their number."""
-    return lines.select(
-        "doc", "line", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
-        F.size("words").alias("n"),
-    )
-
+def _names(text: str = "text") -> list[Column]:
+    """128 bits that stand for a line."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
-def _halves(keyed: DataFrame, near_words: int) -> DataFrame:
-    """The halves to share, as hashes, for the line itself and, where the cut length changes
-    between n - 1 and n, for a partner that is one word shorter."""
-    n = F.col("n")
-    own, other = _cut_length(n), _cut_length(n - 1)
 
-    def half(cut: Column) -> Column:
-        m = (cut / 2).cast("int")
-        return F.array(
-            F.xxhash64(cut, F.lit("head"), F.slice("words", 1, m)),
-            F.xxhash64(cut, F.lit("tail"), F.slice("words", n - m + 1, m)),
-        )
-
-    halves = F.when(n < near_words, F.array().cast("array<bigint>")).when(
-        (own == other) | (n - 1 < near_words), half(own)
-    ).otherwise(F.concat(half(own), half(other)))
-    return keyed.select("doc", "line", "h1", "h2", "n", halves.alias("halves"))
+def _with_halves(lines: DataFrame, near_words: int) -> DataFrame:
+    """Adds n (words) and the hashes of the front and back half to share: with lines of this cut
+    length, and, where a line one word shorter has another cut length, with those."""
+    n = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1).cast("int")
+    rows = lines.select("doc", "line", "text", *_names(), n.alias("n")).select(
+        "*", _cut(F.col("n")).alias("own"), _cut(F.col("n") - 1).alias("other")
+    )
 
+    def half(cut: str, side: int) -> Column:
+        words = (F.col(cut) / 2).cast("int") * side
+        return F.xxhash64(cut, F.lit(side), F.call_function("substring_index", F.col("text"), F.lit(" "), words))
 
-def _without(words: str, at: Column) -> Column:
-    return F.concat(F.slice(words, 1, at), F.slice(words, at + 2, F.size(words)))
+    near = F.col("n") >= near_words
+    more = (F.col("n") > near_words) & (F.col("own") != F.col("other"))
+    return rows.select(
+        "doc", "line", "h1", "h2", "n", F.when(near, half("own", 1)).alias("front"), F.when(near, half("own", -1)).alias("back"),
+        F.when(more, half("other", 1)).alias("front2"), F.when(more, half("other", -1)).alias("back2"),
+    )
 
 
 def line_decisions(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that go: doc, line (number from 0), near (whether only a near copy is earlier)."""
     source = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
-    table = written(_halves(_keys(_lines(source, min_chars)), near_words))
+    table = written(_with_halves(_lines(source, min_chars), near_words))
+    halves = ["front", "back", "front2", "back2"]
     # the earliest occurrence of every distinct line
-    first = written(
-        table.groupBy("h1", "h2", "n", "halves").agg(F.min(F.struct("doc", "line")).alias("pos"))
+    first = table.groupBy("h1", "h2", "n", *halves).agg(F.min(F.struct("doc", "line")).alias("pos"))
+
+    # lines that share a half with a different line; sides 0 and 2 are fronts
+    sided = first.where(F.col("n") >= near_words).select(
+        "h1", "h2", "n", "pos", F.posexplode(F.array(*halves)).alias("side", "half")
+    ).where("half is not null")
+    shared = sided.groupBy("half").agg(
+        F.min("h1").alias("lo"), F.max("h1").alias("hi"), (F.min("n") != F.max("n")).alias("mixed")
+    ).where("lo <> hi").select("half", "mixed")
+    open_lines = written(
+        sided.join(shared, "half").groupBy("h1", "h2", "pos").agg(
+            F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"), F.max("mixed").alias("mixed"),
+        )
     )
 
-    # lines that share a half with a different line
-    shared = (
-        first.select("h1", F.explode("halves").alias("half"))
-        .groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    )
-    open_lines = (
-        first.select("h1", "h2", "pos", F.explode("halves").alias("half"))
-        .join(shared, "half").select("h1", "h2", "pos").distinct()
-    )
-    # their words are read again, at their first occurrence
-    places = open_lines.select(F.col("pos.doc").alias("doc"), F.col("pos.line").alias("line"), "h1", "h2")
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
-    lines = (
-        source.join(wanted, source["doc"].eqNullSafe(wanted["doc"]))
-        .select(source["doc"], F.split("text", "\n", -1).alias("parts"), F.explode("wanted").alias("w"))
-        .select("doc", F.col("w.line").alias("line"), "w.h1", "w.h2",
-                F.split(F.btrim(F.get("parts", F.col("w.line")), F.lit(_BLANKS)), SPACE, -1).alias("words"))
-        # of repeated rows with one id only those count that hold the line
-        .where((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit(1), "words") == F.col("h2")))
-        .dropDuplicates(["h1", "h2"])
-        .select("h1", "h2", F.struct("doc", "line").alias("pos"), "words")
+    # their words are read again, at their first occurrence; a bitmap of fixed size keeps most other
+    # lines out of the shuffle (those it lets through by chance find no partner in the join)
+    row, bit = F.pmod("h1", F.lit(BITMAP_ROWS)).cast("int"), F.pmod(F.shiftright("h1", 32), F.lit(64)).cast("int")
+    single = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bitmap = open_lines.groupBy(row.alias("row")).agg(F.bit_or(single).alias("bits"))
+    candidates = _lines(source, min_chars).select("doc", "line", "text", *_names()).withColumn("row", row)
+    candidates = candidates.join(F.broadcast(bitmap), "row").where(F.col("bits").bitwiseAND(single) != 0)
+    words = F.transform(F.split("text", " ", -1), lambda w: F.xxhash64(w))
+    lines = written(
+        candidates.select(F.struct("doc", "line").alias("pos"), "h1", "h2", "text")
+        .join(open_lines, ["h1", "h2", "pos"]).select("h1", "pos", "front", "back", "mixed", words.alias("words"))
+        .dropDuplicates(["h1"])
     )
-    lines = written(lines)
 
+    # the half that is shared holds no edit
+    n = F.size("words")
+    safe = F.when(n > near_words, (_cut(n - 1) / 2).cast("int")).otherwise((_cut(n) / 2).cast("int"))
+    begin = F.when(F.col("back"), F.lit(0)).otherwise(safe)
+    end = F.when(F.col("front"), n - 1).otherwise(n - 1 - safe)
     variants = lines.select(
-        "h1", "h2", "pos", F.size("words").alias("n"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.xxhash64(_without("words", i)))).alias("at", "key"),
+        "h1", "mixed", n.alias("n"), begin.alias("begin"),
+        F.posexplode(F.transform(
+            F.sequence(begin, end), lambda i: F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)))
+        )).alias("at", "rest"),
     )
-    # one replacement: equal variants with the deletion at the same place
-    places_met = variants.groupBy("key", "at", "n").agg(
-        F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min(F.struct("pos", "h1", "h2")).alias("early")
-    ).where("lo <> hi").select("key", "at", "n", "early")
-    replaced = variants.join(places_met, ["key", "at", "n"]).where("early.pos < pos").select("h1", "h2", "early")
-    # one deletion: a variant equals a shorter line
-    shorter = lines.where(F.size("words") >= near_words).select(
-        F.col("h1").alias("key"), F.struct("pos", "h1", "h2").alias("short")
+    # one replacement: equal rests after the deletion at the same place
+    placed = variants.select("h1", F.xxhash64("rest", F.col("at") + F.col("begin"), "n").alias("key"))
+    met = placed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    at_once = lines.select("h1", "pos")
+    members = placed.join(met, "key").join(at_once, "h1")
+    earliest = members.groupBy("key").agg(F.min(F.struct("pos", "h1")).alias("early"))
+    replaced = members.join(earliest, "key").where("early.pos < pos").select("h1", "early")
+    # one deletion: a rest equals a shorter line
+    shorter = lines.where(F.col("mixed") & (n >= near_words)).select(
+        F.xxhash64("words").alias("rest"), F.struct("pos", "h1").alias("short")
     )
-    dropped = variants.join(shorter, "key").select(F.struct("pos", "h1", "h2").alias("long"), "short")
-    taken = dropped.select(
-        F.when(F.col("short.pos") < F.col("long.pos"), F.col("long")).otherwise(F.col("short")).alias("late"),
-        F.least("short", "long").alias("early"),
-    ).select("late.h1", "late.h2", "early")
+    dropped = variants.where(F.col("mixed") & (F.col("n") > near_words)).select("h1", "rest").join(shorter, "rest")
+    dropped = dropped.join(at_once, "h1").select(F.struct("pos", "h1").alias("long"), "short")
+    taken = dropped.select(F.greatest("short", "long").getField("h1").alias("h1"), F.least("short", "long").alias("early"))
     # the earliest partner of each line, verified on the words
-    partner = replaced.unionByName(taken).groupBy("h1", "h2").agg(F.min("early").alias("early"))
-    words = lines.select("h1", "h2", F.col("words").alias("mine"))
-    others = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("theirs"))
+    partner = replaced.unionByName(taken).groupBy("h1").agg(F.min("early").alias("early"))
     near = (
-        partner.join(words, ["h1", "h2"])
-        .join(others, (F.col("early.h1") == F.col("e1")) & (F.col("early.h2") == F.col("e2")))
+        partner.join(lines.select("h1", F.col("words").alias("mine")), "h1")
+        .join(lines.select(F.col("h1").alias("_early"), F.col("words").alias("theirs")), F.col("early.h1") == F.col("_early"))
         .where(one_word_apart(F.col("mine"), F.col("theirs")))
-        .select("h1", "h2", F.lit(True).alias("near"))
+        .select("h1", F.lit(True).alias("near"))
     )
-    verdicts = first.select("h1", "h2", "pos").join(near, ["h1", "h2"], "left")
+    verdicts = first.select("h1", "h2", "pos").join(near, "h1", "left")
+    later = F.struct("doc", "line") > F.col("pos")
     return (
         table.select("doc", "line", "h1", "h2").join(verdicts, ["h1", "h2"])
-        .where(F.col("near") | (F.struct("doc", "line") > F.col("pos")))
-        .select("doc", "line", F.coalesce(F.struct("doc", "line") == F.col("pos"), F.lit(False)).alias("near"))
+        .where(F.col("near") | later).select("doc", "line", (~later).alias("near"))
     )
 
 
@@ -169,7 +172,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
     """All columns of ``docs``, with the lines that go taken out of the text, plus _lines (lines of
     the text) and _dropped (how many of them went).
 
-    Lines under ``min_chars`` characters never go. Blanks around and between words don't count.
+    Lines under ``min_chars`` characters never go. Blanks around a line don't count.
     Null and empty texts stay as they are; every row stays, even if no line is left. Rows with
     the same doc_id, or with none, are one document to the order: lines at the same place of
     repeated rows are the same occurrence, so repeated rows stay equal. A null doc_id comes first.
