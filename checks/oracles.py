@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kindred.checks.queries import (
-    DOCUMENT_CONFIG, DOCUMENT_MODEL, PARTY_CONFIG, PARTY_MODEL, TRAIN_ROUNDS,
-)
-from kindred.functions.compare import LEVELS, top_level
+from checks.queries import DOCUMENT_MODEL, PARTY_MODEL
 from kindred.functions.text import WHITE_SPACE
-from kindred.linkage.train import LOWEST_M, MAX_RANDOM_PAIRS, RECALL, start_m
+
+# constants of the training, written out here so that the code under test can't define its own check
+RECALL, START_TOP, LOWEST_M = 0.9, 0.95, 1e-9
+TRAIN_ROUNDS, TOLERANCE = 25, 1e-4
+TOP_LEVELS = {"exact": 1, "name": 4, "email": 4, "phone": 3, "date": 5}
 
 _SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
 TRIMMED_TEXT = f"lower(trim(text, {_SPACES}))"
@@ -39,12 +40,32 @@ def level_sql(kind: str, a: str, b: str) -> str:
     return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN -1 {tests} ELSE 0 END)"
 
 
-def weight_sql(model, gammas: list[str]) -> str:
-    parts = [repr(model.prior_weight)]
-    for gamma, column in zip(gammas, model.comparisons):
-        whens = " ".join(f"WHEN {k} THEN {w!r}" for k, w in enumerate(model.weights(column)))
-        parts.append(f"(CASE {gamma} WHEN -1 THEN 0.0 {whens} END)::DOUBLE")
-    return " + ".join(parts)
+def weights_cte(kinds: dict[str, str]) -> str:
+    """w: one row with the prior's and every level's weight, from trained(comparison, level, m, u, prior)."""
+    parts = [
+        f"max(log2(m / u)) FILTER (comparison = '{c}' AND level = {k}) AS w{i}_{k}"
+        for i, (c, kind) in enumerate(kinds.items()) for k in range(TOP_LEVELS[kind] + 1)
+    ]
+    return f"w AS (SELECT log2(max(prior) / (1 - max(prior))) AS w_prior, {', '.join(parts)} FROM trained)"
+
+
+def given_ctes(model) -> str:
+    """trained and w for a model that was set by hand."""
+    rows = ", ".join(
+        f"('{c}', {k}, {model.m[c][k]!r}::DOUBLE, {model.u[c][k]!r}::DOUBLE, {model.prior!r}::DOUBLE)"
+        for c, kind in model.comparisons.items() for k in range(TOP_LEVELS[kind] + 1)
+    )
+    return (f"trained AS (SELECT * FROM (VALUES {rows}) v(comparison, level, m, u, prior)), "
+            + weights_cte(model.comparisons))
+
+
+def weight_of(gamma: str, i: int, kind: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN w.w{i}_{k}" for k in range(TOP_LEVELS[kind] + 1))
+    return f"(CASE {gamma} WHEN -1 THEN 0.0 {whens} END)::DOUBLE"
+
+
+def weight_sql(kinds: dict[str, str], gammas: list[str]) -> str:
+    return " + ".join(["w.w_prior", *(weight_of(g, i, k) for i, (g, k) in enumerate(zip(gammas, kinds.values())))])
 
 
 # --- fuzzy dedup --------------------------------------------------------------------------------
@@ -159,17 +180,27 @@ DOCUMENT_PAIRS = f"""
            {level_sql('exact', 'l.lang', 'r.lang')} AS gamma_2,
            {level_sql('phone', 'l.n_chars', 'r.n_chars')} AS gamma_3
     FROM rec l JOIN rec r ON l.id < r.id AND (l.text = r.text OR l.n_chars = r.n_chars))"""
-_DOC_GAMMAS = [f"gamma_{i}" for i in range(4)]
-DOCUMENT_SCORED = f"""
+DOCUMENT_KINDS = {"text": "exact", "source": "exact", "lang": "exact", "n_chars": "phone"}
+_DOC_WEIGHT = weight_sql(DOCUMENT_KINDS, [f"gamma_{i}" for i in range(4)])
+_OWN_WEIGHT = weight_sql(DOCUMENT_KINDS, ["1", "1", "1", "3"])
+
+
+def document_scored(weights: str) -> str:
+    return f"""
+  {weights},
   {DOCUMENT_PAIRS},
-  weighed AS (SELECT *, {weight_sql(DOCUMENT_MODEL, _DOC_GAMMAS)} AS match_weight FROM cand),
+  weighed AS (SELECT cand.*, {_DOC_WEIGHT} AS match_weight FROM cand, w),
   scored AS (SELECT *, 1.0 / (1.0 + pow(2.0::DOUBLE, -match_weight)) AS match_probability
-             FROM weighed WHERE 1.0 / (1.0 + pow(2.0::DOUBLE, -match_weight)) >= {DOCUMENT_CONFIG.threshold})"""
-_OWN_WEIGHT = weight_sql(DOCUMENT_MODEL, ["1", "1", "1", "3"])
-DOCUMENT_CLUSTERS = f"""
-  {DOCUMENT_SCORED},
+             FROM weighed WHERE 1.0 / (1.0 + pow(2.0::DOUBLE, -match_weight)) >= 0.9)"""
+
+
+def document_clusters(weights: str) -> str:
+    return document_scored(weights) + DOCUMENT_GROUPS
+
+
+DOCUMENT_GROUPS = f""",
   own AS (SELECT id, p FROM (SELECT id, 1.0 / (1.0 + pow(2.0::DOUBLE, -({_OWN_WEIGHT}))) AS p
-          FROM rec WHERE copies > 1) WHERE p >= {DOCUMENT_CONFIG.threshold}),
+          FROM rec, w WHERE copies > 1) WHERE p >= 0.9),
   both_ways AS (SELECT id_l AS a, id_r AS b FROM scored UNION SELECT id_r, id_l FROM scored),
   reach AS (SELECT a AS id, a AS root FROM both_ways
             UNION
@@ -199,20 +230,20 @@ PARTY_A = """
 PARTY_B = """
   SELECT s_suppkey AS id, s_name AS name, s_nationkey::VARCHAR AS nation,
          floor(s_acctbal)::BIGINT::VARCHAR AS balance FROM supplier"""
+PARTY_KINDS = {"name": "name", "nation": "exact", "balance": "phone"}
 _PARTY_LEVELS = ", ".join(
-    f"{level_sql(kind, f'l.{c}', f'r.{c}')} AS gamma_{i}"
-    for i, (c, kind) in enumerate(PARTY_CONFIG.comparisons.items())
+    f"{level_sql(kind, f'l.{c}', f'r.{c}')} AS gamma_{i}" for i, (c, kind) in enumerate(PARTY_KINDS.items())
 )
-PARTY_SCORED = f"""
-  a AS ({PARTY_A}), b AS ({PARTY_B}),
+
+
+def party_pairs(weights: str) -> str:
+    return f"""
+  WITH {weights}, a AS ({PARTY_A}), b AS ({PARTY_B}),
   cand AS (SELECT l.id AS index_a, r.id AS index_b, {_PARTY_LEVELS}
            FROM a l JOIN b r ON l.nation = r.nation OR l.balance = r.balance),
   scored AS (SELECT *, 1.0 / (1.0 + pow(2.0::DOUBLE,
-               -({weight_sql(PARTY_MODEL, ['gamma_0', 'gamma_1', 'gamma_2'])}))) AS p FROM cand)"""
-PARTY_PAIRS = f"""
-  WITH {PARTY_SCORED}
-  SELECT index_a, index_b, round_even(p, 4) AS match_probability FROM scored
-  WHERE p >= {PARTY_CONFIG.threshold}"""
+               -({weight_sql(PARTY_KINDS, ['gamma_0', 'gamma_1', 'gamma_2'])}))) AS p FROM cand, w)
+  SELECT index_a, index_b, round_even(p, 4) AS match_probability FROM scored WHERE p >= 0.3"""
 
 
 # --- training -----------------------------------------------------------------------------------
@@ -220,60 +251,74 @@ PARTY_PAIRS = f"""
 SUPPLIER_KINDS = {"name": "name", "nation": "exact", "balance": "phone"}
 
 
-def training_ctes(source: str, kinds: dict[str, str], rounds: int) -> str:
-    """Prior, u and unrolled EM rounds; every compared column is also a blocking column.
+def start_m(kind: str) -> list[float]:
+    top = TOP_LEVELS[kind]
+    return [(1 - START_TOP) / top] * top + [START_TOP]
 
-    Valid while all pairs of rows are at most MAX_RANDOM_PAIRS.
+
+def training_ctes(source: str, kinds: dict[str, str], blocking: list[str], other: str | None = None) -> str:
+    """trained(comparison, level, m, u, prior) and w: prior, u, and EM with its stop rule, round by round.
+
+    ``other``: the second table of a link run. Valid while all pairs of rows are at most a million,
+    the product's bound for random pairs.
     """
     cols = list(kinds)
     gammas = ", ".join(f"{level_sql(k, f'l.{c}', f'r.{c}')} AS g{i}" for i, (c, k) in enumerate(kinds.items()))
-    equals = ", ".join(f"coalesce(l.{c} = r.{c}, false) AS e{i}" for i, c in enumerate(cols))
-    any_equal = " OR ".join(f"e{i}" for i in range(len(cols)))
-    levels = [(i, k) for i, c in enumerate(cols) for k in range(top_level(kinds[c]) + 1)]
+    equals = ", ".join(f"coalesce(l.{c} = r.{c}, false) AS e{j}" for j, c in enumerate(blocking))
+    any_equal = " OR ".join(f"e{j}" for j in range(len(blocking)))
+    levels = [(i, k) for i, c in enumerate(cols) for k in range(TOP_LEVELS[kinds[c]] + 1)]
     u = ", ".join(
         f"greatest(count(*) FILTER (g{i} = {k}) / greatest(count(*) FILTER (g{i} >= 0), 1)::DOUBLE, "
         f"0.5 / count(*)) AS u{i}_{k}"
         for i, k in levels
     )
-    out = [
-        f"r0 AS ({source})",
-        f"p AS (SELECT {gammas}, {equals} FROM r0 l JOIN r0 r ON l.id < r.id)",
-        f"u AS (SELECT count(*) AS total, {u}, "
+    shares = ", ".join(f"count(*) FILTER (e{j}) / count(*)::DOUBLE AS share{j}" for j in range(len(blocking)))
+    joined = "r0 l, r1 r" if other else "r0 l JOIN r0 r ON l.id < r.id"
+    out = [f"r0 AS ({source})", *([f"r1 AS ({other})"] if other else [])]
+    out += [
+        f"p AS MATERIALIZED (SELECT {gammas}, {equals} FROM {joined})",
+        f"u AS MATERIALIZED (SELECT count(*) AS total, {u}, {shares}, "
         f"least(greatest(count(*) FILTER ({any_equal}) / {RECALL} / count(*), 1e-12), 1 - 1e-6) AS prior FROM p)",
-        f"pat AS (SELECT *, count(*) AS n FROM p WHERE {any_equal} GROUP BY ALL)",
+        f"pat AS MATERIALIZED (SELECT *, count(*) AS n FROM p WHERE {any_equal} GROUP BY ALL)",
     ]
-    starts = {c: start_m(kind).tolist() for c, kind in kinds.items()}
-    for j, fixed in enumerate(cols):
-        top = top_level(kinds[fixed])
-        first = ", ".join(f"{starts[cols[i]][k]!r}::DOUBLE AS m{i}_{k}" for i, k in levels)
+    starts = {c: start_m(kind) for c, kind in kinds.items()}
+    free = {j: [i for i, c in enumerate(cols) if c != fixed] for j, fixed in enumerate(blocking)}
+    for j, fixed in enumerate(blocking):
+        by_chance = f"u{cols.index(fixed)}_{TOP_LEVELS[kinds[fixed]]}" if fixed in cols else f"share{j}"
+        mine = [(i, k) for i, k in levels if i in free[j]]
+        first = ", ".join(f"{starts[cols[i]][k]!r}::DOUBLE AS m{i}_{k}" for i, k in mine)
         out.append(
-            f"s{j}_0 AS (SELECT o / (1 + o) AS prior, {first} FROM "
-            f"(SELECT prior / (1 - prior) * 0.95 / u{j}_{top} AS o FROM u) "
+            f"s{j}_0 AS (SELECT o / (1 + o) AS odds, false AS done, {first} FROM "
+            f"(SELECT prior / (1 - prior) * {START_TOP} / {by_chance} AS o FROM u) "
             f"WHERE EXISTS (SELECT 1 FROM pat WHERE e{j}))"
         )
-        for r in range(1, rounds + 1):
-            terms = "".join(
-                f" + CASE g{i} " + " ".join(
-                    f"WHEN {k} THEN ln(s.m{i}_{k} / u.u{i}_{k})" for i2, k in levels if i2 == i
-                ) + " ELSE 0 END"
-                for i in range(len(cols)) if i != j
-            )
-            new = ", ".join(
-                (f"coalesce(greatest(coalesce(sum(w) FILTER (g{i} = {k}), 0) / "
-                 f"nullif(sum(w) FILTER (g{i} >= 0), 0), {LOWEST_M}), any_value(m{i}_{k})) AS m{i}_{k}")
-                if i != j else f"any_value(m{i}_{k}) AS m{i}_{k}"
-                for i, k in levels
-            )
+        terms = "".join(
+            f" + CASE g{i} " + " ".join(f"WHEN {k} THEN ln(s.m{i}_{k} / u.u{i}_{k})" for i2, k in mine if i2 == i)
+            + " ELSE 0 END"
+            for i in free[j]
+        )
+        olds = ", ".join(f"any_value(m{i}_{k}) AS m{i}_{k}" for i, k in mine)
+        news = ", ".join(
+            f"CASE WHEN sum(w) FILTER (g{i} >= 0) > 0 THEN greatest(coalesce(sum(w) FILTER (g{i} = {k}), 0) / "
+            f"sum(w) FILTER (g{i} >= 0), {LOWEST_M}) ELSE any_value(m{i}_{k}) END AS n{i}_{k}"
+            for i, k in mine
+        )
+        taken = ", ".join(f"CASE WHEN done THEN m{i}_{k} ELSE n{i}_{k} END AS m{i}_{k}" for i, k in mine)
+        moved = ", ".join(f"abs(n{i}_{k} - m{i}_{k})" for i, k in mine)
+        for r in range(1, TRAIN_ROUNDS + 1):
             out.append(
-                f"s{j}_{r} AS (SELECT least(greatest(sum(w) / sum(n), 1e-12), 1 - 1e-12) AS prior, {new} "
-                f"FROM (SELECT pat.*, s.* EXCLUDE (prior), "
-                f"pat.n / (1 + exp(-(ln(s.prior / (1 - s.prior)){terms}))) AS w "
-                f"FROM pat, s{j}_{r - 1} s, u WHERE pat.e{j}) HAVING count(*) > 0)"
+                f"s{j}_{r} AS MATERIALIZED (SELECT CASE WHEN done THEN odds ELSE new_odds END AS odds, "
+                f"done OR greatest(abs(new_odds - odds), {moved}) < {TOLERANCE} AS done, {taken} FROM ("
+                f"SELECT any_value(odds) AS odds, any_value(done) AS done, {olds}, "
+                f"least(greatest(sum(w) / sum(n), 1e-12), 1 - 1e-12) AS new_odds, {news} "
+                f"FROM (SELECT pat.*, s.*, pat.n / (1 + exp(-(ln(s.odds / (1 - s.odds)){terms}))) AS w "
+                f"FROM pat, s{j}_{r - 1} s, u WHERE pat.e{j}) HAVING count(*) > 0))"
             )
     found = " UNION ALL ".join(
-        f"SELECT {i} AS c, {k} AS k, (SELECT m{i}_{k} FROM s{j}_{rounds} "
+        f"SELECT {i} AS c, {k} AS k, (SELECT m{i}_{k} FROM s{j}_{TRAIN_ROUNDS} "
         f"WHERE EXISTS (SELECT 1 FROM pat WHERE e{j} AND g{i} = {k})) AS m, {starts[cols[i]][k]!r} AS start"
-        for i, k in levels for j in range(len(cols)) if i != j
+        if i in free[j] else f"SELECT {i} AS c, {k} AS k, NULL AS m, {starts[cols[i]][k]!r} AS start"
+        for i, k in levels for j in range(len(blocking))
     )
     out.append(f"found AS ({found})")
     out.append(
@@ -283,43 +328,53 @@ def training_ctes(source: str, kinds: dict[str, str], rounds: int) -> str:
     names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols))
     us = " UNION ALL ".join(f"SELECT {i} AS c, {k} AS k, u{i}_{k} AS u FROM u" for i, k in levels)
     out.append(
-        f"trained AS (SELECT CASE share.c {names} END AS comparison, share.k AS level, "
+        f"trained AS MATERIALIZED (SELECT CASE share.c {names} END AS comparison, share.k AS level, "
         f"share.m / sum(share.m) OVER (PARTITION BY share.c) AS m, x.u, u.prior "
         f"FROM share JOIN ({us}) x ON x.c = share.c AND x.k = share.k, u)"
     )
+    out.append(weights_cte(kinds))
     return ",\n  ".join(out)
 
 
-_TRAINED = training_ctes(PARTY_B, SUPPLIER_KINDS, TRAIN_ROUNDS)
+SUPPLIERS_TRAINED = training_ctes(PARTY_B, PARTY_KINDS, list(PARTY_KINDS))
+DOCUMENTS_TRAINED = training_ctes(
+    "SELECT doc_id AS id, md5(text) AS text, source, lang, n_chars::VARCHAR AS n_chars FROM documents",
+    DOCUMENT_KINDS, ["text", "n_chars"],
+)
+PARTIES_TRAINED = training_ctes(PARTY_A, PARTY_KINDS, ["nation", "balance"], PARTY_B)
+DOCUMENTS_GIVEN, PARTIES_GIVEN = given_ctes(DOCUMENT_MODEL), given_ctes(PARTY_MODEL)
+
+LEVEL_LABELS = {
+    "exact": ("different", "equal"),
+    "phone": ("different", "Levenshtein <= 2", "Levenshtein <= 1", "equal"),
+    "name": (
+        "different", "Jaro-Winkler >= 0.70", "Jaro-Winkler >= 0.88", "Jaro-Winkler >= 0.92", "equal",
+    ),
+}
 
 
-def _document_shares() -> str:
-    rows = []
-    for c, kind in DOCUMENT_MODEL.comparisons.items():
-        for k in range(len(LEVELS[kind])):
-            rows.append(f"('{c}', {k}, {DOCUMENT_MODEL.m[c][k]!r}::DOUBLE, {DOCUMENT_MODEL.u[c][k]!r}::DOUBLE)")
-    return ", ".join(rows)
+def _label(level: str, kind: str) -> str:
+    return f"CASE {level} WHEN -1 THEN 'missing' " + " ".join(
+        f"WHEN {k} THEN '{t}'" for k, t in enumerate(LEVEL_LABELS[kind])) + " END"
 
 
 def _explain() -> str:
-    parts = []
-    for i, (c, kind) in enumerate(DOCUMENT_MODEL.comparisons.items()):
-        labels = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(LEVELS[kind]))
-        weights = " ".join(f"WHEN {k} THEN {w!r}" for k, w in enumerate(DOCUMENT_MODEL.weights(c)))
-        parts.append(
-            f"SELECT id_l, id_r, '{c}' AS comparison, gamma_{i} AS level, "
-            f"CASE gamma_{i} WHEN -1 THEN 'missing' {labels} END AS label, "
-            f"round_even((CASE gamma_{i} WHEN -1 THEN 0.0 {weights} END)::DOUBLE, 6) AS log2_weight FROM scored"
-        )
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(
+        f"SELECT id_l, id_r, '{c}' AS comparison, gamma_{i} AS level, {_label(f'gamma_{i}', kind)} AS label, "
+        f"round_even({weight_of(f'gamma_{i}', i, kind)}, 6) AS log2_weight FROM scored, w"
+        for i, (c, kind) in enumerate(DOCUMENT_KINDS.items())
+    )
 
 
-def _null_share(position: int, column: str) -> str:
-    return (f"SELECT {position} AS position, '{column}' AS \"column\", "
+def _null_share(position: int, column: str, dtype: str) -> str:
+    return (f"SELECT {position} AS position, '{column}' AS \"column\", '{dtype}' AS dtype, "
             f"round_even(100.0::DOUBLE * count(*) FILTER ({column} IS NULL) / count(*), 2) AS null_pct FROM t")
 
 
-_LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+_LABELLED = {
+    "doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint",
+    "quality": "int", "toxic": "int",
+}
 
 ORACLES = {
     "profile_summary_events": """
@@ -331,13 +386,16 @@ ORACLES = {
              (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS exact_duplicates""",
     "profile_columns_labelled_documents":
         "WITH t AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) "
-        + " UNION ALL ".join(_null_share(i, c) for i, c in enumerate(_LABELLED)),
+        + " UNION ALL ".join(_null_share(i, c, t) for i, (c, t) in enumerate(_LABELLED.items())),
     "normalize_customer_name": """
       SELECT c_custkey, lower(trim(c_name)) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer""",
     "normalize_email_like_urls": "SELECT page_id, lower(trim(url)) AS url FROM pages",
     "normalize_phone_digits_documents":
         "SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS text FROM documents",
     "normalize_trim_documents": f"SELECT doc_id, md5(trim(text, {_SPACES})) AS text FROM documents",
+    "normalize_nulls_labelled_documents": """
+      SELECT doc_id, coalesce(quality::VARCHAR, '') AS quality, coalesce(toxic::VARCHAR, '') AS toxic
+      FROM documents LEFT JOIN labels USING (doc_id)""",
     "row_ids_orders": """
       SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _row_id, o_orderkey FROM orders""",
     "combined_key_part": """
@@ -382,12 +440,30 @@ ORACLES = {
       LEFT JOIN s ON s.ia = least(l.nid, r.nid) AND s.ib = greatest(l.nid, r.nid)""",
     "dedup_fuzzy_part": f"""
       WITH RECURSIVE {fuzzy_ctes(PART_KEYS, 85, 1)}
-      SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part
+      SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
       WHERE p_partkey IN (SELECT id FROM member WHERE id = rep)""",
     "dedup_fuzzy_audit_part": fuzzy_audit(PART_KEYS, 85, 1),
     "dedup_fuzzy_audit_urls": fuzzy_audit("SELECT page_id AS id, url AS key FROM pages", 90, 8),
     "dedup_fuzzy_customer_names":
         fuzzy_audit("SELECT c_custkey AS id, c_name AS key FROM customer", 94, 1),
+    "dedup_fuzzy_levenshtein_part": f"""
+      WITH RECURSIVE tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, 2) AS block FROM ({PART_KEYS})),
+      node AS (SELECT block, key AS text, min(id) AS id FROM tok GROUP BY block, key),
+      edge AS (SELECT a.id AS ia, b.id AS ib FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
+               WHERE 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(a.text, b.text))
+                     / greatest(length(a.text), length(b.text)) >= 80),
+      near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
+                 coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
+               FROM node LEFT JOIN edge ON node.id = edge.ib GROUP BY node.id),
+      g AS (SELECT rn, idx, idx AS rep, [idx] AS reps FROM near WHERE rn = 1
+            UNION ALL
+            SELECT n.rn, n.idx, coalesce(list_filter(n.ns, lambda q: list_contains(g.reps, q))[1], n.idx),
+              CASE WHEN len(list_filter(n.ns, lambda q: list_contains(g.reps, q))) = 0
+                   THEN list_append(g.reps, n.idx) ELSE g.reps END
+            FROM g JOIN near n ON n.rn = g.rn + 1),
+      member AS (SELECT tok.id, tok.key, tok.block, g.rep
+                 FROM tok JOIN node ON tok.block = node.block AND tok.key = node.text JOIN g ON g.idx = node.id)
+      {FUZZY_AUDIT}""",
     "clean_exact_then_fuzzy_part": f"""
       WITH RECURSIVE
       keyed AS (SELECT p_partkey AS id, concat(lower(trim(p_name)), ' | ', p_type) AS key FROM part),
@@ -399,7 +475,7 @@ ORACLES = {
       SELECT group_id + (SELECT coalesce(max(group_id), 0) FROM first_stage), method, key, kept_index,
              removed_indices, n_duplicates FROM second_stage""",
     "audit_union": f"""
-      WITH RECURSIVE {DOCUMENT_CLUSTERS},
+      WITH RECURSIVE {document_clusters(DOCUMENTS_GIVEN)},
       e AS ({exact_audit('events', 'event_id', EVENT_KEY, f'md5({EVENT_TEXT})')})
       SELECT *, NULL::DOUBLE AS match_probability FROM e UNION ALL BY NAME ({DOCUMENT_AUDIT})""",
     "compare_exact_people": people_levels("exact", "segment", "nation"),
@@ -432,13 +508,17 @@ ORACLES = {
              count(*) FILTER (l.balance = r.balance) AS equal_balance
       FROM a l, b r""",
     "u_shares_suppliers": f"""
-      WITH {_TRAINED} SELECT comparison, level, round_even(u, 8) AS u FROM trained""",
+      WITH {SUPPLIERS_TRAINED} SELECT comparison, level, round_even(u, 8) AS u FROM trained""",
     "trained_weights_suppliers": f"""
-      WITH {_TRAINED}
-      SELECT comparison, level, round_even(m, 6) AS m, round_even(u, 6) AS u, round_even(prior, 8) AS prior
+      WITH {SUPPLIERS_TRAINED}
+      SELECT comparison, level,
+             CASE comparison WHEN 'name' THEN {_label('level', 'name')} WHEN 'nation' THEN {_label('level', 'exact')}
+                  ELSE {_label('level', 'phone')} END AS label,
+             round_even(m, 6) AS m, round_even(u, 6) AS u, round_even(m / u, 4) AS bayes_factor,
+             round_even(log2(m / u), 5) AS log2_weight, round_even(prior, 8) AS prior
       FROM trained""",
     "predict_fixed_weights_documents": f"""
-      WITH {DOCUMENT_SCORED}
+      WITH {document_scored(DOCUMENTS_GIVEN)}
       SELECT id_l, id_r, gamma_0, gamma_1, gamma_2, gamma_3, round_even(match_weight, 6) AS match_weight,
              round_even(match_probability, 6) AS match_probability FROM scored""",
     "cluster_documents": """
@@ -447,20 +527,29 @@ ORACLES = {
             AND (l.text = r.text OR (l.source = r.source AND l.n_chars = r.n_chars))),
       reach AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id)
       SELECT id AS node, min(root) AS component FROM reach GROUP BY id""",
-    "dedupe_prob_audit_documents": f"WITH RECURSIVE {DOCUMENT_CLUSTERS} {DOCUMENT_AUDIT}",
+    "cluster_all_documents": """
+      SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY source, n_chars) AS component FROM documents""",
+    "dedupe_prob_audit_documents": f"WITH RECURSIVE {document_clusters(DOCUMENTS_GIVEN)} {DOCUMENT_AUDIT}",
+    "dedupe_trained_documents": f"WITH RECURSIVE {document_clusters(DOCUMENTS_TRAINED)} {DOCUMENT_AUDIT}",
     "dedupe_prob_clean_documents": f"""
-      WITH RECURSIVE {DOCUMENT_CLUSTERS}
+      WITH RECURSIVE {document_clusters(DOCUMENTS_GIVEN)}
       SELECT doc_id, lang, source, n_chars FROM documents
       WHERE doc_id NOT IN (SELECT id FROM member WHERE id <> component)""",
-    "link_pairs_parties": PARTY_PAIRS,
-    "link_audit_parties": f"SELECT 'link' AS method, * FROM ({PARTY_PAIRS})",
-    "match_weights_documents": f"""
-      SELECT c AS comparison, k AS level, round_even(m / u, 6) AS bayes_factor,
-             round_even(log2(m / u), 6) AS log2_weight FROM (VALUES {_document_shares()}) v(c, k, m, u)""",
-    "explain_pairs_documents": f"WITH {DOCUMENT_SCORED} {_explain()}",
+    "link_pairs_parties": party_pairs(PARTIES_GIVEN),
+    "link_trained_parties": party_pairs(PARTIES_TRAINED),
+    "link_audit_parties": f"SELECT 'link' AS method, * FROM ({party_pairs(PARTIES_GIVEN)})",
+    "dedupe_certain_documents": "SELECT 0::BIGINT AS n_groups, count(*) AS n_kept FROM documents",
+    "linkage_plan_documents": """
+      SELECT 0 AS match_key, 'text' AS equal, '' AS not_equal, count(text) AS n_rows, 0.9::DOUBLE AS threshold FROM documents
+      UNION ALL SELECT 1, 'n_chars', 'text', count(n_chars), 0.9::DOUBLE FROM documents""",
+    "explain_pairs_documents": f"WITH {document_scored(DOCUMENTS_GIVEN)} {_explain()}",
     "csv_round_trip_customer": "SELECT * FROM customer",
     "csv_round_trip_conversations":
         "SELECT conv_id, turn, role, md5(text) AS text FROM conversations",
-    "parquet_round_trip_events": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "parquet_round_trip_events": "SELECT * FROM events",
+    "written_result_events": """
+      WITH g AS (SELECT min(event_id) AS kept, count(*) AS n FROM events GROUP BY user_id, event_type)
+      SELECT count(*) FILTER (n > 1) AS n_groups, (sum(n - 1) FILTER (n > 1))::BIGINT AS n_removed,
+             count(*) AS n_kept, sum(kept)::BIGINT AS sum_ids FROM g""",
+    "csv_with_schema_customer": "SELECT * FROM customer",
 }
-assert MAX_RANDOM_PAIRS >= 499_500  # the training SQL takes all pairs of up to 1000 suppliers

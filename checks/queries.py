@@ -16,7 +16,8 @@ from kindred.linkage.model import LinkModel, explain_pairs, match_weights
 from kindred.linkage.records import merge_copies, record_rows
 from kindred.linkage.runs import dedupe_records, link_records, score
 from kindred.linkage.train import (
-    Patterns, agreeing_on_any, all_pairs_of, estimate_prior, random_patterns, train, u_shares,
+    Patterns, agreeing_per_key, all_pairs_of, blocked_patterns, equal_pairs, estimate_prior,
+    random_patterns, train, u_shares,
 )
 from kindred.operators.audit import audit_members, summary, union_audits
 from kindred.operators.clean import clean_table
@@ -27,7 +28,7 @@ from kindred.operators.normalize import normalize
 from kindred.operators.profile import common_columns, preview, profile_columns, profile_summary
 from kindred.plans.ids import with_row_id
 from kindred.plans.pairs import pair_forecast
-from kindred.sources.tables import read_table, write_table
+from kindred.sources.tables import read_table, write_result, write_table
 
 # Fixed models, so that scoring can be checked apart from training.
 DOCUMENT_CONFIG = LinkConfig(
@@ -41,6 +42,7 @@ DOCUMENT_MODEL = LinkModel(
     {"text": [0.999, 0.001], "source": [0.95, 0.05], "lang": [0.55, 0.45],
      "n_chars": [0.9, 0.06, 0.03, 0.01]},
 )
+SUPPLIER_KINDS = {"name": "name", "nation": "exact", "balance": "phone"}
 PARTY_CONFIG = LinkConfig(
     {"name": "name", "nation": "exact", "balance": "phone"}, threshold=0.3,
     blocking=("nation", "balance"),
@@ -52,8 +54,6 @@ PARTY_MODEL = LinkModel(
     {"name": [0.5, 0.3, 0.1, 0.09, 0.01], "nation": [0.96, 0.04],
      "balance": [0.9, 0.09, 0.009, 0.001]},
 )
-TRAIN_ROUNDS = 5
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -74,7 +74,7 @@ def profile_columns_labelled_documents(spark, folder):
     labelled = table(spark, folder, "documents").join(
         table(spark, folder, "labels"), "doc_id", "left"
     )
-    return profile_columns(labelled).drop("dtype")
+    return profile_columns(labelled)
 
 
 def normalize_customer_name(spark, folder):
@@ -95,6 +95,14 @@ def normalize_trim_documents(spark, folder):
     return out.withColumn("text", F.md5("text"))
 
 
+def normalize_nulls_labelled_documents(spark, folder):
+    """Labels are missing for many documents: configured columns become text, null the empty one."""
+    labelled = table(spark, folder, "documents").select("doc_id").join(
+        table(spark, folder, "labels"), "doc_id", "left"
+    )
+    return normalize(labelled, {"quality": ["trim"], "toxic": ["phone"]})
+
+
 def row_ids_orders(spark, folder):
     orders = table(spark, folder, "orders")
     return with_row_id(orders, order_by=["o_orderdate", "o_orderkey"]).select("_row_id", "o_orderkey")
@@ -172,7 +180,7 @@ def token_sort_ratio_part(spark, folder):
 def dedup_fuzzy_part(spark, folder):
     part = table(spark, folder, "part")
     out = dedup_fuzzy(part, ["p_name", "p_type"], 85, id_col="p_partkey")
-    return out.clean.drop("_row_id", "p_retailprice")
+    return out.clean.drop("_row_id")
 
 
 def dedup_fuzzy_audit_part(spark, folder):
@@ -190,6 +198,14 @@ def dedup_fuzzy_customer_names(spark, folder):
     return dedup_fuzzy(customer, ["c_name"], 94, id_col="c_custkey").audit
 
 
+def dedup_fuzzy_levenshtein_part(spark, folder):
+    """A scorer that is a column expression."""
+    part = table(spark, folder, "part")
+    return dedup_fuzzy(
+        part, ["p_name", "p_type"], 80, scorer="levenshtein_ratio", block_size=2, id_col="p_partkey"
+    ).audit
+
+
 def clean_exact_then_fuzzy_part(spark, folder):
     config = {
         "keys": ["p_name", "p_type"], "normalize": {"p_name": ["trim", "lowercase"]},
@@ -305,10 +321,11 @@ def link_candidates_parties(spark, folder):
 def prior_documents(spark, folder):
     _, records = _document_records(spark, folder)
     n = records.agg(F.sum("copies")).first()[0]
-    agreeing, single = agreeing_on_any(records, None, ["k0", "k1"])
+    patterns = Patterns(blocked_patterns(records, None, DOCUMENT_CONFIG).collect(), 4)
+    agreeing = int(patterns.pairs.sum())
     prior = estimate_prior(agreeing, all_pairs_of(n, None))
     return spark.createDataFrame(
-        [(agreeing, single["k0"], single["k1"], round(prior, 10))],
+        [(agreeing, *agreeing_per_key(patterns, 2), round(prior, 10))],
         "agreeing bigint, equal_text bigint, equal_n_chars bigint, prior double",
     )
 
@@ -318,38 +335,38 @@ def prior_parties(spark, folder):
         merge_copies(record_rows(with_row_id(t, id_col="id"), PARTY_CONFIG))
         for t in parties(spark, folder)
     )
-    agreeing, single = agreeing_on_any(a, b, ["k0", "k1"])
+    patterns = Patterns(blocked_patterns(a, b, PARTY_CONFIG).collect(), 3)
     return spark.createDataFrame(
-        [(agreeing, single["k0"], single["k1"])],
+        [(int(patterns.pairs.sum()), *agreeing_per_key(patterns, 2))],
         "agreeing bigint, equal_nation bigint, equal_balance bigint",
     )
 
 
 def u_shares_suppliers(spark, folder):
     """All pairs of suppliers: few enough for the sample to be everything."""
-    config = LinkConfig({"name": "name", "nation": "exact", "balance": "phone"})
+    config = LinkConfig(SUPPLIER_KINDS)
     _, b = parties(spark, folder)
     rows = record_rows(with_row_id(b, id_col="id"), config)
     n = rows.count()
     patterns = Patterns(random_patterns(rows, n, None, None, config).collect(), 3)
+    equal = equal_pairs(merge_copies(rows), None, ["v0", "v1", "v2"])
     return spark.createDataFrame(
-        [(c, k, round(float(s), 8)) for c, u in u_shares(patterns, config).items()
+        [(c, k, round(float(s), 8)) for c, u in u_shares(patterns, config, equal).items()
          for k, s in enumerate(u)],
         "comparison string, level int, u double",
     )
 
 
 def trained_weights_suppliers(spark, folder):
-    """Prior, u and m of suppliers after a fixed number of EM rounds."""
-    config = LinkConfig({"name": "name", "nation": "exact", "balance": "phone"})
+    """Prior, u, m and what they weigh, trained on the suppliers with the product's settings."""
+    config = LinkConfig(SUPPLIER_KINDS)
     _, b = parties(spark, folder)
     rows = record_rows(with_row_id(b, id_col="id"), config)
-    model = train(
-        merge_copies(rows), rows, None, None, config, rounds=TRAIN_ROUNDS, tolerance=0.0
-    )
+    model = train(merge_copies(rows), rows, None, None, config)
     weights = match_weights(spark, model)
     return weights.select(
-        "comparison", "level", F.bround("m", 6).alias("m"), F.bround("u", 6).alias("u"),
+        "comparison", "level", "label", F.bround("m", 6).alias("m"), F.bround("u", 6).alias("u"),
+        F.bround("bayes_factor", 4).alias("bayes_factor"), F.bround("log2_weight", 5).alias("log2_weight"),
         F.lit(round(model.prior, 8)).alias("prior"),
     )
 
@@ -380,6 +397,14 @@ def cluster_documents(spark, folder):
     )
 
 
+def cluster_all_documents(spark, folder):
+    """Every document with its component, alone or not."""
+    documents = table(spark, folder, "documents")
+    grouped = documents.groupBy("source", "n_chars").agg(F.min("doc_id").alias("src"))
+    edges = documents.join(grouped, ["source", "n_chars"]).select("src", F.col("doc_id").alias("dst"))
+    return connected_components(edges, documents.select(F.col("doc_id").alias("node")))
+
+
 def _documents_deduped(spark, folder):
     return dedupe_records(
         table(spark, folder, "documents"), DOCUMENT_CONFIG, id_col="doc_id", model=DOCUMENT_MODEL
@@ -418,11 +443,32 @@ def link_trained_parties(spark, folder):
     return link_records(a, b, PARTY_CONFIG, "id", "id").pairs
 
 
-def match_weights_documents(spark, folder):
-    weights = _documents_deduped(spark, folder).weights
-    return weights.select(
-        "comparison", "level", F.bround("bayes_factor", 6).alias("bayes_factor"),
-        F.bround("log2_weight", 6).alias("log2_weight"),
+def dedupe_certain_documents(spark, folder):
+    """A threshold that only very sure pairs reach: an empty audit and all rows kept is no error."""
+    sure = LinkConfig(
+        DOCUMENT_CONFIG.comparisons, threshold=1.0, blocking=DOCUMENT_CONFIG.blocking
+    )
+    unsure = LinkModel(
+        1e-9, DOCUMENT_MODEL.comparisons, DOCUMENT_MODEL.m, DOCUMENT_MODEL.u
+    )
+    out = dedupe_records(table(spark, folder, "documents"), sure, id_col="doc_id", model=unsure)
+    found = out.audit.agg(F.count(F.lit(1)).alias("n_groups"))
+    return found.crossJoin(out.clean.agg(F.count(F.lit(1)).alias("n_kept")))
+
+
+def linkage_plan_documents(spark, folder):
+    """The plan as rows, with how many documents have the column that each rule needs."""
+    plan = DOCUMENT_CONFIG.plan("dedupe")
+    documents = table(spark, folder, "documents")
+    rules = F.array(*(
+        F.struct(
+            F.lit(r["match_key"]).alias("match_key"), F.lit(r["equal"]).alias("equal"),
+            F.lit(",".join(r["not_equal"])).alias("not_equal"), F.col(r["equal"]).isNotNull().alias("has"),
+        )
+        for r in plan["rules"]
+    ))
+    return documents.select(F.inline(rules)).groupBy("match_key", "equal", "not_equal").agg(
+        F.sum(F.col("has").cast("bigint")).alias("n_rows"), F.lit(plan["threshold"]).alias("threshold")
     )
 
 
@@ -458,7 +504,22 @@ def csv_round_trip_conversations(spark, folder):
 
 def parquet_round_trip_events(spark, folder):
     path = write_table(table(spark, folder, "events"), _scratch(spark) + ".parquet")
-    return read_table(spark, path).drop("ts")
+    return read_table(spark, path)
+
+
+def csv_with_schema_customer(spark, folder):
+    """One scan: the types are given."""
+    customer = table(spark, folder, "customer")
+    path = write_table(customer, _scratch(spark) + ".csv")
+    return read_table(spark, path, schema=customer.schema)
+
+
+def written_result_events(spark, folder):
+    """Clean rows and audit written next to each other and read again."""
+    out = dedup_exact(table(spark, folder, "events"), ["user_id", "event_type"], id_col="event_id")
+    clean, audit = (read_table(spark, p) for p in write_result(out.clean, out.audit, _scratch(spark)))
+    removed = audit.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_duplicates").alias("n_removed"))
+    return removed.crossJoin(clean.agg(F.count(F.lit(1)).alias("n_kept"), F.sum("event_id").alias("sum_ids")))
 
 
 QUERIES = {
@@ -466,20 +527,20 @@ QUERIES = {
     for f in (
         profile_summary_events, profile_dup_rows_part, profile_columns_labelled_documents,
         normalize_customer_name, normalize_email_like_urls, normalize_phone_digits_documents,
-        normalize_trim_documents, row_ids_orders, combined_key_part, preview_customer,
+        normalize_trim_documents, normalize_nulls_labelled_documents, row_ids_orders, combined_key_part, preview_customer,
         common_columns_parties,
         dedup_exact_documents, dedup_exact_audit_documents, dedup_exact_events_multi_key,
         audit_members_events, audit_members_from_audit_events, dedup_summary_events,
         block_pairs_part, block_forecast_part, block_forecast_documents, token_sort_ratio_part,
         dedup_fuzzy_part, dedup_fuzzy_audit_part, dedup_fuzzy_audit_urls,
-        dedup_fuzzy_customer_names, clean_exact_then_fuzzy_part, audit_union,
+        dedup_fuzzy_customer_names, dedup_fuzzy_levenshtein_part, clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
         compare_date_orders, candidate_pairs_documents, link_candidates_parties,
         prior_documents, prior_parties, u_shares_suppliers, trained_weights_suppliers,
-        predict_fixed_weights_documents, cluster_documents, dedupe_prob_audit_documents,
+        predict_fixed_weights_documents, cluster_documents, cluster_all_documents, dedupe_prob_audit_documents,
         dedupe_prob_clean_documents, dedupe_trained_documents, link_pairs_parties,
-        link_audit_parties, link_trained_parties, match_weights_documents,
+        link_audit_parties, link_trained_parties, dedupe_certain_documents, linkage_plan_documents,
         explain_pairs_documents, csv_round_trip_customer, csv_round_trip_conversations,
-        parquet_round_trip_events,
+        parquet_round_trip_events, csv_with_schema_customer, written_result_events,
     )
 }

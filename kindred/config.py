@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from kindred.errors import InvalidConfigError, require_columns
+from kindred.errors import NO_KEYS, InvalidConfigError, one_of, require_columns
 
 MODES = ("exact", "fuzzy", "exact then fuzzy")
 COMPARISON_TYPES = ("exact", "name", "email", "phone", "date")
@@ -25,14 +25,15 @@ class CleanConfig:
     mode: str = "exact"
     threshold: float = 85
     block_size: int = 1
+    scorer: object = "token_sort_ratio"
 
     def __post_init__(self):
         object.__setattr__(self, "keys", tuple(self.keys))
         object.__setattr__(self, "mode", self.mode.lower())
         if not self.keys:
-            raise InvalidConfigError("Choose at least one key column.")
+            raise InvalidConfigError(NO_KEYS)
         if self.mode not in MODES:
-            raise InvalidConfigError(f"Unknown mode '{self.mode}'. Valid: {list(MODES)}")
+            raise InvalidConfigError(one_of("Mode", self.mode, MODES))
 
     @classmethod
     def of(cls, config: CleanConfig | dict) -> CleanConfig:
@@ -42,25 +43,32 @@ class CleanConfig:
 @dataclass(frozen=True)
 class LinkConfig:
     """A linkage run. ``comparisons`` maps column to comparison type; ``blocking`` names the
-    columns a candidate pair must agree on (at least one), by default all compared columns."""
+    columns a candidate pair must agree on (at least one), by default all compared columns.
+
+    ``random_pairs`` bounds the random pairs from which the shares of partial agreement are
+    estimated (shares of equality are exact); they come from rows chosen by a hash. EM stops
+    when nothing moves by ``tolerance`` any more, at the latest after ``em_rounds``; the model
+    says which."""
 
     comparisons: dict[str, str]
     threshold: float = DEFAULT_THRESHOLD
     seed: int = DEFAULT_SEED
     blocking: tuple[str, ...] | None = None
+    random_pairs: int = 1_000_000
+    em_rounds: int = 25
+    tolerance: float = 1e-4
 
     def __post_init__(self):
+        if self.random_pairs < 1 or self.em_rounds < 1:
+            raise InvalidConfigError("Training needs random pairs and EM rounds.")
         if not self.comparisons:
-            raise InvalidConfigError("Choose at least one column to compare.")
+            raise InvalidConfigError("A linkage needs columns to compare; none is configured.")
         for name, kind in self.comparisons.items():
             if kind not in COMPARISON_TYPES:
-                raise InvalidConfigError(
-                    f"Unknown comparison type '{kind}' for column '{name}'. "
-                    f"Valid types: {list(COMPARISON_TYPES)}"
-                )
+                raise InvalidConfigError(one_of(f"Comparison of '{name}' by", kind, COMPARISON_TYPES))
         object.__setattr__(self, "threshold", min(self.threshold, HIGHEST_THRESHOLD))
         if self.threshold <= 0:
-            raise InvalidConfigError("The match probability threshold must be above 0.")
+            raise InvalidConfigError("Every pair would match: set a threshold over zero.")
         object.__setattr__(self, "blocking", tuple(self.blocking) if self.blocking else None)
 
     @classmethod
@@ -86,7 +94,7 @@ class LinkConfig:
         from kindred.functions.compare import LEVELS
 
         if kind not in ("dedupe", "link"):
-            raise InvalidConfigError(f"Unknown run '{kind}'. Valid: ['dedupe', 'link']")
+            raise InvalidConfigError(one_of("Run", kind, ("dedupe", "link")))
         return {
             "kind": kind,
             "comparisons": [

@@ -1,6 +1,15 @@
 """Errors raised to the caller, wherever possible before any Spark job starts."""
 
 
+# Messages used in more than one place.
+NO_KEYS = "Name one or more key columns."
+NO_ROWS = "There is nothing to read: the source has a header at most."
+
+
+def one_of(what: str, value, valid) -> str:
+    return f"{what} '{value}' is not known; use one of {list(valid)}."
+
+
 class CleaningError(Exception):
     """Base of all errors this package raises on purpose."""
 

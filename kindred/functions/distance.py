@@ -1,7 +1,7 @@
 """String similarities Spark has no built-in for, computed on Arrow batches with numpy.
 
-The kernels work on whole batches of pairs: one numpy step per character position, not one
-Python step per pair.
+The kernels work on whole batches of pairs, one numpy step per character position. Only the LCS of
+texts over 64 characters goes pair by pair, with Python's integers as bit vectors of any width.
 """
 
 from __future__ import annotations

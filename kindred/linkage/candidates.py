@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,10 +13,6 @@ from kindred.linkage.model import LinkModel
 from kindred.plans.pairs import TILE_ROWS, join_pairs, largest_groups
 
 
-# The most compared columns for which sets of them are enumerated.
-_MOST_COLUMNS = 10
-
-
 def _side(records: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     renamed = records.drop("_digest").select(
         *[F.col(c).alias(f"{c}_{suffix}") for c in records.columns if c != "_digest"]
@@ -77,32 +72,37 @@ def needed_agreement(
 ) -> list[list[list[str]]]:
     """What a pair must have in common, beyond a rule's own column, to be able to pass.
 
-    With the columns of a set equal and all others at their best level short of equal, the
-    weight either can reach the threshold or cannot. Per rule these are the smallest sets that
-    can; a passing pair agrees on all columns of at least one of them. A weak column that many
-    records share (a city, a language) then only makes pairs together with stronger ones.
+    With some columns equal and all others at their best level short of equal, the weight either
+    can reach the threshold or cannot. Columns without which it never can must all be equal: one
+    join on the rule's key and those. Without such columns, if at least s of the n others must be
+    equal, any n - s + 1 of them hold an equal one: a join on the rule's key and each of the
+    rarest of these. So a rule has n joins at most, however many columns there are, and a weak
+    column that many records share (a city, a language) only makes pairs together with another.
     """
     names = config.columns
     need = _needed_weight(threshold)
     best = [max(0.0, *model.weights(c)[:-1]) for c in names]
-    equal = [max(b, model.weights(c)[-1]) for b, c in zip(best, names)]
-    if len(names) > _MOST_COLUMNS:
-        return [[[]] for _ in config.blocking_columns]
+    gain = [max(0.0, model.weights(c)[-1] - b) for b, c in zip(best, names)]
     out = []
     for column in config.blocking_columns:
         own = {names.index(column)} if column in names else set()
         rest = [i for i in range(len(names)) if i not in own]
-        found: list[set[int]] = []
-        for size in range(len(rest) + 1):
-            for extra in map(set, combinations(rest, size)):
-                if any(small <= extra for small in found):
-                    continue
-                reach = model.prior_weight + sum(
-                    equal[i] if i in own | extra else best[i] for i in range(len(names))
-                )
-                if reach >= need:
-                    found.append(extra)
-        out.append([[f"v{i}" for i in sorted(extra)] for extra in found])
+        base = model.prior_weight + sum(best) + sum(gain[i] for i in own)
+        whole = base + sum(gain[i] for i in rest)
+        if whole < need:
+            out.append([])
+            continue
+        always = [i for i in rest if whole - gain[i] < need]
+        if always:
+            out.append([[f"v{i}" for i in always]])
+            continue
+        reach, s = base, 0
+        for i in sorted(rest, key=lambda i: -gain[i]):
+            if reach >= need:
+                break
+            reach, s = reach + gain[i], s + 1
+        rare = sorted(rest, key=lambda i: (model.u[names[i]][-1], i))
+        out.append([[]] if s == 0 else [[f"v{i}"] for i in rare[: len(rest) - s + 1]])
     return out
 
 

@@ -15,12 +15,19 @@ from kindred.functions.compare import LEVELS
 @dataclass(frozen=True)
 class LinkModel:
     """``prior``: probability that two random records match. ``m`` and ``u``: per column, the
-    share of each level (0 first) among matching and among random pairs."""
+    share of each level (0 first) among matching and among random pairs. ``sessions``: per EM
+    session, its blocking column, the rounds it took and whether it converged; empty for a model
+    that was set by hand."""
 
     prior: float
     comparisons: dict[str, str]
     m: dict[str, list[float]]
     u: dict[str, list[float]]
+    sessions: tuple[tuple[str, int, bool], ...] = ()
+
+    @property
+    def converged(self) -> bool:
+        return all(done for _, _, done in self.sessions)
 
     def weights(self, column: str) -> list[float]:
         return [math.log2(m / u) for m, u in zip(self.m[column], self.u[column])]

@@ -1,13 +1,12 @@
 """Training without labels: prior, u from random pairs, m by expectation maximisation.
 
-Spark reduces the pairs to counts of agreement patterns, of which there are at most a few
-thousand; only those counts reach the driver.
+Spark reduces the pairs to counts of agreement patterns. There are at most (levels + 2) to the
+number of columns, times 2 to the number of blocking columns; only those counts reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,12 +20,8 @@ from kindred.plans.ids import number_rows
 from kindred.plans.pairs import TILE_ROWS
 
 RECALL = 0.9
-MAX_RANDOM_PAIRS = 1_000_000
 START_TOP = 0.95
-MAX_ROUNDS = 25
-TOLERANCE = 1e-4
 LOWEST_M = 1e-9
-_MOST_CUBE_KEYS = 6
 
 _BIG = "decimal(38,0)"
 
@@ -38,56 +33,32 @@ def _pair_count(n: Column, n_other: Column | None = None) -> Column:
     return (n * (n - 1) / 2).cast(_BIG)
 
 
-def _tagged(left: DataFrame, right: DataFrame | None, keys: list[str]) -> DataFrame:
-    a = left.select(*keys, F.col("copies").alias("n_l"), F.lit(0).cast("bigint").alias("n_r"))
-    if right is None:
-        return a
-    b = right.select(*keys, F.lit(0).cast("bigint").alias("n_l"), F.col("copies").alias("n_r"))
-    return a.unionAll(b)
-
+def equal_pairs(
+    left: DataFrame, right: DataFrame | None, columns: list[str]
+) -> dict[str, tuple[int, int]]:
+    """Per column, the pairs with equal values and the pairs without a missing value.
 
-def agreeing_pairs(
-    left: DataFrame, right: DataFrame | None, keys: list[str]
-) -> dict[frozenset[str], int]:
-    """Number of pairs equal on all columns of each non-empty set of ``keys``.
+    Counted from group sizes, so no pair is made, however large a group is."""
+    def side(records: DataFrame, n_l: Column, n_r: Column) -> DataFrame:
+        values = [F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("h1"), F.md5(F.col(c)).alias("h2"),
+                           F.col(c).isNotNull().alias("known")) for c in columns]
+        one = records.select(F.inline(F.array(*values)), n_l.alias("n_l"), n_r.alias("n_r"))
+        return one.where("known")
 
-    Counted from group sizes, so no pair is made: one aggregation over all column sets, merged
-    per key before the shuffle, however large a group is.
-    """
-    n, n_other = F.sum("n_l"), F.sum("n_r")
-    cubed = _tagged(left, right, keys).cube(*keys).agg(
-        F.grouping_id(*keys).alias("_set"), n.alias("n_l"), n_other.alias("n_r")
-    )
-    # bit of a key is set where it is rolled up; a null where it is not is a missing value
-    bits = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
-    for key, bit in bits.items():
-        cubed = cubed.where((F.col("_set").bitwiseAND(F.lit(bit)) != 0) | F.col(key).isNotNull())
-    pairs = _pair_count(F.col("n_l"), None if right is None else F.col("n_r"))
-    rows = cubed.groupBy("_set").agg(F.sum(pairs).alias("pairs")).collect()
-    found = {row["_set"]: int(row["pairs"] or 0) for row in rows}
-    sets = [frozenset(c) for r in range(1, len(keys) + 1) for c in combinations(keys, r)]
-    full = (1 << len(keys)) - 1
-    return {s: found.get(full - sum(bits[k] for k in s), 0) for s in sets}
-
-
-def agreeing_on_any(
-    left: DataFrame, right: DataFrame | None, keys: list[str]
-) -> tuple[int, dict[str, int]]:
-    """Distinct pairs equal on at least one key (inclusion-exclusion), and pairs per key.
-
-    With many keys the column sets get too many; then the rule chain is counted instead.
-    """
-    if len(keys) <= _MOST_CUBE_KEYS:
-        counts = agreeing_pairs(left, right, keys)
-        total = sum((-1) ** (len(s) + 1) * n for s, n in counts.items())
-        return total, {k: counts[frozenset([k])] for k in keys}
-    single = {k: agreeing_pairs(left, right, [k])[frozenset([k])] for k in keys}
-    chain = candidate_pairs(left, right, len(keys))
-    made = chain.agg(F.sum(_pair_count(F.col("copies_l"), F.col("copies_r")))).first()[0] or 0
-    if right is None:
-        own = copy_pairs(left).agg(F.sum(_pair_count(F.col("copies_l")))).first()[0] or 0
-        made += own
-    return int(made), single
+    copies, none = F.col("copies"), F.lit(0).cast("bigint")
+    rows = side(left, copies, none)
+    if right is not None:
+        rows = rows.unionAll(side(right, none, copies))
+    groups = rows.groupBy("column", "h1", "h2").agg(F.sum("n_l").alias("n_l"), F.sum("n_r").alias("n_r"))
+    other = None if right is None else F.col("n_r")
+    sums = groups.groupBy("column").agg(
+        F.sum(_pair_count(F.col("n_l"), other)).alias("equal"), F.sum("n_l").alias("n_l"), F.sum("n_r").alias("n_r")
+    ).collect()  # one row per compared column
+    out = {c: (0, 0) for c in columns}
+    for r in sums:
+        known = all_pairs_of(int(r["n_l"]), None if right is None else int(r["n_r"]))
+        out[r["column"]] = (int(r["equal"] or 0), known)
+    return out
 
 
 def all_pairs_of(n_left: int, n_right: int | None) -> int:
@@ -108,13 +79,14 @@ def _sample(rows: DataFrame, n: int, size: int, seed: int, name: str) -> DataFra
 
 def random_patterns(
     left: DataFrame, n_left: int, right: DataFrame | None, n_right: int | None,
-    config: LinkConfig, max_pairs: int = MAX_RANDOM_PAIRS,
+    config: LinkConfig,
 ) -> DataFrame:
     """Agreement patterns of all pairs of a sample of rows; of all rows if those are few.
 
     The pairs are numbered 0, 1, ... and each number is turned into two positions, so the pairs
     come from a range and two joins with a sample of fixed size.
     """
+    max_pairs = config.random_pairs
     if right is None:
         size = min(n_left, (1 + math.isqrt(1 + 8 * max_pairs)) // 2)
         n_pairs = size * (size - 1) // 2
@@ -189,12 +161,21 @@ class Patterns:
         return np.bincount(self.gamma[known, i], w[known], minlength=levels)
 
 
-def u_shares(patterns: Patterns, config: LinkConfig) -> dict[str, np.ndarray]:
+def u_shares(
+    patterns: Patterns, config: LinkConfig, equal: dict[str, tuple[int, int]]
+) -> dict[str, np.ndarray]:
+    """Share of each level among random pairs: of equality from ``equal`` (exact counts over all
+    pairs), of the levels below from the sampled patterns, in proportion."""
     floor = 0.5 / max(patterns.pairs.sum(), 1.0)
     out = {}
     for i, (column, kind) in enumerate(config.comparisons.items()):
-        counts = patterns.level_counts(i, top_level(kind) + 1)
-        out[column] = np.maximum(counts / max(counts.sum(), 1.0), floor)
+        top = top_level(kind)
+        counts = patterns.level_counts(i, top + 1)
+        same, known = equal[f"v{i}"]
+        share = same / max(known, 1)
+        below = counts[:top].sum()
+        lower = counts[:top] / below * (1.0 - share) if below else counts[:top] * 0.0
+        out[column] = np.maximum(np.append(lower, share), floor)
     return out
 
 
@@ -205,9 +186,10 @@ def start_m(kind: str) -> np.ndarray:
 
 def em_session(
     patterns: Patterns, config: LinkConfig, u: dict[str, np.ndarray], fixed: str | None,
-    odds: float, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE,
-) -> dict[str, np.ndarray]:
-    """m of the columns that are free among pairs equal on one column (``fixed``, if compared).
+    odds: float,
+) -> tuple[dict[str, np.ndarray], int, bool]:
+    """m of the columns that are free among pairs equal on one column (``fixed``, if compared),
+    the rounds it took, and whether it converged.
 
     Levels no pair shows come back as nan.
     """
@@ -215,7 +197,8 @@ def em_session(
     m = {c: start_m(config.comparisons[c]) for _, c in free}
     prior = odds / (1.0 + odds)
     total = patterns.pairs.sum()
-    for _ in range(rounds):
+    rounds, converged = 0, False
+    for rounds in range(1, config.em_rounds + 1):
         logit = np.full(len(patterns.pairs), math.log(prior / (1.0 - prior)))
         for i, c in free:
             ratio = np.append(np.log(m[c] / u[c]), 0.0)  # index -1: missing
@@ -230,12 +213,13 @@ def em_session(
                 new = np.maximum(counts / counts.sum(), LOWEST_M)
                 change = max(change, float(np.abs(new - m[c]).max()))
                 m[c] = new
-        if change < tolerance:
+        if change < config.tolerance:
+            converged = True
             break
     for i, c in free:
         unseen = patterns.level_counts(i, len(m[c])) == 0
         m[c] = np.where(unseen, np.nan, m[c])
-    return m
+    return m, rounds, converged
 
 
 def combine_sessions(sessions: list[dict], config: LinkConfig) -> dict[str, list[float]]:
@@ -255,46 +239,50 @@ def combine_sessions(sessions: list[dict], config: LinkConfig) -> dict[str, list
     return out
 
 
+def agreeing_per_key(patterns: Patterns, n_keys: int) -> list[int]:
+    """Candidate pairs equal on each blocking column."""
+    return [int(patterns.pairs[(patterns.agree >> j) & 1 == 1].sum()) for j in range(n_keys)]
+
+
 def train(
     left: DataFrame, rows_left: DataFrame, right: DataFrame | None, rows_right: DataFrame | None,
-    config: LinkConfig, tile_rows: int = TILE_ROWS, max_pairs: int = MAX_RANDOM_PAIRS,
-    rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE,
+    config: LinkConfig, tile_rows: int = TILE_ROWS,
 ) -> LinkModel:
-    """``left``/``right``: records with copies merged; ``rows_*``: the same before merging."""
-    keys = [f"k{j}" for j in range(len(config.blocking_columns))]
+    """``left``/``right``: records with copies merged; ``rows_*``: the same before merging.
+
+    The pattern counts of the candidate pairs say everything: how many pairs agree on some
+    blocking column (the prior), on which, and how the other columns agree among them (EM).
+    """
+    names, n = config.blocking_columns, len(config.comparisons)
     n_left = left.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     n_right = None
     if right is not None:
         n_right = right.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     total = all_pairs_of(n_left, n_right)
-    agreeing, per_key = agreeing_on_any(left, right, keys) if total else (0, {})
-    trainable = [j for j, k in enumerate(keys) if per_key.get(k, 0) > 0]
+    patterns = Patterns(blocked_patterns(left, right, config, tile_rows).collect() if total else [], n)
+    per_key = agreeing_per_key(patterns, len(names))
+    trainable = [j for j, pairs in enumerate(per_key) if pairs]
     if not trainable:
         raise CleaningError(
-            "Not enough data to train: no column has an exact match. Choose columns that share "
-            "some exact values, or clean the data first."
+            "The model cannot be trained: no two records are equal in any blocking column."
         )
-    names = config.blocking_columns
     if not any(set(config.columns) - {names[j]} for j in trainable):
         raise CleaningError(
-            "Not enough data to train: the only compared column is also the only blocking column."
+            "The model cannot be trained: nothing is compared but the blocking column itself."
         )
-    prior = estimate_prior(agreeing, total)
-    n = len(config.comparisons)
-    random_ = random_patterns(rows_left, n_left, rows_right, n_right, config, max_pairs)
-    u = u_shares(Patterns(random_.collect(), n), config)
-    patterns = Patterns(blocked_patterns(left, right, config, tile_rows).collect(), n)
-    sessions = []
+    prior = estimate_prior(int(patterns.pairs.sum()), total)
+    sampled = Patterns(random_patterns(rows_left, n_left, rows_right, n_right, config).collect(), n)
+    u = u_shares(sampled, config, equal_pairs(left, right, [f"v{i}" for i in range(n)]))
+    sessions, log = [], []
     for j in trainable:
         column = names[j]
-        if column in config.comparisons:
-            by_chance = u[column][-1]
-        else:
-            by_chance = per_key[keys[j]] / total
+        by_chance = u[column][-1] if column in config.comparisons else per_key[j] / total
         odds = prior / (1.0 - prior) * START_TOP / by_chance
         within = patterns.where((patterns.agree >> j) & 1 == 1)
-        sessions.append(em_session(within, config, u, column, odds, rounds, tolerance))
+        m, rounds, converged = em_session(within, config, u, column, odds)
+        sessions.append(m)
+        log.append((column, rounds, converged))
     return LinkModel(
         prior, dict(config.comparisons), combine_sessions(sessions, config),
-        {c: shares.tolist() for c, shares in u.items()},
+        {c: shares.tolist() for c, shares in u.items()}, tuple(log),
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import NamedTuple
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.errors import CleaningError
+from kindred.plans.cut import cut_lineage
 from kindred.plans.ids import number_rows
 
 AUDIT_SCHEMA = (
@@ -18,57 +18,87 @@ PROB_AUDIT_SCHEMA = AUDIT_SCHEMA + ", match_probability double"
 AUDIT_COLUMNS = [f.split()[0] for f in AUDIT_SCHEMA.split(", ")]
 PROB_AUDIT_COLUMNS = [f.split()[0] for f in PROB_AUDIT_SCHEMA.split(", ")]
 
-# Ids listed in one audit row. A larger group goes on in further rows with the same group_id, so
-# that no row and no task has to hold an unbounded list.
-IDS_PER_ROW = 100_000
 
+class Grouping:
+    """Groups of records of which one is kept; audit and members are built when they are asked for.
 
-class DedupResult(NamedTuple):
-    """``members`` has one row per removed record and is the form to join with at scale."""
-
-    clean: DataFrame
-    audit: DataFrame
-    members: DataFrame
-
-
-def build_audit(
-    members: DataFrame,
-    keys: DataFrame,
-    method: str,
-    order_by: list[str | Column] | None = None,
-    ids_per_row: int = IDS_PER_ROW,
-) -> tuple[DataFrame, DataFrame]:
-    """Number the groups and list what each one removed.
+    ``removed``: kept_index, removed_index, one row per removed record. ``keys``: a row per
+    kept_index (others may be present) with key and, for probabilistic audits, match_probability.
+    """
 
-    ``members``: kept_index, removed_index, a row per removed record; read twice, so written.
-    ``keys``: a row per kept_index (others may be present) with key and, for probabilistic
-    audits, match_probability.
-    Returns the audit and the members with their group_id and method.
+    def __init__(
+        self, removed: DataFrame, keys: DataFrame, method: str,
+        order_by: list[str | Column] | None = None, first_group: int = 1,
+    ):
+        self._removed, self._keys, self.method = removed, keys, method
+        self._order_by, self._first_group = order_by or ["kept_index"], first_group
+
+    @cached_property
+    def removed(self) -> DataFrame:
+        return cut_lineage(self._removed)
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        groups = self.removed.groupBy("kept_index").agg(F.count(F.lit(1)).alias("n_duplicates"))
+        return number_rows(
+            groups.join(self._keys, "kept_index"), self._order_by, "group_id", start=self._first_group
+        )
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """One row per removed record: the form to join with at scale."""
+        numbered = self._numbered.select("kept_index", "group_id")
+        return self.removed.join(numbered, "kept_index").select(
+            "group_id", F.lit(self.method).alias("method"), "kept_index", "removed_index"
+        )
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """One row per group, whatever its size, with the removed ids as one text.
+
+        A text holds at most 2 GB, about a hundred million ids; use ``members`` for larger groups.
+        """
+        listed = self.removed.groupBy("kept_index").agg(
+            F.array_sort(F.collect_list("removed_index")).alias("_ids")
+        )
+        columns = PROB_AUDIT_COLUMNS if "match_probability" in self._keys.columns else AUDIT_COLUMNS
+        return (
+            listed.join(self._numbered, "kept_index")
+            .withColumn("method", F.lit(self.method))
+            .withColumn("removed_indices", F.array_join(F.col("_ids").cast("array<string>"), ","))
+            .select(*columns)
+        )
+
+    def after(self, groups: int) -> Grouping:
+        """The same with group numbers that go on from ``groups``."""
+        return Grouping(self.removed, self._keys, self.method, self._order_by, groups + 1)
+
+
+class DedupResult:
+    """``clean``: the rows kept. ``members`` has one row per removed record, ``audit`` one per group.
+
+    Only ``clean`` is planned at once; the others cost nothing unless they are asked for.
     """
-    groups = (
-        members.groupBy("kept_index")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(keys, "kept_index")
-    )
-    numbered = number_rows(groups, order_by or ["kept_index"], "group_id", start=1)
-    labelled = members.join(numbered.select("kept_index", "group_id", "_n"), "kept_index")
-    rows_needed = F.ceil(F.col("_n") / F.lit(ids_per_row))
-    listed = (
-        labelled.withColumn("_slice", F.pmod(F.xxhash64("removed_index"), rows_needed))
-        .groupBy("group_id", "_slice")
-        .agg(F.array_sort(F.collect_list("removed_index")).alias("_ids"))
-    )
-    columns = PROB_AUDIT_COLUMNS if "match_probability" in keys.columns else AUDIT_COLUMNS
-    audit = (
-        listed.join(numbered, "group_id")
-        .withColumn("method", F.lit(method))
-        .withColumn("removed_indices", F.array_join(F.col("_ids").cast("array<string>"), ","))
-        .withColumn("n_duplicates", F.size("_ids").cast("bigint"))
-        .select(*columns)
-    )
-    return audit, labelled.select(
-        "group_id", F.lit(method).alias("method"), "kept_index", "removed_index"
-    )
+
+    def __init__(self, clean: DataFrame, *groupings: Grouping):
+        self.clean, self.groupings = clean, groupings
+
+    @cached_property
+    def _numbered_on(self) -> list[Grouping]:
+        out, groups = [], 0
+        for at, grouping in enumerate(self.groupings):
+            out.append(grouping.after(groups) if groups else grouping)
+            if at + 1 < len(self.groupings):
+                groups += grouping.removed.agg(F.count_distinct("kept_index")).first()[0]
+        return out
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [g.members for g in self._numbered_on])
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [g.audit for g in self._numbered_on])
 
 
 def drop_rows(df: DataFrame, row_id: str, members: DataFrame) -> DataFrame:

@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from kindred.config import CleanConfig
 from kindred.errors import require_columns
 from kindred.operators.audit import DedupResult
-from kindred.operators.exact import dedup_exact
-from kindred.operators.fuzzy import dedup_fuzzy
+from kindred.operators.exact import exact_rows
+from kindred.operators.fuzzy import FuzzySettings, fuzzy_rows
 from kindred.operators.normalize import normalize
 from kindred.plans.ids import with_row_id
 
 
-def clean_table(df: DataFrame, config: CleanConfig | dict, id_col: str | None = None) -> DedupResult:
+def clean_table(
+    df: DataFrame, config: CleanConfig | dict, id_col: str | None = None,
+    order_by: str | list[str] | None = None, trusted: bool = False,
+) -> DedupResult:
     """Row ids stay those of the input through both stages, and groups of the second stage are
     numbered on from the first. A row the exact stage kept may be removed by the fuzzy stage;
     both audits then say so."""
     config = CleanConfig.of(config)
     require_columns(df, config.keys, "Key column")
-    rows = normalize(with_row_id(df, id_col=id_col), config.normalize)
+    rows = normalize(with_row_id(df, order_by, id_col, trusted), config.normalize)
     keys = list(config.keys)
     if config.mode == "exact":
-        return dedup_exact(rows, keys, id_col=id_col)
+        return exact_rows(rows, keys)
+    settings = FuzzySettings(config.threshold, config.scorer, config.block_size)
     if config.mode == "fuzzy":
-        return dedup_fuzzy(
-            rows, keys, config.threshold, block_size=config.block_size, id_col=id_col
-        )
-    exact = dedup_exact(rows, keys, id_col=id_col)
-    fuzzy = dedup_fuzzy(
-        exact.clean, keys, config.threshold, block_size=config.block_size, id_col=id_col
-    )
-    last = exact.members.agg(F.coalesce(F.max("group_id"), F.lit(0))).first()[0]
-
-    def after(table: DataFrame) -> DataFrame:
-        return table.withColumn("group_id", F.col("group_id") + F.lit(last))
-
-    return DedupResult(
-        fuzzy.clean,
-        exact.audit.unionByName(after(fuzzy.audit)),
-        exact.members.unionByName(after(fuzzy.members)),
-    )
+        return fuzzy_rows(rows, keys, settings)
+    exact = exact_rows(rows, keys)
+    # the second stage looks at the first's survivors as ids and match texts, written once
+    fuzzy = fuzzy_rows(exact.clean, keys, settings)
+    return DedupResult(fuzzy.clean, *exact.groupings, *fuzzy.groupings)

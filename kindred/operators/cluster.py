@@ -28,10 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionAll(least.withColumnRenamed("root", "dst")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``edges``: src, dst of integer ids. Returns node, component (the smallest id in it).
 
-    Nodes without edges do not appear; they are their own component.
+    ``vertices`` (column node) adds those without edges, each a component of its own; without it
+    only nodes with edges appear.
     """
     current = cut_lineage(
         edges.where("src <> dst")
@@ -46,6 +47,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = state
         current = cut_lineage(_small_star(_large_star(current)))
     roots = current.select(F.col("dst").alias("node")).distinct()
-    return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(
+    found = current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
     )
+    if vertices is None:
+        return found
+    alone = vertices.select("node").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))

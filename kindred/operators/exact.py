@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.errors import InvalidConfigError, require_columns
+from kindred.errors import NO_KEYS, InvalidConfigError, require_columns
 from kindred.functions.text import combined_key, digest, key_text
-from kindred.operators.audit import IDS_PER_ROW, DedupResult, build_audit, drop_rows
-from kindred.plans.cut import cut_lineage
+from kindred.operators.audit import DedupResult, Grouping, drop_rows
 from kindred.plans.ids import ROW_ID, with_row_id
 
 
 def check_keys(df: DataFrame, keys: list[str]) -> None:
     if not keys:
-        raise InvalidConfigError("Choose at least one key column.")
+        raise InvalidConfigError(NO_KEYS)
     require_columns(df, keys, "Key column")
 
 
@@ -28,18 +27,10 @@ def duplicate_groups(keyed: DataFrame, by: str) -> DataFrame:
     )
 
 
-def dedup_exact(
-    df: DataFrame, keys: list[str], id_col: str | None = None, ids_per_row: int = IDS_PER_ROW
-) -> DedupResult:
-    """Keep the first row of each key; null counts as the empty string.
-
-    Only (digest, id) is shuffled to find the groups. Whole rows move at most once, in the anti
-    join, and not at all if the removed ids are few enough for AQE to broadcast.
-    """
-    check_keys(df, keys)
-    rows = with_row_id(df, id_col=id_col)
+def exact_rows(rows: DataFrame, keys: list[str]) -> DedupResult:
+    """``dedup_exact`` for a table that has its row ids."""
     keyed = rows.select(ROW_ID, digest([key_text(rows, k) for k in keys]).alias("_digest"))
-    members = cut_lineage(
+    removed = (
         keyed.join(duplicate_groups(keyed, "_digest"), "_digest")
         .where(F.col(ROW_ID) != F.col("kept_index"))
         .select("kept_index", F.col(ROW_ID).alias("removed_index"))
@@ -47,5 +38,18 @@ def dedup_exact(
     key_of_kept = rows.select(
         F.col(ROW_ID).alias("kept_index"), combined_key(rows, keys).alias("key")
     )
-    audit, labelled = build_audit(members, key_of_kept, "exact", ids_per_row=ids_per_row)
-    return DedupResult(drop_rows(rows, ROW_ID, members), audit, labelled)
+    return DedupResult(drop_rows(rows, ROW_ID, removed), Grouping(removed, key_of_kept, "exact"))
+
+
+def dedup_exact(
+    df: DataFrame, keys: list[str], id_col: str | None = None,
+    order_by: str | list[str] | None = None, trusted: bool = False,
+) -> DedupResult:
+    """Keep the first row of each key; null counts as the empty string.
+
+    Rows come in the order of ``id_col``, or of ``order_by`` (which must tell all rows apart), or
+    as Spark reads them. Only (digest, id) is shuffled to find the groups. Whole rows move at most
+    once, in the anti join, and not at all if the removed ids are few enough for AQE to broadcast.
+    """
+    check_keys(df, keys)
+    return exact_rows(with_row_id(df, order_by, id_col, trusted), keys)

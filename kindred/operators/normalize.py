@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.errors import CleaningError, require_columns
+from kindred.errors import CleaningError, one_of, require_columns
 from kindred.functions.text import WHITE_SPACE, key_text
 
 
@@ -25,9 +25,7 @@ def normalize(df: DataFrame, config: dict[str, list[str]]) -> DataFrame:
     require_columns(df, config)
     unknown = sorted({op for ops in config.values() for op in ops} - set(OPERATIONS))
     if unknown:
-        raise CleaningError(
-            f"Unknown normalization(s) {unknown}. Valid: {list(OPERATIONS)}"
-        )
+        raise CleaningError(one_of("Operation", ", ".join(unknown), OPERATIONS))
     columns = {}
     for name, ops in config.items():
         text = key_text(df, name)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kindred.errors import CleaningError, EmptyDataError, UnsupportedFormatError
-from kindred.plans.ids import ROW_ID
+from kindred.errors import NO_ROWS, CleaningError, EmptyDataError, UnsupportedFormatError, one_of
+from kindred.plans.ids import ROW_ID, quoted
 from kindred.sources.typing import NA_VALUES, null_out, pick_types, unique_names
 from kindred.sources.workbook import read_workbooks, workbook_catalog
 
@@ -23,36 +23,50 @@ def _extension(path: str) -> str:
 
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise EmptyDataError("The source has no data rows (empty or header only).")
+        raise EmptyDataError(NO_ROWS)
     return df
 
 
 def read_csv(
     spark: SparkSession, path: str, multi_line: bool = False, na_values=NA_VALUES,
-    encoding: str = "UTF-8",
+    encoding: str = "UTF-8", schema: StructType | str | None = None,
 ) -> DataFrame:
     """CSV with a header row. Cells are read as text, missing-value tokens become null, then types
-    are picked from all values.
+    are picked from all values, or cast to those of ``schema``, which needs one scan only (and a
+    value that is not of its type fails).
 
+    All files of a folder must have the same header; another order of columns is an error, not
+    other data.
     ``multi_line`` allows line breaks inside quoted cells, but makes every file one task, so it is
     off for large input.
     """
     options = {"multiLine": multi_line, "escape": '"', "encoding": encoding, "quote": '"'}
+    if schema is not None:
+        typed = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        text = StructType([StructField(f.name, StringType()) for f in typed])
+        raw = spark.read.options(**options, mode="FAILFAST").schema(text).csv(
+            path, header=True, enforceSchema=False
+        )
+        raw = null_out(raw, na_values)
+        return raw.select(*(F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in typed))
     head = spark.read.options(**options).csv(path, header=False)
     if not head.columns:
-        raise EmptyDataError("The source has no data rows (empty or header only).")
+        raise EmptyDataError(NO_ROWS)
     header = head.first()
     if header is None:
-        raise EmptyDataError("The source has no data rows (empty or header only).")
+        raise EmptyDataError(NO_ROWS)
     names = unique_names(list(header))
     schema = StructType([StructField(n, StringType()) for n in names])
+    # blank and repeated headers were given names, so those files can't be held to the header
     raw = spark.read.options(**options, mode="FAILFAST").schema(schema).csv(
-        path, header=True, enforceSchema=True
+        path, header=True, enforceSchema=names != list(header)
     )
     try:
         require_rows(raw)
         return pick_types(null_out(raw, na_values))
     except Exception as error:
+        if "CSV header does not conform" in str(error):
+            raise CleaningError(f"The files of {path} have different headers.") from error
         if "MALFORMED_RECORD" in str(error) or "FAILED_READ_FILE" in str(error):
             hint = "" if multi_line else " If cells hold line breaks, pass multi_line=True."
             raise CleaningError(f"Could not read {path} as CSV.{hint}") from error
@@ -68,9 +82,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, **optio
         return read_workbooks(spark, path, sheet)
     if ext in (".parquet", ".orc", ".json"):
         return require_rows(spark.read.options(**options).format(ext[1:]).load(path))
-    raise UnsupportedFormatError(
-        f"Unsupported file format '{ext}'. Readable: {', '.join(_READABLE)}."
-    )
+    raise UnsupportedFormatError(one_of("File type", ext, _READABLE))
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[str]:
@@ -88,9 +100,7 @@ def write_table(df: DataFrame, path: str, single_file: bool = False, mode: str =
     """
     ext = _extension(path)
     if ext not in _WRITABLE:
-        raise UnsupportedFormatError(
-            f"Unsupported file format '{ext}'. Writable: {', '.join(_WRITABLE)}."
-        )
+        raise UnsupportedFormatError(one_of("File type to write", ext, _WRITABLE))
     out = df.drop(ROW_ID)
     if single_file:
         out = out.coalesce(1)

@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.errors import CleaningError, EmptyDataError
+from kindred.errors import NO_ROWS, CleaningError, EmptyDataError
 from kindred.sources.typing import NA_VALUES, unique_names
 
 # XML namespaces of the file format and its built-in date formats.
@@ -183,7 +183,7 @@ def read_workbooks(
         .collect()
     )
     if not headers:
-        raise EmptyDataError("The source has no data rows (empty or header only).")
+        raise EmptyDataError(NO_ROWS)
     if len(headers) > 1:
         raise CleaningError("The workbooks do not share one header row.")
     names = unique_names(headers[0]["names"])
@@ -209,7 +209,7 @@ def read_workbooks(
         ]
     fits = rows.agg(*tests).first()
     if not fits["rows"]:
-        raise EmptyDataError("The source has no data rows (empty or header only).")
+        raise EmptyDataError(NO_ROWS)
     columns = []
     for i, name in enumerate(names):
         n = fits[f"all{i}"]

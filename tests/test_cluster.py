@@ -34,5 +34,13 @@ def test_components(spark, shape):
     assert rows_of(connected_components(df)) == union_find([e for e in edges if e[0] != e[1]])
 
 
+def test_vertices_without_edges_are_components(spark):
+    edges = spark.createDataFrame([(2, 3)], "src long, dst long")
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (9,), (9,)], "node long")
+    assert rows_of(connected_components(edges, nodes)) == [(1, 1), (2, 2), (3, 2), (9, 9)]
+    none = edges.where("src > 5")
+    assert rows_of(connected_components(none, nodes)) == [(1, 1), (2, 2), (3, 3), (9, 9)]
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0

@@ -1,8 +1,10 @@
 import __spark_entry__ as driver
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 def test_entry_and_registry(spark):
     audit = driver.entry(spark)
     assert audit.count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert len(driver.queries()) - len(driver.oracle_sql()) <= 2
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(driver.queries())

@@ -2,8 +2,9 @@ import random
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
-from kindred.errors import CleaningError, ColumnNotFoundError
+from kindred.errors import CleaningError, ColumnNotFoundError, InvalidConfigError
 from kindred.operators.audit import AUDIT_COLUMNS, audit_members, summary, union_audits
 from kindred.operators.clean import clean_table
 from kindred.operators.exact import dedup_exact
@@ -71,14 +72,28 @@ def test_random_keys_any_partitioning(spark, parts):
     assert rows_of(audit_members(out.audit)) == rows_of(out.members)
 
 
-def test_large_groups_go_on_in_further_rows(spark):
-    df = spark.createDataFrame([(i, "k" if i < 50 else "l") for i in range(52)], "id long, k string")
-    audit = dedup_exact(df, ["k"], id_col="id", ids_per_row=10).audit.collect()
-    of_k = [r for r in audit if r.key == "k"]
-    assert len(of_k) > 1 and {r.group_id for r in of_k} == {1}
-    assert sum(r.n_duplicates for r in of_k) == 49
-    ids = [int(i) for r in of_k for i in r.removed_indices.split(",")]
-    assert sorted(ids) == list(range(1, 50))
+def test_one_row_per_group_whatever_its_size(spark):
+    df = spark.range(0, 150_000).withColumn("k", F.when(F.col("id") < 149_990, "k").otherwise("l"))
+    out = dedup_exact(df, ["k"], id_col="id")
+    audit = out.audit.orderBy("group_id").collect()
+    assert [(r.group_id, r.n_duplicates) for r in audit] == [(1, 149_989), (2, 9)]
+    assert audit[0].removed_indices.count(",") == 149_988
+    assert out.members.where("group_id = 1").count() == 149_989
+
+
+def test_ids_must_be_unique(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "b")], "id long, k string")
+    with pytest.raises(InvalidConfigError, match="null|more than once"):
+        dedup_exact(df, ["k"], id_col="id")
+    with pytest.raises(InvalidConfigError, match="more than once"):
+        dedup_exact(df.where("id is not null"), ["k"], id_col="id")
+    assert dedup_exact(df.where("id = 2"), ["k"], id_col="id", trusted=True).clean.count() == 1
+
+
+def test_order_by_says_which_row_is_first(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, day int").repartition(3)
+    assert rows_of(dedup_exact(df, ["k"], order_by="day").clean, "k", "day") == [("a", 1), ("b", 2)]
+    assert rows_of(clean_table(df, {"keys": ["k"]}, order_by="day").clean, "k", "day") == [("a", 1), ("b", 2)]
 
 
 def test_plan_shuffles_digests_not_texts(spark):

@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from conftest import rows_of
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from kindred.errors import ColumnNotFoundError, InvalidConfigError
 from kindred.functions.distance import indel_ratios, lcs_lengths
 from kindred.functions.signature import gram_size, signature
 from kindred.operators.fuzzy import (
-    assign_representatives, SCORERS, dedup_fuzzy, first_representatives, similar_pairs,
+    SCORERS, assign_representatives, column_scorer, dedup_fuzzy, first_representatives, similar_pairs,
 )
 
 
@@ -27,21 +28,37 @@ def token_sort_ratio(a, b):
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
 
-def greedy(keys, threshold, block_size, score=token_sort_ratio):
-    blocks = {}
-    for i, k in enumerate(keys):
-        blocks.setdefault(k.lower()[:block_size], []).append((i, k.lower()))
-    out = []
-    for members in blocks.values():
-        reps = []
-        for i, k in members:
-            rep = next((r for r in reps if score(k, r[1]) >= threshold), None)
-            if rep is None:
-                reps.append((i, k, []))
-            else:
-                rep[2].append(i)
-        out += [(i, k, ",".join(map(str, ids)), len(ids)) for i, k, ids in reps if ids]
-    return [(n, "fuzzy", k, i, ids, size) for n, (i, k, ids, size) in enumerate(out, 1)]
+def representatives(matches):
+    """For each row the representative it belongs to, from the definition: a row is a representative
+    iff no earlier representative matches it, and belongs to the earliest that does.
+
+    ``matches[i, j]``: row i matches the earlier row j. Solved as a fixed point from an arbitrary
+    start: row i is settled once all rows before it are."""
+    n = len(matches)
+    is_rep = np.ones(n, bool)
+    earlier = np.tril(matches, -1)
+    for _ in range(n):
+        new = ~(earlier & is_rep).any(axis=1)
+        if (new == is_rep).all():
+            break
+        is_rep = new
+    owner = np.where(is_rep, np.arange(n), np.argmax(earlier & is_rep, axis=1))
+    return owner
+
+
+def by_definition(keys, threshold, block_size, score=token_sort_ratio):
+    """The audit, from all scores."""
+    lower = [k.lower() for k in keys]
+    block = [k[:block_size] for k in lower]
+    matches = np.array([[block[i] == block[j] and j < i and score(lower[i], lower[j]) >= threshold
+                         for j in range(len(keys))] for i in range(len(keys))]).reshape(len(keys), -1)
+    owner = representatives(matches)
+    groups = {}
+    for i, rep in enumerate(owner.tolist()):
+        if i != rep:
+            groups.setdefault(rep, []).append(str(i))
+    order = sorted(groups, key=lambda rep: (block.index(block[rep]), rep))
+    return [(n, "fuzzy", lower[rep], rep, ",".join(groups[rep]), len(groups[rep])) for n, rep in enumerate(order, 1)]
 
 
 def some_names(n, seed):
@@ -64,18 +81,18 @@ def audit_of(spark, keys, **options):
 
 
 @pytest.mark.parametrize(
-    ("threshold", "leaders"), [(0, 512), (60, 3), (75, 2), (85, 512), (85, 3), (92, 2), (100, 4)]
+    ("threshold", "leaders"), [(0, 512), (60, 3), (75, 2), (85, 512), (85, 3), (92, 2), (100, 4), (85, 1)]
 )
-def test_same_as_a_loop_over_the_rows(spark, threshold, leaders):
+def test_same_as_the_definition(spark, threshold, leaders):
     names = some_names(150, threshold)
     got = audit_of(spark, names, threshold=threshold, leaders=leaders, rows_per_task=20)
-    assert got == greedy(names, threshold, 1)
+    assert got == by_definition(names, threshold, 1)
 
 
 @pytest.mark.parametrize("block_size", [0, 2])
 def test_block_size(spark, block_size):
     names = some_names(120, 5)
-    assert audit_of(spark, names, threshold=80, block_size=block_size) == greedy(names, 80, block_size)
+    assert audit_of(spark, names, threshold=80, block_size=block_size) == by_definition(names, 80, block_size)
 
 
 def test_custom_scorer_sees_candidate_then_representative(spark):
@@ -83,7 +100,7 @@ def test_custom_scorer_sees_candidate_then_representative(spark):
         return 100.0 * candidate.startswith(representative)
 
     names = ["ab", "abc", "a", "abcd", "ad", "x", "xy"]
-    assert audit_of(spark, names, scorer=prefix, leaders=2) == greedy(names, 85, 1, prefix)
+    assert audit_of(spark, names, scorer=prefix, leaders=2) == by_definition(names, 85, 1, prefix)
 
 
 def test_accents_word_order_and_blocks(spark):
@@ -146,18 +163,13 @@ def test_empty_texts_score_100():
 @pytest.mark.parametrize("rounds", [2, 100])
 def test_representatives_of_chains_and_random_graphs(spark, rounds):
     rng = random.Random(9)
-    chain = [(i, i + 1) for i in range(25)]
-    mixed = {tuple(sorted(rng.sample(range(100, 140), 2))) for _ in range(60)}
-    edges = chain + sorted(mixed)
-    earlier = {}
+    edges = [(i, i + 1) for i in range(25)]
+    edges += sorted({tuple(sorted(rng.sample(range(100, 140), 2))) for _ in range(60)})
+    matches = np.zeros((140, 140), bool)
     for a, b in edges:
-        earlier.setdefault(b, []).append(a)
-    removed, want = set(), []
-    for node in sorted(earlier):
-        reps = [a for a in earlier[node] if a not in removed]
-        if reps:
-            removed.add(node)
-            want.append((node, min(reps)))
+        matches[b, a] = True
+    owner = representatives(matches)
+    want = [(i, int(rep)) for i, rep in enumerate(owner) if i != rep]
     df = spark.createDataFrame(edges, "src long, dst long")
     assert rows_of(first_representatives(df, rounds)) == sorted(want, key=str)
 
@@ -170,11 +182,45 @@ def test_large_block_switches_to_signatures(spark):
         [("x", i, t) for i, t in enumerate(texts)], "block string, node long, text string"
     )
     got = rows_of(assign_representatives(nodes, SCORERS["ratio"], 85, leaders=5, rows_per_task=30))
-    want, reps = [], []
-    for i, t in enumerate(texts):
-        rep = next((r for r in reps if 200 * lcs(t, texts[r]) >= 85 * (len(t) + len(texts[r]))), None)
-        if rep is None:
-            reps.append(i)
-        else:
-            want.append((i, rep))
+    matches = np.array([[200 * lcs(a, b) >= 85 * (len(a) + len(b)) for b in texts] for a in texts])
+    owner = representatives(matches)
+    want = [(i, int(rep)) for i, rep in enumerate(owner) if i != rep]
     assert got == sorted(want, key=str) and want
+
+
+def test_leaders_of_one_lose_nothing(spark):
+    assert audit_of(spark, ["abcdefgh", "abcdefgx", "abcdefgh"], threshold=80, leaders=1) == [
+        (1, "fuzzy", "abcdefgh", 0, "1,2", 2)
+    ]
+    with pytest.raises(InvalidConfigError):
+        audit_of(spark, ["a"], leaders=0)
+
+
+def test_scorers_as_column_expressions(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def ratio(a, b):
+        longer = max(len(a), len(b))
+        return 100.0 * (longer - edits(a, b)) / longer if longer else 100.0
+
+    names = some_names(120, 31)
+    assert audit_of(spark, names, threshold=75, scorer="levenshtein_ratio") == by_definition(names, 75, 1, ratio)
+    shorter = column_scorer(lambda candidate, rep: F.when(F.length(candidate) <= F.length(rep), 100.0).otherwise(0.0))
+    want = by_definition(names, 50, 1, lambda a, b: 100.0 * (len(a) <= len(b)))
+    assert audit_of(spark, names, threshold=50, scorer=shorter) == want
+
+
+def test_pair_join_carries_no_texts(spark):
+    nodes = spark.createDataFrame(
+        [("x", i, t) for i, t in enumerate(some_names(40, 3))], "block string, node long, text string"
+    )
+    plan = similar_pairs(nodes, 85)._jdf.queryExecution().optimizedPlan().toString()
+    # everything below the distinct pairs works on numbers
+    assert "Aggregate" in plan and "text" not in plan[plan.index("Aggregate"):].split("LogicalRDD")[0].split("Join")[1]

@@ -37,6 +37,15 @@ def test_id_column_is_checked(spark):
         with_row_id(df, id_col="v")
 
 
+def test_reserved_names(spark):
+    df = spark.createDataFrame([(7, 1, 2), (8, 1, 3)], "_row_id long, _pos int, _part int")
+    with pytest.raises(InvalidConfigError, match="already has"):
+        with_row_id(df)
+    assert {r._row_id for r in with_row_id(df, id_col="_row_id").collect()} == {7, 8}
+    out = with_row_id(df.withColumnRenamed("_row_id", "k"))
+    assert {(r.k, r._pos, r._part) for r in out.collect()} == {(7, 1, 2), (8, 1, 3)}
+
+
 @pytest.mark.parametrize("tile_rows", [3, 1000])
 def test_tiles_make_each_pair_once(spark, tile_rows):
     rng = random.Random(4)

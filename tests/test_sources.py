@@ -164,3 +164,23 @@ def test_other_columnar_formats(spark, tmp_path):
     spark.range(0).write.parquet(str(tmp_path / "e.parquet"))
     with pytest.raises(EmptyDataError):
         read_table(spark, str(tmp_path / "e.parquet"))
+
+
+def test_files_with_another_header_order_are_no_other_data(spark, tmp_path):
+    folder = tmp_path / "in.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("name,email\nx,x@e\n")
+    (folder / "b.csv").write_text("email,name\ny@e,y\n")
+    with pytest.raises(CleaningError, match="different headers"):
+        read_csv(spark, str(folder))
+    (folder / "b.csv").write_text("name,email\ny,y@e\n")
+    assert rows_of(read_csv(spark, str(folder)), "name", "email") == [("x", "x@e"), ("y", "y@e")]
+
+
+def test_given_schema_takes_one_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,day,v\n7,2024-02-29,NA\n8,,1.5\n")
+    out = read_csv(spark, str(tmp_path / "a.csv"), schema="id long, day date, v double")
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "date", "double"]
+    assert [(r.id, str(r.day), r.v) for r in out.orderBy("id").collect()] == [(7, "2024-02-29", None), (8, "None", 1.5)]
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "a.csv"), schema="id date, day date, v double").collect()
