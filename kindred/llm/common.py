@@ -19,6 +19,19 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def boxed(docs: DataFrame, **needed: Column) -> DataFrame:
+    """The whole row as one column ``row``, next to the columns an operator works on, so that no
+    name of the table can clash with one of the operator's."""
+    return docs.select(
+        F.struct(*(col(c) for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in needed.items())
+    )
+
+
+def unboxed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows of ``boxed`` as they were, but for ``changed`` columns."""
+    return df.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

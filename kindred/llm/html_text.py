@@ -9,6 +9,7 @@ trained on a small table of labelled blocks (LABELLED, below), says which blocks
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ ARTICLE_WORDS = frozenset("article content post entry story body text main".spli
 
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_chrome", "hint_chrome",
-    "hint_article", "heading",
+    "hint_article", "heading", "page_has_article",
 )
 
 
@@ -86,13 +87,11 @@ def blocks_of(page: str | None) -> list[Block]:
             if text and not any(s[5] for s in stack):
                 linked = len(html.unescape(" ".join(link_parts)).split())
                 article = any(s[1] for s in stack)
-                # a header or hint outside the innermost article says nothing about what is inside it
+                # what surrounds the innermost article says nothing about what is inside it
                 inner = max((i for i, s in enumerate(stack) if s[1]), default=-1)
-                inside = stack[inner + 1 :] if inner >= 0 else stack
-                outer = stack[: inner + 1]
-                chrome = any(s[2] for s in inside) or any(s[2] for s in outer)
+                inside = stack[inner + 1 :]
                 out.append(Block(
-                    text, len(text.split()), linked, article, chrome,
+                    text, len(text.split()), linked, article, any(s[2] for s in inside),
                     any(s[3] for s in inside), any(s[4] for s in stack), heading,
                 ))
         parts, link_parts = [], []
@@ -152,7 +151,10 @@ def _hints(attrs: str) -> tuple[bool, bool, bool]:
     if not attrs:
         return False, False, False
     words = {w for m in _NAMES.finditer(attrs) for w in _SPLIT.split(next(g for g in m.groups() if g is not None).lower())}
-    return bool(words & CHROME_WORDS), bool(words & ARTICLE_WORDS), bool(_HIDING.search(attrs))
+    chrome, article = words & CHROME_WORDS, words & ARTICLE_WORDS
+    if article and chrome == {"header"}:  # the header of the article itself
+        chrome = set()
+    return bool(chrome), bool(article), bool(_HIDING.search(attrs))
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
@@ -165,7 +167,8 @@ def describe(blocks: list[Block]) -> np.ndarray:
         x[:, 0], x[:, 1] = words, links
         x[1:, 2], x[1:, 3] = words[:-1], links[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], links[1:]
-        x[:, 6:] = [(b.in_article, b.in_chrome, b.hint_chrome, b.hint_article, b.heading) for b in blocks]
+        x[:, 11] = any(b.in_article for b in blocks)
+        x[:, 6:11] = [(b.in_article, b.in_chrome, b.hint_chrome, b.hint_article, b.heading) for b in blocks]
     return x
 
 
@@ -188,7 +191,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4) -> Tree:
     """CART with the Gini index; ties go to the first feature and the lowest cut."""
     node = Tree(bool(2 * y.sum() > len(y)))
     if depth == 0 or y.all() or not y.any():
@@ -222,6 +225,7 @@ def labelled_pages() -> list[str]:
         "<nav><ul><li><a href=/>- home</a></li><li><a href=/n>- news</a></li><li><a href=/a>- about us</a></li></ul></nav>",
         "<div class='nav-menu'><a href=/>- home</a> <a href=/n>news</a> <a href=/c>contact</a></div>",
         "<header><p>- site name</p><ul><li><a href=/>- start</a></li><li><a href=/x>- topics</a></li></ul></header>",
+        "<div><ul><li><a href=/>- first</a></li><li><a href=/x>- second of them</a></li><li><a href=/y>- third</a></li></ul></div>",
     )
     sides = (
         "<aside><h3>- read next</h3><p>- {a}</p></aside>",
@@ -230,12 +234,20 @@ def labelled_pages() -> list[str]:
         "<div id='cookie-notice'>- {a}</div>",
         "<form><label>- your mail</label><p>- {b}</p></form>",
         "<div class='ads banner'><p>- {c}</p></div>",
+        "<nav><a href=/1>- part one</a> <a href=/2>part two</a></nav>",
+        "<div class='share-bar'><a href=/s>- share</a></div>",
+        "<div class='newsletter-signup'><p>- {b}</p></div>",
+        "<div role='complementary'><p>- {a}</p></div>",
+        "<section id='reader-comments'><h3>- what readers say</h3><p>- {c}</p></section>",
+        "<footer><p>- {b}</p></footer>",
     )
     ends = (
         "<footer>- all rights reserved {b}</footer>",
         "<section class='comments'><h2>- comments</h2><p>- {c}</p><p>- {a}</p></section><footer><p>- {b}</p></footer>",
         "<div class='footer'><a href=/i>- imprint</a> {b}</div>",
         "<div id='related-posts'><h3>- related</h3><p><a href=/r>- {b}</a></p><p>- {a}</p></div>",
+        "<div><p>- {b}</p><p><a href=/t>- terms of use</a></p></div>",
+        "<div><p>- {b}</p></div>",
     )
     holders = (
         ("<article><h1>+ {b}</h1>", "</article>"),
@@ -243,19 +255,27 @@ def labelled_pages() -> list[str]:
         ("<div class='post-content'><h1>+ {b}</h1>", "</div>"),
         ("<div><h1>+ {b}</h1>", "</div>"),
     )
-    sizes = ((3, 40, 1), (60, 8, 120), (25, 2, 30), (90, 5, 4))
-    for i in range(48):
-        menu, side, end = menus[i % 3], sides[i % 6], ends[i % 4]
+    rng = random.Random(7)
+    for i in range(240):
+        menu, side, end = menus[i // 3 % 4], sides[i % 12], ends[i % 6]
         first, last = holders[(i // 2) % 4]
-        # outside articles only longer paragraphs can be told from the rest
+        # without an article element or a telling name only longer paragraphs can be told from the rest
         plain = first.startswith("<div><h1>")
-        body = "".join(
-            f"<p>+ {_fill(max(n, 25) if plain else n, i + k)}</p>" + ("<ul><li>+ a <a href=/q>point</a> or two</li></ul>" if k == 1 and not plain else "")
-            for k, n in enumerate(sizes[i % 4])
+        sizes = (25, 40, 60, 120) if plain else (1, 2, 3, 5, 8, 13, 25, 40, 60, 120)
+        body = "".join(f"<p>+ {_fill(rng.choice(sizes), i + k)}</p>" for k in range(rng.randrange(1, 5)))
+        if not plain:
+            body += rng.choice((
+                "", "", "<ul><li>+ a <a href=/q>point</a> or two</li><li>+ three</li></ul>", "<p><a href=/z>+ a line that is a link</a></p>",
+                "<h2>+ a part</h2><p>+ its words</p>",
+            ))
+        # what is no main text stands inside the article as well
+        inner = "" if plain or i % 4 == 0 else sides[(i // 8) % 12]
+        page = f"<body>{menu}{side}{first}{inner}{body}{last}{sides[(i + 5) % 12]}{end}</body>"
+        small, any_size = (2, 3, 5, 8), (2, 3, 5, 8, 13, 20, 35, 60)
+        pages.append(
+            page.replace("{a}", _fill(rng.choice(any_size), i)).replace("{b}", _fill(rng.choice(small), i))
+            .replace("{c}", _fill(rng.choice(any_size), i))
         )
-        inner = sides[(i + 2) % 6] if i % 2 and not plain else ""
-        page = f"<body>{menu}{side}{first}{inner}{body}{last}{sides[(i + 3) % 6]}{end}</body>"
-        pages.append(page.replace("{a}", _fill(18 + i, i)).replace("{b}", _fill(4 + i % 5, i)).replace("{c}", _fill(50, i)))
     return pages
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.llm.common import col, written
+from kindred.llm.common import boxed, col, unboxed, written
 
 _BLANKS = " \t\r\x0b\x0c"
 # rows of the bitmap that says which lines to read again; 64 bits each, so a broadcast of 1 MB
@@ -179,15 +179,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
     An empty table gives an empty table.
     """
     gone = line_decisions(docs, min_chars, near_words, id_col, text_col)
-    gone = gone.groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
-    lines = F.split(col(text_col), "\n", -1)
-    has = F.col("_gone").isNotNull() & col(text_col).isNotNull()
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, col(id_col).eqNullSafe(F.col("_doc")), "left")
-    total = F.coalesce(F.regexp_count(col(text_col), F.lit("\n")) + 1, F.lit(0))
-    text = F.when(has, F.array_join(kept, "\n")).otherwise(col(text_col))
-    dropped = F.when(has, F.size("_gone")).otherwise(F.lit(0))
-    return joined.select(
-        *(text.alias(c) if c == text_col else col(c) for c in docs.columns),
-        total.cast("long").alias("_lines"), dropped.cast("long").alias("_dropped"),
-    )
+    gone = gone.groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    joined = boxed(docs, id=col(id_col), text=col(text_col)).join(gone, F.col("id").eqNullSafe(F.col("doc")), "left")
+    lines = F.split("text", "\n", -1)
+    has = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    total = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    dropped = F.when(has, F.size("gone")).otherwise(F.lit(0)).cast("long")
+    text = F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    columns = [c for c in docs.columns if c not in ("_lines", "_dropped")]
+    return unboxed(joined, [*columns, "_lines", "_dropped"], **{text_col: text, "_lines": total, "_dropped": dropped})

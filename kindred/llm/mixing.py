@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kindred.llm.common import col, word_count, written
+from kindred.llm.common import boxed, col, unboxed, word_count, written
 from kindred.plans.ids import number_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -128,15 +128,19 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     word; what stands between the words stays. Rows of which nothing is taken go; rows without
     words cost nothing and stay, once."""
     plan = written(mix_plan(_sized(docs, id_col, text_col, source_col, None), weights, most, range_rows))
-    rows = docs.withColumns({"_size": word_count(col(text_col)), "_key": hash_key(col(id_col))})
-    taken = _with_taken(rows, plan, col(source_col), col(id_col))
+    rows = boxed(docs, id=col(id_col), text=col(text_col), source=col(source_col)).withColumns(
+        {"_size": word_count(F.col("text")), "_key": hash_key(F.col("id"))}
+    )
+    taken = _with_taken(rows, plan, F.col("source"), F.col("id"))
     size = F.col("_size")
     wholes = F.when(size == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / size)).cast("int")
     part = F.when(size == 0, F.lit(0)).otherwise(F.col("_taken") % size).cast("int")
     copies = F.concat(
         F.array_repeat(F.lit(-1), wholes), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>"))
     )
-    exploded = taken.withColumn("_words", F.explode(copies))
-    pieces = F.split(col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    text = F.when(F.col("_words") < 0, col(text_col)).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_words"), F.lit(1))), ""))
-    return exploded.select(*(text.alias(c) if c == text_col else col(c) for c in docs.columns))
+    exploded = taken.select("row", "text", F.explode(copies).alias("words"))
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    text = F.when(F.col("words") < 0, F.col("text")).otherwise(
+        F.array_join(F.slice(pieces, 1, F.greatest(F.col("words"), F.lit(1))), "")
+    )
+    return unboxed(exploded, docs.columns, **{text_col: text})

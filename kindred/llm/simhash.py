@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from kindred.llm.common import as_bytes, col, written
+from kindred.llm.common import as_bytes, boxed, col, unboxed, written
 from kindred.operators.cluster import connected_components
 
 SEED = 42
@@ -239,18 +239,16 @@ def drop_near_copies(
     Of repeated rows with that id one stays. A group without any id keeps one row.
     """
     groups = written(simhash_groups(docs, radius, width, id_col, text_col))
-    heads = groups.where("doc_id <=> component_id").groupBy("component", "doc_id").count()
-    heads = heads.select(F.col("doc_id").alias("_head"), F.col("component").alias("_group"), "count")
-    kept = docs.join(heads.select("_head").distinct(), col(id_col).eqNullSafe(F.col("_head")), "left_semi")
-    repeated = heads.groupBy("_head").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows")).where("n > 1 or rows > 1")
-    again = repeated.select("_head")
-    if not again.head(1):
-        return kept
-    # the same id on several rows: tell them apart by group
-    twice = kept.join(again, col(id_col).eqNullSafe(F.col("_head")), "left_semi")
-    once = kept.join(again, col(id_col).eqNullSafe(F.col("_head")), "left_anti")
-    twice = twice.withColumn("_fp", fingerprint_column(col(text_col), width))
-    lead = groups.where("doc_id <=> component_id").select("fp", "component", F.col("doc_id").alias("_head")).distinct()
-    twice = twice.join(lead, (F.col("_fp") == lead["fp"]) & col(id_col).eqNullSafe(lead["_head"]))
-    twice = twice.dropDuplicates(["component"])
-    return once.select(*(col(c) for c in docs.columns)).unionByName(twice.select(*(col(c) for c in docs.columns)))
+    # several rows with the id of a head have to be told apart
+    heads = groups.groupBy(F.col("doc_id").alias("head")).agg(
+        F.max(F.expr("doc_id <=> component_id")).alias("leads"), (F.count(F.lit(1)) > 1).alias("several")
+    ).where("leads")
+    rows = boxed(docs, id=col(id_col)).join(heads, F.col("id").eqNullSafe(F.col("head")))
+    once = rows.where("not several")
+    if not heads.where("several").head(1):
+        return unboxed(once, docs.columns)
+    lead = groups.where("doc_id <=> component_id").select("fp", "component", "doc_id").distinct()
+    twice = rows.where("several").withColumn("print", fingerprint_column(F.col("row").getField(text_col), width))
+    twice = twice.join(lead, (F.col("print") == F.col("fp")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    twice = twice.dropDuplicates(["component"]).select("row")
+    return unboxed(once.select("row").unionByName(twice), docs.columns)

@@ -1,0 +1,79 @@
+import random
+import re
+
+from tests.llm.helpers import AWKWARD, documents
+
+from kindred.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    values = [int(d) for d in digits[::-1]]
+    return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(2)
+    parts = ["a", "B.", "@", ".", "1", "25", "300", "+", "_", "é", " ", "-", "12345", "4539 1488 0343 6467", "%", "a@b.co",
+             "1.2.3.4", "+1 (555) 123-4567", " ( ", "\n", "\U0001F600"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 500_000, "a@" * 200_000, "1" * 500_000, "+1" + " " * 300_000, "1." * 200_000, "a.b@" * 100_000):
+        pii.proposals(text, pii.base_spans(text))
+
+
+def test_method_adds_spans_and_keeps_the_base(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        text = f"words and more {i} words around it"
+        if i % 3 == 0:
+            token = "1" * 13
+            while brute(token) or token.isdigit():
+                token = f"{rng.getrandbits(160):040x}"
+            text += f' token = "{token}" and on'
+        if i % 5 == 0:
+            text += f" mail me at joe{i}@mail.example.com soon"
+        if i % 7 == 0:
+            text += f" part number {rng.randrange(10**8, 10**9)}x of it"
+        rows.append((i, text))
+    out = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    for i, text in rows:
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(text))
+        assert out[i].base == want and out[i].spans.startswith(want)
+        assert out[i].n_email == (i % 5 == 0)
+        extra = [s for s in out[i].spans.split(",") if s.startswith("secret")]
+        assert len(extra) == (i % 3 == 0)
+        if extra:
+            _, a, b = extra[0].split(":")
+            assert len(text[int(a) : int(b)]) == 40
+
+
+def test_awkward_rows_and_empty_table(spark):
+    out = pii.find_personal_data(documents(spark, AWKWARD)).collect()
+    assert len(out) == len(AWKWARD) and {r.base for r in out} == {""}
+    assert pii.find_personal_data(documents(spark, AWKWARD).limit(0)).count() == 0
