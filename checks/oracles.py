@@ -127,6 +127,32 @@ def fuzzy_audit(source: str, threshold: int, block_size: int) -> str:
     return f"WITH RECURSIVE {fuzzy_ctes(source, threshold, block_size)} {FUZZY_AUDIT}"
 
 
+def levenshtein_ctes(source: str, threshold: int, block_size: int) -> str:
+    """The same with 100 * (1 - edits / length of the longer key) as the score."""
+    return f"""
+  src AS ({source}),
+  tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, {block_size}) AS block FROM src),
+  node AS (SELECT block, key AS text, min(id) AS id FROM tok GROUP BY block, key),
+  edge AS (SELECT a.id AS ia, b.id AS ib FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
+           WHERE 100 * abs(length(a.text) - length(b.text)) <= {100 - threshold} * greatest(length(a.text), length(b.text))
+             AND 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(a.text, b.text))
+                 / greatest(length(a.text), length(b.text)) >= {threshold}),
+  near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
+             coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
+           FROM node LEFT JOIN edge ON node.id = edge.ib GROUP BY node.id),
+  g AS (SELECT rn, idx, idx AS rep, [idx] AS reps FROM near WHERE rn = 1
+        UNION ALL
+        SELECT n.rn, n.idx, coalesce(list_filter(n.ns, lambda q: list_contains(g.reps, q))[1], n.idx),
+          CASE WHEN len(list_filter(n.ns, lambda q: list_contains(g.reps, q))) = 0
+               THEN list_append(g.reps, n.idx) ELSE g.reps END
+        FROM g JOIN near n ON n.rn = g.rn + 1),
+  member AS (SELECT tok.id, tok.key, tok.block, g.rep
+             FROM tok JOIN node ON tok.block = node.block AND tok.key = node.text JOIN g ON g.idx = node.id)"""
+
+
+TURN_KEYS = """
+  SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id, concat(role, ' | ', coalesce(text, '')) AS key
+  FROM conversations"""
 PART_KEYS = "SELECT p_partkey AS id, concat(p_name, ' | ', p_type) AS key FROM part"
 
 
@@ -446,24 +472,10 @@ ORACLES = {
     "dedup_fuzzy_audit_urls": fuzzy_audit("SELECT page_id AS id, url AS key FROM pages", 90, 8),
     "dedup_fuzzy_customer_names":
         fuzzy_audit("SELECT c_custkey AS id, c_name AS key FROM customer", 94, 1),
-    "dedup_fuzzy_levenshtein_part": f"""
-      WITH RECURSIVE tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, 2) AS block FROM ({PART_KEYS})),
-      node AS (SELECT block, key AS text, min(id) AS id FROM tok GROUP BY block, key),
-      edge AS (SELECT a.id AS ia, b.id AS ib FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
-               WHERE 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(a.text, b.text))
-                     / greatest(length(a.text), length(b.text)) >= 80),
-      near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
-                 coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
-               FROM node LEFT JOIN edge ON node.id = edge.ib GROUP BY node.id),
-      g AS (SELECT rn, idx, idx AS rep, [idx] AS reps FROM near WHERE rn = 1
-            UNION ALL
-            SELECT n.rn, n.idx, coalesce(list_filter(n.ns, lambda q: list_contains(g.reps, q))[1], n.idx),
-              CASE WHEN len(list_filter(n.ns, lambda q: list_contains(g.reps, q))) = 0
-                   THEN list_append(g.reps, n.idx) ELSE g.reps END
-            FROM g JOIN near n ON n.rn = g.rn + 1),
-      member AS (SELECT tok.id, tok.key, tok.block, g.rep
-                 FROM tok JOIN node ON tok.block = node.block AND tok.key = node.text JOIN g ON g.idx = node.id)
-      {FUZZY_AUDIT}""",
+    "dedup_fuzzy_levenshtein_part": f"WITH RECURSIVE {levenshtein_ctes(PART_KEYS, 80, 2)} {FUZZY_AUDIT}",
+    "dedup_fuzzy_levenshtein_conversations": f"""
+      WITH RECURSIVE {levenshtein_ctes(TURN_KEYS, 35, 13)}
+      SELECT * REPLACE (md5(key) AS key) FROM ({FUZZY_AUDIT})""",
     "clean_exact_then_fuzzy_part": f"""
       WITH RECURSIVE
       keyed AS (SELECT p_partkey AS id, concat(lower(trim(p_name)), ' | ', p_type) AS key FROM part),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.config import LinkConfig
-from kindred.errors import CleaningError
 from kindred.functions.distance import indel_ratio
 from kindred.functions.text import combined_key, sorted_tokens
 from kindred.linkage.candidates import candidate_pairs, with_levels
@@ -26,6 +24,7 @@ from kindred.operators.exact import dedup_exact
 from kindred.operators.fuzzy import block_pairs, dedup_fuzzy, match_keys
 from kindred.operators.normalize import normalize
 from kindred.operators.profile import common_columns, preview, profile_columns, profile_summary
+from kindred.plans.cut import shared_folder
 from kindred.plans.ids import with_row_id
 from kindred.plans.pairs import pair_forecast
 from kindred.sources.tables import read_table, write_result, write_table
@@ -206,6 +205,15 @@ def dedup_fuzzy_levenshtein_part(spark, folder):
     ).audit
 
 
+def dedup_fuzzy_levenshtein_conversations(spark, folder):
+    """Whole turns, up to thousands of characters; the table has no key of its own."""
+    turns = table(spark, folder, "conversations")
+    out = dedup_fuzzy(
+        turns, ["role", "text"], 35, scorer="levenshtein_ratio", block_size=13, order_by=["conv_id", "turn"]
+    )
+    return out.audit.withColumn("key", F.md5("key"))
+
+
 def clean_exact_then_fuzzy_part(spark, folder):
     config = {
         "keys": ["p_name", "p_type"], "normalize": {"p_name": ["trim", "lowercase"]},
@@ -482,13 +490,8 @@ def explain_pairs_documents(spark, folder):
 # --- sources and sinks -------------------------------------------------------------------------
 
 def _scratch(spark) -> str:
-    """A new folder next to the checkpoints; only a local session may use its own disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise CleaningError("Set spark.checkpoint.dir to a folder all executors share.")
-        base = tempfile.mkdtemp(prefix="kindred-")
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A new folder next to the checkpoints."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
 def csv_round_trip_customer(spark, folder):
@@ -533,7 +536,8 @@ QUERIES = {
         audit_members_events, audit_members_from_audit_events, dedup_summary_events,
         block_pairs_part, block_forecast_part, block_forecast_documents, token_sort_ratio_part,
         dedup_fuzzy_part, dedup_fuzzy_audit_part, dedup_fuzzy_audit_urls,
-        dedup_fuzzy_customer_names, dedup_fuzzy_levenshtein_part, clean_exact_then_fuzzy_part, audit_union,
+        dedup_fuzzy_customer_names, dedup_fuzzy_levenshtein_part,
+        dedup_fuzzy_levenshtein_conversations, clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
         compare_date_orders, candidate_pairs_documents, link_candidates_parties,
         prior_documents, prior_parties, u_shares_suppliers, trained_weights_suppliers,
