@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.errors import CleaningError
+from kindred.plans.cut import shared_folder
 from kindred.plans.ids import quoted
 
 # a word is a run of anything but ASCII white space; bytes.split() cuts at the same six bytes
@@ -49,13 +49,6 @@ def written(df: DataFrame) -> DataFrame:
     they need. Lost executors cost nothing: the files lie in the shared folder.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            raise CleaningError("Set spark.checkpoint.dir to a folder all executors share.")
-        spark.sparkContext.setCheckpointDir(base)
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
