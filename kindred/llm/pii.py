@@ -33,8 +33,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
-_TOKEN_END = re.compile(r"[^A-Za-z0-9_/+=-]|\Z")
-_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=-")
+_TOKEN_END = re.compile(r"[^A-Za-z0-9_/+-]|\Z")
+_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+-")
+_KEY_SHAPES = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|[sp]k[-_][0-9A-Za-z_-]{16,}|xox[bp]-[0-9A-Za-z-]{10,}")
 _AT = re.compile(r"[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+", re.I)
 
 # gazetteers and cues
@@ -115,7 +116,7 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             left -= 1
         right = _TOKEN_END.search(text, end - 1).start() if text[end - 1] in _TOKEN else end
         token = text[left:right]
-        if right - left >= 16 and any(c.isalpha() for c in token) and " " not in token:
+        if right - left >= 12 and any(c.isalpha() for c in token) and " " not in token:
             found.append(("secret", left, right))
             done = right
         elif 7 <= sum(c not in " -" for c in m[0]) <= 19 and left == start and right == end:
@@ -147,10 +148,10 @@ def votes_and_features(text: str, kind: str, start: int, end: int) -> tuple[list
     assigned = bool(re.search(r"[=:]\s*[\"']?$", before))
     entropy = _entropy(token)
     if kind == "secret":
-        pattern = 1 if hexadecimal or digits >= 4 and letters >= 6 else -1
+        pattern = 1 if hexadecimal or _KEY_SHAPES.fullmatch(token) else -1
         check = 1 if hexadecimal and len(token) in (32, 40, 56, 64, 96, 128) else 0
         gazetteer = 1 if token.startswith(KEY_STARTS) else 0
-        shape = 1 if entropy >= 3.0 and digits / len(token) >= 0.15 else -1
+        shape = 1 if entropy >= 2.8 and digits >= 2 else -1
     elif kind == "number":
         pattern = 1 if re.fullmatch(r"\d{3}-\d{2}-\d{4}|0\d{2,4}[ -]\d{3,}[ -]?\d{2,}|\d{3}-\d{3}-\d{4}|\d{4}(?:[ -]\d{4}){2,3}", token) else -1
         check = 1 if 13 <= len(bare) <= 19 and luhn(bare) else -1
@@ -235,7 +236,7 @@ def find_personal_data(docs: DataFrame, least: float = 0.5, sample_rows: int = 2
     weights = None
     if counts:
         counts = sorted((tuple(r["votes"]), r["count"]) for r in counts)
-        model = Votes(np.array([c[0] for c in counts]), np.array([c[1] for c in counts], float))
+        model = Votes(np.array([c[0] for c in counts]), np.array([c[1] for c in counts], float), neutral=True)
         sample = more.select("votes", "features", "doc_id", "start").orderBy(F.xxhash64("doc_id", "start", "features"), "features", "votes").limit(sample_rows).collect()
         votes = np.array([r["votes"] for r in sample])
         weights = fit_classifier(np.array([r["features"] for r in sample]), model.posterior(votes))

@@ -126,10 +126,13 @@ class Votes:
     With ``kinds``, each voter has a kind of bad of its own, which it recognises at least
     ``least_true`` of the time, and says bad of at most ``most_false`` of the good items: bad items
     are bad for different reasons, and a defect that comes alone is one all the same.
+
+    With ``neutral``, voters who abstain say nothing about an item; else that they do is a sign too.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, kinds: bool = False, most_false: float = 0.02,
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, kinds: bool = False, neutral: bool = False, most_false: float = 0.02,
                  least_true: float = 0.9, rounds: int = 500, tolerance: float = 1e-9):
+        self.neutral = neutral
         hot = self.indicators(patterns)
         voters = patterns.shape[1]
         against = (patterns < 0).astype(float)
@@ -146,7 +149,8 @@ class Votes:
             w = p * counts[:, None]
             size = w.sum(axis=0)
             # a part of an item more of each vote keeps every chance above zero
-            chance = (np.einsum("pc,prv->crv", w, hot) + 0.1) / (size + 0.3)[:, None, None]
+            chance = np.einsum("pc,prv->crv", w, hot) + 0.1
+            chance /= chance.sum(axis=2, keepdims=True)
             if kinds:
                 self._hold(chance[0], chance[0][:, 0] > most_false, most_false)
                 for r in range(voters):
@@ -166,9 +170,11 @@ class Votes:
         chance[rows, 1:] *= ((1 - value) / (1 - chance[rows, 0]))[:, None]
         chance[rows, 0] = value
 
-    @staticmethod
-    def indicators(patterns: np.ndarray) -> np.ndarray:
-        return np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    def indicators(self, patterns: np.ndarray) -> np.ndarray:
+        hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+        if self.neutral:
+            hot[:, :, 1] = 0.0
+        return hot
 
     def classes(self, hot: np.ndarray) -> np.ndarray:
         """Posterior of every class, by pattern."""
