@@ -54,8 +54,6 @@ def candidate_pairs(
                 _side(left, "l", keys), _side(left if same else right, "r", keys),
                 [f"_key{n}" for n in range(len(keys))], "id_l", "id_r", same, tiles,
             ).drop(*[f"_key{n}" for n in range(len(keys))])
-            if same:
-                pairs = pairs.where("id_l < id_r")
             for earlier in range(rule):
                 pairs = pairs.where(~_equal(f"k{earlier}"))
             for made in sets[:at]:

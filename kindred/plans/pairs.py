@@ -67,18 +67,45 @@ def join_pairs(
     A key that holds a large share of the rows would put all its pairs into one task. Such keys
     are cut into a grid: each left row falls into one grid row and is copied along it, each right
     row into one grid column, so every pair meets in exactly one tile of bounded size. The other
-    keys form a grid of one tile. ``same`` says that both sides hold the same keys; ``tile_rows``
-    None that no key is known to be large.
+    keys form a grid of one tile. ``tile_rows`` None says that no key is known to be large.
+
+    ``same`` says that both sides are the same rows, with their columns in the same order: each
+    pair comes once, the smaller id on the left. Of the grid only the half on one side of the
+    diagonal is made, and pairs that meet there the wrong way round are turned.
     """
+    if same:
+        oriented = F.col(id_l) < F.col(id_r)
+        if tile_rows is None:
+            return spread(left, *on).join(right, on).where(oriented)
+        hot = cut_lineage(hot_keys(left, on, tile_rows))
+        if hot.isEmpty():
+            return spread(left, *on).join(right, on).where(oriented)
+        tiles = F.coalesce("_tiles", F.lit(1).cast("bigint"))
+
+        def on_half(side, row_id, first, last, own_name, other_name):
+            own = F.pmod(F.xxhash64(row_id), tiles)
+            placed = side.join(hot, on, "left").withColumn(own_name, own)
+            bounds = F.sequence(first(F.col(own_name)), last(F.col(own_name)))
+            return placed.withColumn(other_name, F.explode(bounds)).drop("_tiles")
+
+        zero = F.lit(0).cast("bigint")
+        half_l = on_half(left, id_l, lambda t: t, lambda t: tiles - 1, "_tile_l", "_tile_r")
+        half_r = on_half(right, id_r, lambda t: zero, lambda t: t, "_tile_r", "_tile_l")
+        tile = [*on, "_tile_l", "_tile_r"]
+        met = spread(half_l, *tile).join(half_r, tile).where(
+            (F.col("_tile_l") < F.col("_tile_r")) | oriented
+        )
+        sides = list(zip([c for c in left.columns if c not in on], [c for c in right.columns if c not in on]))
+        turned = {}
+        for a, b in sides:
+            turned[a] = F.when(oriented, F.col(a)).otherwise(F.col(b))
+            turned[b] = F.when(oriented, F.col(b)).otherwise(F.col(a))
+        return met.select(*on, *(c.alias(name) for name, c in turned.items()))
     if tile_rows is None:
         return spread(left, *on).join(right, on)
     hot = hot_keys(left, on, tile_rows).withColumnRenamed("_tiles", "_tiles_l")
-    if same:
-        hot = hot.withColumn("_tiles_r", F.col("_tiles_l"))
-    else:
-        hot_r = hot_keys(right, on, tile_rows).withColumnRenamed("_tiles", "_tiles_r")
-        hot = hot.join(hot_r, on, "full_outer")
-    hot = cut_lineage(hot)
+    hot_r = hot_keys(right, on, tile_rows).withColumnRenamed("_tiles", "_tiles_r")
+    hot = cut_lineage(hot.join(hot_r, on, "full_outer"))
     if hot.isEmpty():
         return spread(left, *on).join(right, on)
     tiles_l = F.coalesce("_tiles_l", F.lit(1))
