@@ -154,7 +154,7 @@ class Toxicity:
         if found is None:
             lexicon = self.lexicon
             found = max([lexicon.get(word + "$", 0.0), *(lexicon.get(word[:k], 0.0) for k in PREFIXES if k <= len(word))])
-            if len(self._known) > 500_000:  # bounds memory only
+            if len(self._known) > 200_000:  # bounds memory only
                 self._known.clear()
             self._known[word] = found
         return found
@@ -313,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: s
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
                 seen[int(y)].update(features(text))
-                if len(seen[0]) + len(seen[1]) > 300_000:  # partial counts; Spark adds them up
+                if len(seen[0]) + len(seen[1]) > 150_000:  # partial counts; Spark adds them up
                     yield out()
                     seen[0].clear(), seen[1].clear()
         yield out()
