@@ -128,14 +128,18 @@ def fuzzy_audit(source: str, threshold: int, block_size: int) -> str:
 
 
 def levenshtein_ctes(source: str, threshold: int, block_size: int) -> str:
-    """The same with 100 * (1 - edits / length of the longer key) as the score."""
+    """The same with 100 * (1 - edits / length of the longer key) as the score.
+
+    levenshtein() counts bytes here, so the accented letters of the texts are first replaced by
+    digits, which the texts don't hold.
+    """
     return f"""
   src AS ({source}),
   tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, {block_size}) AS block FROM src),
   node AS (SELECT block, key AS text, min(id) AS id FROM tok GROUP BY block, key),
   edge AS (SELECT a.id AS ia, b.id AS ib FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
            WHERE 100 * abs(length(a.text) - length(b.text)) <= {100 - threshold} * greatest(length(a.text), length(b.text))
-             AND 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(a.text, b.text))
+             AND 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(translate(a.text, 'ßäçèéêíñóöü', '0123456789#'), translate(b.text, 'ßäçèéêíñóöü', '0123456789#')))
                  / greatest(length(a.text), length(b.text)) >= {threshold}),
   near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
              coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
