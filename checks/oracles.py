@@ -366,6 +366,25 @@ def training_ctes(source: str, kinds: dict[str, str], blocking: list[str], other
     return ",\n  ".join(out)
 
 
+def sampled_shares(source: str, kinds: dict[str, str], rows: int, seed: int = 42) -> str:
+    """u when only ``rows`` rows, chosen by md5, are paired: equality from all rows, the rest in proportion."""
+    gammas = ", ".join(f"{level_sql(k, f'l.{c}', f'r.{c}')} AS g{i}" for i, (c, k) in enumerate(kinds.items()))
+    parts = []
+    for i, (c, kind) in enumerate(kinds.items()):
+        top = TOP_LEVELS[kind]
+        same = (f"(SELECT sum(n * (n - 1) / 2)::DOUBLE / (any_value(t) * (any_value(t) - 1) / 2) FROM "
+                f"(SELECT count(*) AS n, any_value((SELECT count({c}) FROM r0)) AS t FROM r0 WHERE {c} IS NOT NULL GROUP BY {c}))")
+        below = f"greatest(count(*) FILTER (g{i} BETWEEN 0 AND {top - 1}), 1)::DOUBLE"
+        for k in range(top + 1):
+            share = same if k == top else f"count(*) FILTER (g{i} = {k}) / {below} * (1.0 - {same})"
+            parts.append(f"SELECT '{c}' AS comparison, {k} AS level, round_even(greatest({share}, 0.5 / count(*)), 8) AS u FROM p")
+    return f"""
+      WITH r0 AS ({source}),
+      few AS (SELECT * FROM r0 ORDER BY md5(concat(id, ':{seed}')), id LIMIT {rows}),
+      p AS MATERIALIZED (SELECT {gammas} FROM few l JOIN few r ON l.id < r.id)
+      {' UNION ALL '.join(parts)}"""
+
+
 SUPPLIERS_TRAINED = training_ctes(PARTY_B, PARTY_KINDS, list(PARTY_KINDS))
 DOCUMENTS_TRAINED = training_ctes(
     "SELECT doc_id AS id, md5(text) AS text, source, lang, n_chars::VARCHAR AS n_chars FROM documents",
@@ -525,6 +544,8 @@ ORACLES = {
       FROM a l, b r""",
     "u_shares_suppliers": f"""
       WITH {SUPPLIERS_TRAINED} SELECT comparison, level, round_even(u, 8) AS u FROM trained""",
+    # 5,000 pairs at most: 100 rows make 4,950
+    "u_shares_sampled_customers": sampled_shares(PARTY_A, PARTY_KINDS, 100),
     "trained_weights_suppliers": f"""
       WITH {SUPPLIERS_TRAINED}
       SELECT comparison, level,

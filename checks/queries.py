@@ -365,6 +365,21 @@ def u_shares_suppliers(spark, folder):
     )
 
 
+def u_shares_sampled_customers(spark, folder):
+    """More customers than the bound on random pairs allows: a sample chosen by hash stands in for
+    the levels below equality; the share of equality stays exact over all pairs."""
+    config = LinkConfig(SUPPLIER_KINDS, random_pairs=5_000)
+    a, _ = parties(spark, folder)
+    rows = record_rows(with_row_id(a, id_col="id"), config)
+    patterns = Patterns(random_patterns(rows, rows.count(), None, None, config).collect(), 3)
+    equal = equal_pairs(merge_copies(rows), None, ["v0", "v1", "v2"])
+    return spark.createDataFrame(
+        [(c, k, round(float(s), 8)) for c, u in u_shares(patterns, config, equal).items()
+         for k, s in enumerate(u)],
+        "comparison string, level int, u double",
+    )
+
+
 def trained_weights_suppliers(spark, folder):
     """Prior, u, m and what they weigh, trained on the suppliers with the product's settings."""
     config = LinkConfig(SUPPLIER_KINDS)
@@ -540,7 +555,8 @@ QUERIES = {
         dedup_fuzzy_levenshtein_conversations, clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
         compare_date_orders, candidate_pairs_documents, link_candidates_parties,
-        prior_documents, prior_parties, u_shares_suppliers, trained_weights_suppliers,
+        prior_documents, prior_parties, u_shares_suppliers, u_shares_sampled_customers,
+        trained_weights_suppliers,
         predict_fixed_weights_documents, cluster_documents, cluster_all_documents, dedupe_prob_audit_documents,
         dedupe_prob_clean_documents, dedupe_trained_documents, link_pairs_parties,
         link_audit_parties, link_trained_parties, dedupe_certain_documents, linkage_plan_documents,

@@ -71,7 +71,7 @@ def estimate_prior(agreeing: int, total: int, recall: float = RECALL) -> float:
 
 def _sample(rows: DataFrame, n: int, size: int, seed: int, name: str) -> DataFrame:
     """``size`` rows chosen by a hash of id and seed: the same ones however the table is split."""
-    rank = F.xxhash64("id", F.lit(seed))
+    rank = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary"))
     kept = rows if n <= size else rows.orderBy(rank, "id").limit(size)
     values = [c for c in rows.columns if c.startswith("v")]
     return number_rows(kept.select("id", *values), ["id"], name).drop("id")

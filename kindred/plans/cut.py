@@ -27,6 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder.
+
+    Call it when all results have been written: DataFrames that read intermediate results are of no
+    use afterwards. Folders of other sessions are not touched.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if folder is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
     shared_folder(df.sparkSession)

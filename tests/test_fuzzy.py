@@ -224,3 +224,26 @@ def test_pair_join_carries_no_texts(spark):
     plan = similar_pairs(nodes, 85)._jdf.queryExecution().optimizedPlan().toString()
     # everything below the distinct pairs works on numbers
     assert "Aggregate" in plan and "text" not in plan[plan.index("Aggregate"):].split("LogicalRDD")[0].split("Join")[1]
+
+
+@pytest.mark.parametrize("scorer", ["token_sort_ratio", "ratio"])
+def test_long_texts_through_the_signatures(spark, scorer):
+    rng = random.Random(77)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 10))) for _ in range(500)]
+    texts = []
+    for _ in range(7):
+        base = [rng.choice(words) for _ in range(rng.randrange(45, 75))]
+        for hurt in (0, 2, 15, 35):
+            own = list(base)
+            for _ in range(hurt):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append("x " + " ".join(own))
+    rng.shuffle(texts)
+
+    def ratio(a, b):
+        return 200.0 * lcs(a, b) / (len(a) + len(b))
+
+    score = {"token_sort_ratio": token_sort_ratio, "ratio": ratio}[scorer]
+    # three leaders a block: all other rows go through the signature join
+    got = audit_of(spark, texts, threshold=85, scorer=scorer, leaders=3, rows_per_task=20)
+    assert got == by_definition(texts, 85, 1, score) and len(got) >= 5

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -46,6 +47,24 @@ def test_reserved_names(spark):
     assert {(r.k, r._pos, r._part) for r in out.collect()} == {(7, 1, 2), (8, 1, 3)}
 
 
+def test_intermediate_results_can_be_dropped(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+import os, sys
+from pyspark.sql import SparkSession
+from kindred.plans.cut import cut_lineage, drop_intermediate
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+assert cut_lineage(spark.range(5)).count() == 5
+assert any(files for _, _, files in os.walk(sys.argv[1]))
+drop_intermediate(spark)
+assert not any(files for _, _, files in os.walk(sys.argv[1]))
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, capture_output=True, timeout=120,
+                   cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 @pytest.mark.parametrize("tile_rows", [3, 1000])
 def test_tiles_make_each_pair_once(spark, tile_rows):
     rng = random.Random(4)
