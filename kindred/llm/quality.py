@@ -3,8 +3,9 @@
 Each rule looks at one property of a text and votes good (1), bad (-1) or abstains (0). How far a
 rule can be trusted is not set by hand: expectation-maximisation finds, from the votes of all
 documents, the share of good documents and for each rule how often it says what for good and for
-bad ones. A document's posterior probability of being good decides, so one odd property alone
-doesn't reject a text and several weak signs do.
+bad ones. A document's posterior probability of being good decides: a rule whose votes against
+spread over all documents alike is outvoted by the others, several weak signs reject a text, and
+one sign alone does where the votes show it to be a kind of defect of its own.
 
 Spark counts the vote patterns of all documents; there are at most 3 ** (number of rules) of them,
 whatever the table holds, and EM runs on those counts.
@@ -116,6 +117,10 @@ def rules(s: str = "s") -> dict[str, Column]:
         "variety": vote((v["n_distinct"] < 0.2 * n) & (v["n_words"] < 2000), v["n_distinct"] > 0.4 * n),
     }
 
+# pseudo-counts of Votes with kinds, as parts of all items: good items and those of each kind; a
+# voter's false and other votes on items that are not of its kind; its votes on those that are
+PRIOR = {"good": 0.02, "kind": 0.0005, "false": 0.001, "not_false": 0.02, "true": 0.285, "missed": 0.015}
+
 
 class Votes:
     """Reliabilities of voters, by expectation-maximisation over counted vote patterns.
@@ -123,16 +128,21 @@ class Votes:
     Classes are good and one or several kinds of bad; ``chance[c, r, v]`` is the chance that voter r
     votes v - 1 on an item of class c, ``share[c]`` the share of the class.
 
-    With ``kinds``, each voter has a kind of bad of its own, which it recognises at least
-    ``least_true`` of the time, and says bad of at most ``most_false`` of the good items: bad items
-    are bad for different reasons, and a defect that comes alone is one all the same.
+    With ``kinds``, each voter has a kind of bad of its own, as bad items are bad for different reasons.
+    A kind may be seen by several voters: its own and those who say bad of most of its items. All
+    other votes against are false, and a voter's share of false votes is one for all classes: who is
+    wrong at random is so on items with other defects as well, while a defect that comes alone keeps
+    away from them. That tells a poor voter from a defect of its own. Nothing bounds either share;
+    what the items don't tell is left to pseudo-counts, which are parts of the total (PRIOR), so
+    tables of any size with the same shares are judged alike.
 
     With ``neutral``, voters who abstain say nothing about an item; else that they do is a sign too.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, kinds: bool = False, neutral: bool = False, most_false: float = 0.02,
-                 least_true: float = 0.9, rounds: int = 500, tolerance: float = 1e-9):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, kinds: bool = False, neutral: bool = False, rounds: int | None = None,
+                 tolerance: float = 1e-9):
         self.neutral = neutral
+        rounds = rounds or (5000 if kinds else 500)
         hot = self.indicators(patterns)
         voters = patterns.shape[1]
         against = (patterns < 0).astype(float)
@@ -141,22 +151,21 @@ class Votes:
         bad = against if kinds else (against.sum(axis=1, keepdims=True) > 0).astype(float)
         some = bad.sum(axis=1, keepdims=True)
         bad = np.where(some > 0, bad / np.maximum(some, 1), 1 / bad.shape[1])
-        good = np.where(some > 0, 0.1, 0.9)
+        good = np.where(some > 0, 0.5, 0.99) if kinds else np.where(some > 0, 0.1, 0.9)
         p = np.hstack([good, (1 - good) * bad])
         self.chance, self.share = np.zeros((p.shape[1], voters, 3)), np.zeros(p.shape[1])
         self.converged, self.rounds = False, 0
         for self.rounds in range(1, rounds + 1):
             w = p * counts[:, None]
             size = w.sum(axis=0)
-            # a part of an item more of each vote keeps every chance above zero
-            chance = np.einsum("pc,prv->crv", w, hot) + 0.1
-            chance /= chance.sum(axis=2, keepdims=True)
+            votes = np.einsum("pc,prv->crv", w, hot)
             if kinds:
-                self._hold(chance[0], chance[0][:, 0] > most_false, most_false)
-                for r in range(voters):
-                    own = np.arange(voters) == r
-                    self._hold(chance[r + 1], own & (chance[r + 1][:, 0] < least_true), least_true)
-            share = (size + 0.1) / (total + 0.1 * len(size))
+                chance, share = self._learn(votes / total, size / total)
+            else:
+                # a part of an item more of each vote keeps every chance above zero
+                chance = votes + 0.1
+                chance /= chance.sum(axis=2, keepdims=True)
+                share = (size + 0.1) / (total + 0.1 * len(size))
             moved = max(np.abs(chance - self.chance).max(), np.abs(share - self.share).max())
             self.chance, self.share = chance, share
             p = self.classes(hot)
@@ -165,10 +174,22 @@ class Votes:
                 break
 
     @staticmethod
-    def _hold(chance: np.ndarray, rows: np.ndarray, value: float) -> None:
-        """Set the chance of a vote against to ``value`` in some rows, the others in proportion."""
-        chance[rows, 1:] *= ((1 - value) / (1 - chance[rows, 0]))[:, None]
-        chance[rows, 0] = value
+    def _learn(votes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances and shares of the classes, from their votes and sizes as parts of the total."""
+        voters = votes.shape[1]
+        against, size = votes[:, :, 0], size[:, None]
+        own = np.eye(voters + 1, voters, -1) > 0
+        sees = own | (against >= 0.5 * (size + 1e-5))
+        sees[0] = False
+        false = (np.where(sees, 0, against).sum(axis=0) + PRIOR["false"]) / (
+            np.where(sees, 0, size).sum(axis=0) + PRIOR["false"] + PRIOR["not_false"]
+        )
+        true = (against + np.where(own, PRIOR["true"], 1e-6)) / (size + np.where(own, PRIOR["true"] + PRIOR["missed"], 2e-6))
+        bad = np.where(sees, true, false)[:, :, None]
+        rest = votes[:, :, 1:] + 1e-4 * votes[:, :, 1:].sum(axis=0) + 1e-7
+        rest /= rest.sum(axis=2, keepdims=True)
+        share = size[:, 0] + np.array([PRIOR["good"]] + [PRIOR["kind"]] * voters)
+        return np.concatenate([bad, (1 - bad) * rest], axis=2), share / share.sum()
 
     def indicators(self, patterns: np.ndarray) -> np.ndarray:
         hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from tests.llm.helpers import AWKWARD, documents
 
 from kindred.llm import quality
@@ -50,6 +51,23 @@ def test_em_finds_defects_that_come_alone():
     assert (found == truth).mean() > 0.97
 
 
+@pytest.mark.parametrize("total", [10_000, 1_000_000])
+@pytest.mark.parametrize("share", [0.01, 0.05, 1 / 3])
+def test_one_unreliable_rule_is_outvoted(total, share):
+    good = [1] * 8
+    lone, other, both, two, more, abstains = (list(good) for _ in range(6))
+    for votes, places in ((lone, [2]), (other, [0]), (both, [0, 2]), (two, [0, 5]), (more, [3, 4])):
+        for i in places:
+            votes[i] = -1
+    abstains[7] = 0
+    patterns = np.array([good, lone, two, more, abstains, both, other])
+    counts = np.array([total * (1 - share) - 22, total * share - 4, 5, 5, 6, 4, 2])
+    model = quality.Votes(patterns, counts, kinds=True)
+    found = model.posterior(patterns)
+    assert found[0] > 0.9 and found[1] >= 0.5
+    assert model.chance[0, 2, 0] > 0.5 * share
+
+
 def test_rows_are_judged(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
