@@ -3,7 +3,7 @@
 A line, without the blanks around it, is the sequence of its words between single spaces. Two
 lines are copies if they are equal, and near copies if one word edit (a word put in, taken out or
 replaced) turns one into the other and the shorter has at least ``near_words`` words. Of copies and
-near copies the earliest occurrence, in the order of (doc_id, line number), stays: a line goes if
+near copies the earliest occurrence, in the order of (doc_id, hash of the text, line number), stays: a line goes if
 and only if an earlier line is equal or near.
 
 A line emits its variants with one word deleted, as hashes. Lines that are equal after the deletion
@@ -34,12 +34,17 @@ def _cut(n: Column) -> Column:
     return n - n % step
 
 
+def _part(text: Column) -> Column:
+    """What tells rows of one doc_id, or of none, apart: a hash of the text."""
+    return F.xxhash64(text)
+
+
 def _lines(source: DataFrame, min_chars: int) -> DataFrame:
-    """doc, line, text of every line that takes part."""
+    """doc, part, line, text of every line that takes part."""
     return (
-        source.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+        source.select("doc", "part", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
         .where(F.length("raw") >= min_chars)
-        .select("doc", "line", F.btrim("raw", F.lit(_BLANKS)).alias("text"))
+        .select("doc", "part", "line", F.btrim("raw", F.lit(_BLANKS)).alias("text"))
     )
 
 
@@ -52,7 +57,7 @@ def _with_halves(lines: DataFrame, near_words: int) -> DataFrame:
     """Adds n (words) and the hashes of the front and back half to share: with lines of this cut
     length, and, where a line one word shorter has another cut length, with those."""
     n = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1).cast("int")
-    rows = lines.select("doc", "line", "text", *_names(), n.alias("n")).select(
+    rows = lines.select("doc", "part", "line", "text", *_names(), n.alias("n")).select(
         "*", _cut(F.col("n")).alias("own"), _cut(F.col("n") - 1).alias("other")
     )
 
@@ -63,19 +68,20 @@ def _with_halves(lines: DataFrame, near_words: int) -> DataFrame:
     near = F.col("n") >= near_words
     more = (F.col("n") > near_words) & (F.col("own") != F.col("other"))
     return rows.select(
-        "doc", "line", "h1", "h2", "n", F.when(near, half("own", 1)).alias("front"), F.when(near, half("own", -1)).alias("back"),
+        "doc", "part", "line", "h1", "h2", "n", F.when(near, half("own", 1)).alias("front"), F.when(near, half("own", -1)).alias("back"),
         F.when(more, half("other", 1)).alias("front2"), F.when(more, half("other", -1)).alias("back2"),
     )
 
 
 def line_decisions(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that go: doc, line (number from 0), near (whether only a near copy is earlier)."""
-    source = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
+    """Lines that go: doc, part (_part of the row's text), line (number from 0), near (whether only
+    a near copy is earlier)."""
+    source = docs.select(col(id_col).alias("doc"), _part(col(text_col)).alias("part"), col(text_col).alias("text"))
     table = written(_with_halves(_lines(source, min_chars), near_words))
     halves = ["front", "back", "front2", "back2"]
     # the earliest occurrence of every distinct line
-    first = table.groupBy("h1", "h2", "n", *halves).agg(F.min(F.struct("doc", "line")).alias("pos"))
+    first = table.groupBy("h1", "h2", "n", *halves).agg(F.min(F.struct("doc", "part", "line")).alias("pos"))
 
     # lines that share a half with a different line; sides 0 and 2 are fronts
     sided = first.where(F.col("n") >= near_words).select(
@@ -95,11 +101,11 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
     row, bit = F.pmod("h1", F.lit(BITMAP_ROWS)).cast("int"), F.pmod(F.shiftright("h1", 32), F.lit(64)).cast("int")
     single = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     bitmap = open_lines.groupBy(row.alias("row")).agg(F.bit_or(single).alias("bits"))
-    candidates = _lines(source, min_chars).select("doc", "line", "text", *_names()).withColumn("row", row)
+    candidates = _lines(source, min_chars).select("doc", "part", "line", "text", *_names()).withColumn("row", row)
     candidates = candidates.join(F.broadcast(bitmap), "row").where(F.col("bits").bitwiseAND(single) != 0)
     words = F.transform(F.split("text", " ", -1), lambda w: F.xxhash64(w))
     lines = written(
-        candidates.select(F.struct("doc", "line").alias("pos"), "h1", "h2", "text")
+        candidates.select(F.struct("doc", "part", "line").alias("pos"), "h1", "h2", "text")
         .join(open_lines, ["h1", "h2", "pos"]).select("h1", "pos", "front", "back", "mixed", words.alias("words"))
         .dropDuplicates(["h1"])
     )
@@ -138,10 +144,10 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
         .select("h1", F.lit(True).alias("near"))
     )
     verdicts = first.select("h1", "h2", "pos").join(near, "h1", "left")
-    later = F.struct("doc", "line") > F.col("pos")
+    later = F.struct("doc", "part", "line") > F.col("pos")
     return (
-        table.select("doc", "line", "h1", "h2").join(verdicts, ["h1", "h2"])
-        .where(F.col("near") | later).select("doc", "line", (~later).alias("near"))
+        table.select("doc", "part", "line", "h1", "h2").join(verdicts, ["h1", "h2"])
+        .where(F.col("near") | later).select("doc", "part", "line", (~later).alias("near"))
     )
 
 
@@ -173,14 +179,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
     the text) and _dropped (how many of them went).
 
     Lines under ``min_chars`` characters never go. Blanks around a line don't count.
-    Null and empty texts stay as they are; every row stays, even if no line is left. Rows with
-    the same doc_id, or with none, are one document to the order: lines at the same place of
-    repeated rows are the same occurrence, so repeated rows stay equal. A null doc_id comes first.
+    Null and empty texts stay as they are; every row stays, even if no line is left. A row
+    is known by its doc_id and a hash of its text: lines of rows that are equal in both are the same
+    occurrence, so repeated rows stay equal; rows that share a doc_id, or have none, but differ in
+    text are documents of their own, in the order of that hash. A null doc_id comes first.
     An empty table gives an empty table.
     """
     gone = line_decisions(docs, min_chars, near_words, id_col, text_col)
-    gone = gone.groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    joined = boxed(docs, id=col(id_col), text=col(text_col)).join(gone, F.col("id").eqNullSafe(F.col("doc")), "left")
+    gone = gone.groupBy("doc", "part").agg(F.collect_set("line").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("own_part") == F.col("part"))
+    joined = boxed(docs, id=col(id_col), own_part=_part(col(text_col)), text=col(text_col)).join(gone, same, "left")
     lines = F.split("text", "\n", -1)
     has = F.col("gone").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))

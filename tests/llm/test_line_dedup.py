@@ -71,6 +71,22 @@ def test_texts_rows_and_columns_stay(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_the_same_are_told_apart(spark):
+    p, q, r = (f"line {x} of the rows that share their id" for x in "PQR")
+    for one in (None, 3):
+        rows = [(one, f"{p}\n{q}"), (one, f"{r}\n{p}"), (one, f"{r}\n{p}"), (one, None), (9, f"{q}\nthe only line of its kind here")]
+        out = line_dedup.dedup_lines(documents(spark, rows)).collect()
+        left = sorted((r.doc_id or 0, r.text or "", r._dropped) for r in out)
+        # the copy of P in whichever row comes later goes, and no other line but the later Q
+        first = [(one or 0, f"{p}\n{q}", 0), (one or 0, r, 1), (one or 0, r, 1)]
+        last = [(one or 0, q, 1), (one or 0, f"{r}\n{p}", 0), (one or 0, f"{r}\n{p}", 0)]
+        rest = [(one or 0, "", 0), (9, "the only line of its kind here", 1)]
+        assert left in (sorted(first + rest), sorted(last + rest))
+    # equal lines at the same place of rows that differ
+    rows = [(None, f"{p}\n{x} is a line for itself alone") for x in "abc"]
+    assert sorted(r._dropped for r in line_dedup.dedup_lines(documents(spark, rows)).collect()) == [0, 1, 1]
+
+
 def test_no_python_in_the_plan(spark, capsys):
     line_dedup.dedup_lines(documents(spark, AWKWARD)).explain()
     plan = capsys.readouterr().out
