@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,6 +50,16 @@ NUMBER_CUES = frozenset(
 CONTACT_CUES = frozenset("mail email e-mail contact write reach kontakt schreib adresse courriel correo".split())
 CUES = {"secret": SECRET_CUES, "number": NUMBER_CUES, "contact": CONTACT_CUES}
 
+_AT_SIGN = re.compile(r"\(at\)|\[at\]", re.I)
+_KEYS = re.compile(rf"(?<![A-Za-z0-9])(?:{_KEY_SHAPES.pattern}|(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_.-]{{12,}})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_BRACKETED = re.compile(r"\([0-9]{2,5}\)[ -]?[0-9]{2,}(?:[ -][0-9]{2,}){0,4}(?![0-9A-Za-z])")
+# a cue, then a sign of assignment or a blank; values after a blank alone need a digit
+_CUED = re.compile(
+    rf"(?<!\w)(?:{'|'.join(sorted(SECRET_CUES, key=len, reverse=True))})(?:[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?|[ \t](?=[^\s\"',;]{{0,80}}[0-9]))"
+    r"([^\s\"',;()<>\[\]{}]{4,200})", re.I,
+)
+
 LABELERS = ("pattern", "check", "gazetteer", "cue", "assigned", "shape")
 
 
@@ -101,11 +112,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Wider candidates that don't touch a base span or each other."""
-    taken = sorted((a, b) for _, a, b in base)
+    """Wider candidates that don't touch a base span or each other: what the labelers' own patterns
+    find in the text first, then values after a cue, then long tokens and groups of digits."""
+    taken: list[tuple[int, int]] = []  # disjoint and in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    sure = [("secret", m.start(), m.end()) for m in _KEYS.finditer(text)]
+    sure += [("number", m.start(), m.end()) for p in (_IBAN, _BRACKETED) for m in p.finditer(text)]
+    if _AT_SIGN.search(text):
+        sure += [("contact", m.start(), m.end()) for m in _AT.finditer(text)]
+    cued = [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".:!?"))) for m in _CUED.finditer(text)]
+    cued = [c for c in cued if c[2] - c[1] >= 4]
     found: list[tuple[str, int, int]] = []
-    if "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text:
-        found += [("contact", m.start(), m.end()) for m in _AT.finditer(text)]
     done = 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
@@ -123,11 +144,17 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             found.append(("number", start, end))
             done = end
     out = []
-    for span in sorted(found, key=lambda s: (s[1], s[0])):
-        if all(span[2] <= a or span[1] >= b for a, b in taken):
+    for span in (s for group in (sure, cued, found) for s in sorted(group, key=lambda s: (s[1], s[0]))):
+        i = bisect_left(taken, (span[2],))  # what starts before the span ends
+        if i == 0 or taken[i - 1][1] <= span[1]:
             out.append(span)
-            taken.append(span[1:])
-    return out
+            insort(taken, span[1:])
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def iban(bare: str) -> bool:
+    """Whether the check digits of an IBAN are right."""
+    return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}", bare)) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
 def _entropy(token: str) -> float:
@@ -142,19 +169,19 @@ def votes_and_features(text: str, kind: str, start: int, end: int) -> tuple[list
     near = [w.strip(".,:;=\"'()[]").lower() for w in before.split()][-4:]
     digits = sum("0" <= c <= "9" for c in token)
     letters = sum(c.isalpha() for c in token)
-    bare = token.replace(" ", "").replace("-", "")
+    bare = re.sub(r"[ ()-]", "", token)
     hexadecimal = bool(re.fullmatch(r"[0-9a-fA-F]+", token))
     cue = any(w in CUES[kind] for w in near)
     assigned = bool(re.search(r"[=:]\s*[\"']?$", before))
     entropy = _entropy(token)
     if kind == "secret":
-        pattern = 1 if hexadecimal or _KEY_SHAPES.fullmatch(token) else -1
+        pattern = 1 if hexadecimal or _KEYS.fullmatch(token) else -1
         check = 1 if hexadecimal and len(token) in (32, 40, 56, 64, 96, 128) else 0
         gazetteer = 1 if token.startswith(KEY_STARTS) else 0
         shape = 1 if entropy >= 2.8 and digits >= 2 else -1
     elif kind == "number":
-        pattern = 1 if re.fullmatch(r"\d{3}-\d{2}-\d{4}|0\d{2,4}[ -]\d{3,}[ -]?\d{2,}|\d{3}-\d{3}-\d{4}|\d{4}(?:[ -]\d{4}){2,3}", token) else -1
-        check = 1 if 13 <= len(bare) <= 19 and luhn(bare) else -1
+        pattern = 1 if re.fullmatch(r"\d{3}-\d{2}-\d{4}|0\d{2,4}[ -]\d{3,}[ -]?\d{2,}|\d{3}-\d{3}-\d{4}|\d{4}(?:[ -]\d{4}){2,3}", token) or _BRACKETED.fullmatch(token) or _IBAN.fullmatch(token) else -1
+        check = 1 if iban(bare) or bare.isdecimal() and 13 <= len(bare) <= 19 and luhn(bare) else -1
         gazetteer = 1 if re.match(r"(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|00(?:1|3[3469]|4[149]|49))", bare) and len(bare) >= 11 else 0
         shape = 1 if len(set(bare)) >= 4 and bare not in "01234567890123456789" else -1
     else:
@@ -192,10 +219,9 @@ def find_spans(text):
                 base = base_spans(t)
                 kinds = Counter(k for k, _, _ in base)
                 more = []
-                if _ANY_DIGIT.search(t) or "(" in t or "[" in t:
-                    for kind, a, b in proposals(t, base):
-                        votes, features = votes_and_features(t, kind, a, b)
-                        more.append({"kind": kind, "start": a, "end": b, "votes": votes, "features": features})
+                for kind, a, b in proposals(t, base):
+                    votes, features = votes_and_features(t, kind, a, b)
+                    more.append({"kind": kind, "start": a, "end": b, "votes": votes, "features": features})
                 rows.append((*(kinds[k] for k in BASE_KINDS), _joined(base), more))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "more"])
 
