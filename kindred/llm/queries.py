@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import chat, hilbert, html_text, line_dedup, mixing, packing, pii, quality, simhash, toxicity
+from kindred.llm import (
+    chat, hilbert, html_text, line_dedup, mixing, packing, phrases, pii, quality, simhash, toxicity, whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +63,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_mix_sources": op2_mix_sources,
@@ -72,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -119,5 +132,38 @@ kept AS (
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op13_phrases": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, x[1] AS w1, x[2] AS w2, count(*) AS f
+        FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS x FROM w WHERE len(w) >= 2) GROUP BY ALL),
+three AS (SELECT lang, x[1] AS w1, x[2] AS w2, x[3] AS w3, count(*) AS f
+          FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS x FROM w WHERE len(w) >= 3) GROUP BY ALL HAVING count(*) >= 10),
+inner_two AS (
+  SELECT lang, w1, w2, max(f) AS longer
+  FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+scored AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, a.f AS l, b.f AS r,
+         CAST(1000000::HUGEINT * t.f * t.f // (a.f::HUGEINT * b.f) AS BIGINT) AS score
+  FROM two t JOIN one a ON a.lang = t.lang AND a.x = t.w1 JOIN one b ON b.lang = t.lang AND b.x = t.w2
+  LEFT JOIN inner_two i ON i.lang = t.lang AND i.w1 = t.w1 AND i.w2 = t.w2
+  WHERE t.f >= 10 AND coalesce(100 * i.longer < 50 * t.f, true)
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2)
+  FROM (
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, a.f AS l1, bc.f AS r1, ab.f AS l2, c.f AS r2,
+           CAST(1000000::HUGEINT * t.f * t.f // (a.f::HUGEINT * bc.f) AS BIGINT) AS s1,
+           CAST(1000000::HUGEINT * t.f * t.f // (ab.f::HUGEINT * c.f) AS BIGINT) AS s2
+    FROM three t JOIN one a ON a.lang = t.lang AND a.x = t.w1 JOIN one c ON c.lang = t.lang AND c.x = t.w3
+    JOIN two ab ON ab.lang = t.lang AND ab.w1 = t.w1 AND ab.w2 = t.w2
+    JOIN two bc ON bc.lang = t.lang AND bc.w1 = t.w2 AND bc.w2 = t.w3)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
 """,
 }
