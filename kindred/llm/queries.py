@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.llm import (
-    chat, hilbert, html_text, line_dedup, mixing, packing, phrases, pii, quality, simhash, toxicity, whitening,
+    chat, hilbert, html_text, hyperminhash, line_dedup, mixing, packing, phrases, pii, quality, simhash, toxicity, whitening,
 )
 
 
@@ -68,6 +68,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_hyperminhash": op12_hyperminhash,
     "op13_phrases": op13_phrases,
 }
 
@@ -132,6 +137,24 @@ kept AS (
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op12_hyperminhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+least AS (SELECT x AS doc_id, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id,
+       coalesce(l.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN least l ON l.doc_id = s.doc_id
 """,
     "op13_phrases": r"""
 WITH p AS (
