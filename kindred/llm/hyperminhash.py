@@ -11,8 +11,9 @@ the others are compared on their whole sets.
 
 No band lists its pairs. Equal sets are one node to begin with; in every band the member with most
 band mates, usually the text the others were made from, is compared with the rest; nodes that turn
-out to be linked are one component, and bands that hold a single component are done. Only members of
-different components still meet, in tiles of bounded size.
+out to be linked are one component, and bands that hold a single component are done. The rest is sorted out
+inside tasks, in tiles of bounded size: members of different components are estimated, then counted on
+their whole sets, and a tile returns a spanning forest of the links it finds, never the pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from kindred.llm.common import as_bytes, boxed, col, written
 from kindred.operators.cluster import connected_components
-from kindred.plans.pairs import join_pairs
 
 SEED = 12
 BUCKET_BITS = 8
@@ -119,6 +119,20 @@ def estimated_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_
     return (equal - by_chance) / np.maximum(filled, 1), filled
 
 
+def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the estimate of each pair is not too far below the limit.
+
+    The buckets are a sample of the union without replacement: the more of the union they show, the
+    less the estimate strays.
+    """
+    found, filled = estimated_similarity(a, b, size_a.astype(float), size_b.astype(float))
+    limit = percent / 100
+    union = np.maximum((size_a + size_b) / (1 + limit), filled + 1)
+    variance = limit * (1 - limit) / np.maximum(filled, 1) * (1 - filled / union)
+    # two buckets more for small sets, whose hashes may share one
+    return found >= limit - DEVIATIONS * np.sqrt(variance) - 2 / np.maximum(filled, 1)
+
+
 def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the text's own hashes t1 and t2, and key, n, registers of its set."""
 
@@ -184,9 +198,7 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ra, rb, na, nb in batches:
             a, b = (np.frombuffer(b"".join(r), np.uint16).reshape(-1, BUCKETS) for r in (ra, rb))
-            found, filled = estimated_similarity(a, b, na.to_numpy(float), nb.to_numpy(float))
-            limit = percent / 100
-            yield pd.Series(found >= limit - DEVIATIONS * np.sqrt(limit * (1 - limit) / np.maximum(filled, 1)))
+            yield pd.Series(_may_link(a, b, na.to_numpy(), nb.to_numpy(), percent))
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
@@ -205,11 +217,116 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _promising_in_tile(registers: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether row left[i] and row right[j] may be similar enough, by size and estimate."""
+    out = np.zeros((len(left), len(right)), bool)
+    step = max(1, 2_000_000 // (len(right) * BUCKETS))
+    for start in range(0, len(left), step):
+        rows = left[start : start + step]
+        na, nb = sizes[rows][:, None], sizes[right][None, :]
+        i, j = np.nonzero(np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+        if len(i):
+            out[start + i, j] = _may_link(registers[rows[i]], registers[right[j]], sizes[rows[i]], sizes[right[j]], percent)
+    return out
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets left[i] and right[j], by products of 0-1 matrices."""
+    used = np.unique(np.concatenate([left, right]))
+    values, column = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    several = np.bincount(column, minlength=len(values)) > 1  # what only one set holds is in no intersection
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    at_l, at_r = np.searchsorted(used, left), np.searchsorted(used, right)
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2^24 per product; sums below are whole numbers
+    total = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(several.sum()), 2048):
+        lo, hi = np.searchsorted(column, [start, start + 2048])
+        dense = np.zeros((len(used), 2048), np.float32)
+        dense[row[lo:hi], column[lo:hi] - start] = 1
+        np.matmul(dense[at_l], dense[at_r].T, out=out)
+        total += out.astype(np.int64)
+    return total
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (indexes into ``sets``) between members of left and right that join all components which
+    similar sets connect."""
+    sizes = np.array([len(s) for s in sets])
+    registers = np.stack([registers_of(s) for s in sets])
+    near = _promising_in_tile(registers, sizes, left, right, percent)
+    near &= component[left][:, None] != component[right][None, :]
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    if not rows.any():
+        return []
+    left, right, near = left[rows], right[columns], near[np.ix_(rows, columns)]
+    common = _common(sets, left, right)
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    i, j = np.nonzero(near & (common * 100 >= union * percent))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a, b in zip(left[i].tolist(), right[j].tolist()):
+        one, other = find(int(component[a])), find(int(component[b]))
+        if one != other:
+            root[one] = other
+            out.append((a, b))
+    return out
+
+
+def _links_in_tiles(rows: DataFrame, sets: DataFrame, percent: int, tile_rows: int, tile_hashes: int) -> DataFrame:
+    """src, dst: links that connect what similar sets of one band connect. ``rows``: band, node, component.
+
+    Small bands share a task; a band of more than ``tile_rows`` rows or ``tile_hashes`` hashes is cut into
+    slices, and every two slices meet in a task of their own.
+    """
+    sized = rows.join(sets.select("node", F.size("hashes").alias("n")), "node")
+    sizes = written(sized.groupBy("band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / tile_rows), F.ceil(F.sum("n") / tile_hashes)).cast("int").alias("slices"),
+        F.sum("n").alias("held"), F.count(F.lit(1)).alias("members"),
+    ))
+    held = sizes.agg(F.sum("held"), F.sum("members")).first()
+    shards = max(1, -(-int(held[0] or 0) // tile_hashes), -(-int(held[1] or 0) // tile_rows))
+    hot = F.col("slices") > 1
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("slices")).cast("int")
+    placed = rows.join(sizes.select("band", "slices"), "band").withColumn("slice", own)
+    tiles = F.array_distinct(F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("slice")), lambda j: F.struct(F.col("slice").alias("i"), j.alias("j"))),
+        F.transform(F.sequence(F.col("slice"), F.col("slices") - 1), lambda i: F.struct(i.alias("i"), F.col("slice").alias("j"))),
+    ))
+    shard = F.when(hot, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(shards)))
+    tiled = placed.select("node", "component", "band", "slice", hot.alias("hot"), shard.alias("shard"), F.explode(tiles).alias("t"))
+    tiled = tiled.select("node", "component", "band", "slice", "hot", "shard", "t.i", "t.j").join(sets, "node")
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        node, component, band = (part[c].to_numpy(np.int64) for c in ("node", "component", "band"))
+        where, i, j = (part[c].to_numpy(np.int64) for c in ("slice", "i", "j"))
+        order = np.argsort(band, kind="stable")
+        found = []
+        for members in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            sets = [np.asarray(part["hashes"].iloc[m], np.int64).view(np.uint64) for m in members.tolist()]
+            everyone = np.arange(len(members))
+            left, right = everyone[where[members] == i[members]], everyone[where[members] == j[members]]
+            found += [(node[members[a]], node[members[b]]) for a, b in spanning_links(sets, component[members], left, right, percent)]
+        return pd.DataFrame(found, columns=["src", "dst"], dtype=np.int64)
+
+    return tiled.groupBy("hot", "shard", "i", "j").applyInPandas(work, "src long, dst long").distinct()
+
+
 def _pair(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def similar_sets(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col: str) -> DataFrame:
+def similar_sets(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col: str, tile_rows: int = 1000,
+                 tile_hashes: int = 1_000_000) -> DataFrame:
     """node, component of all nodes that are linked to another one. ``nodes`` is a written table of
     distinct sets: node, n, registers, t1, t2."""
     # of two different sets with p % in common the smaller has at least p / (100 - p) elements
@@ -222,43 +339,25 @@ def similar_sets(docs: DataFrame, nodes: DataFrame, percent: int, width: int, te
     wanted = degrees.select("node").join(nodes.select("node", "t1", "t2"), "node")
     sets = written(_sets(docs, wanted, width, text_col))
 
-    tested = links = None
-
-    def check(pairs: DataFrame) -> DataFrame:
-        nonlocal tested, links
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(_linked(_promising(pairs, nodes, percent), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        return connected_components(links)
-
-    left = rows.count()
-    while True:
-        heads = rows.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("head"))
-        headed = rows.join(heads, "band").where(F.col("node") != F.col("head.node"))
-        component = check(headed.select(*_pair(F.col("node"), F.col("head.node"))).distinct())
-        if not left:
-            return component
-        # the head has met everybody in its band; the others go on where they are still apart
-        open_rows = headed.select("band", "node", "degree").join(component, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        apart = open_rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        open_rows = written(open_rows.join(apart.select("band"), "band"))
-        before, left = left, open_rows.count()
-        if not left:
-            return component
-        if left * 2 > before:
-            break
-        rows = open_rows.select("band", "node", "degree")
-    one, other = (open_rows.select("band", F.col("node").alias(f"node_{s}"), F.col("component").alias(f"component_{s}")) for s in "lr")
-    met = join_pairs(one, other, ["band"], "node_l", "node_r", same=True).where("component_l <> component_r")
-    return check(met.select(*_pair(F.col("node_l"), F.col("node_r"))).distinct())
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # every member of a band meets its head
+    heads = rows.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("head"))
+    headed = rows.join(heads, "band").where(F.col("node") != F.col("head.node"))
+    met = written(headed.select(*_pair(F.col("node"), F.col("head.node"))).distinct())
+    links = written(_linked(_promising(met, nodes, percent), sets, percent))
+    component = connected_components(links)
+
+    # the others of a band go on where they are still apart
+    rest = headed.select("band", "node").join(component, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("component")
+    )
+    apart = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = written(rest.join(apart.select("band"), "band"))
+    more = written(_links_in_tiles(rest, sets, percent, tile_rows, tile_hashes))
+    return connected_components(links.unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                    tile_rows: int = 1000, tile_hashes: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Words are runs of non-white-space with A-Z lower-cased. A document is the set of its distinct shingles
@@ -269,7 +368,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     Bands miss a pair at the very limit of 80 % with a probability of about 5 in 10^8, and a pair above it
     with less; no link is made that the whole sets don't confirm. Null texts and texts without words are
     linked with nothing. A null doc_id is never the smallest unless its component has no other; such
-    rows are kept then. Repeated rows stay, with equal results. An empty table gives none. Other columns
+    rows are kept then. ``tile_rows`` and ``tile_hashes`` bound what a task holds and change no result. Repeated
+    rows stay, with equal results. An empty table gives none. Other columns
     are not read.
     """
     prints = written(_prints(docs, width, id_col, text_col))
@@ -278,7 +378,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
         F.min(F.struct("t1", "t2")).alias("t"),
     )
     nodes = written(sets.select("key", "least", "n", "registers", "t.t1", "t.t2", F.monotonically_increasing_id().alias("node")))
-    reached = similar_sets(docs, nodes, percent, width, text_col)
+    reached = similar_sets(docs, nodes, percent, width, text_col, tile_rows, tile_hashes)
     named = written(nodes.select("node", "key", "least").join(reached, "node", "left").select(
         "key", "least", F.coalesce("component", "node").alias("component")
     ))

@@ -91,14 +91,41 @@ def test_chance_agreement_against_simulation():
         assert abs(np.mean(agree) - want) < 5 * np.sqrt(want / 4000)
 
 
+def test_tiles_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    sets = []
+    for _ in range(160):
+        kept = base[rng.random(150) > rng.choice([0.02, 0.08, 0.2])]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**64, rng.integers(20), dtype=np.uint64)])))
+    everyone = np.arange(len(sets))
+    similar = np.array([[len(np.intersect1d(a, b)) * 100 >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    common = hyperminhash._common(sets, everyone[:70], everyone[70:])
+    assert (common == [[len(np.intersect1d(a, b)) for b in sets[70:]] for a in sets[:70]]).all()
+    want = everyone.copy()
+    while True:
+        new = np.where(similar, want[None, :], len(sets)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    links = hyperminhash.spanning_links(sets, everyone, everyone, everyone, 80)
+    got = everyone.copy()
+    for a, b in links:
+        assert similar[a, b]
+        got[got == got[a]] = got[b]
+    assert len(links) < len(sets) and len(set(got.tolist())) == len(set(want.tolist())) == len(set(zip(got.tolist(), want.tolist())))
+    assert 1 < len(set(want.tolist())) < 100
+
+
 def test_groups_against_brute_force(spark):
     rows = families(6, [(3, 4), (4, 4), (5, 6), (7, 8), (9, 8), (24, 20), (40, 30), (60, 60), (200, 20), (1000, 6), *[(30, 1)] * 40])
     # a chain: every text shares enough with the next one only
     words = [f"c{i}" for i in range(400)]
     rows += [(2 + 3 * i, " ".join(words[i * 4 : i * 4 + 100])) for i in range(60)]
     want, sets = components(rows)
-    got = {r.doc_id: r for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()}
-    assert [got[i].component_id for i, _ in rows] == want
+    for tile_rows in (1000, 7):  # the second cuts bands into slices
+        got = {r.doc_id: r for r in hyperminhash.near_duplicates(documents(spark, rows), tile_rows=tile_rows).collect()}
+        assert [got[i].component_id for i, _ in rows] == want
     assert [got[i].n_shingles for i, _ in rows] == [len(s) for s in sets]
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
     assert 60 < len(set(want)) < len(rows) - 60
