@@ -18,7 +18,7 @@ takes more rounds, each a pass over the numbered blocks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -145,21 +145,41 @@ def _codes_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarr
         yield np.concatenate(held)
 
 
+def _pieces(codes: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """Parts of a numbered text, cut at breaks where there are any, so that no phrase is cut."""
+    breaks = np.flatnonzero(codes == _BREAK)
+    start = 0
+    while start < len(codes):
+        later = breaks[np.searchsorted(breaks, start + at_once) :]
+        end = int(later[0]) + 1 if len(later) else len(codes)
+        yield codes[start:end]
+        start = end
+
+
 def _rows(columns: dict[str, np.ndarray], at_once: int = 500_000) -> Iterator[pa.RecordBatch]:
     size = len(next(iter(columns.values())))
     for start in range(0, size, at_once):
         yield pa.RecordBatch.from_arrays([pa.array(v[start : start + at_once]) for v in columns.values()], list(columns))
 
 
+def _summed(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Distinct keys and how often each occurs (n); sorts ``keys`` in place."""
+    keys.sort()
+    begin = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
+    return {name: keys[begin], "n": np.diff(begin, append=len(keys))}
+
+
 def _neighbours(coded: DataFrame, most: int) -> DataFrame:
     """pair (two numbers, 32 bits each), n: neighbours that are both frequent, summed per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes in _codes_of(batches, most):
-            first, second = codes[:-1].astype(np.int64), codes[1:]
-            both = (first >= 0) & (second >= 0)
-            pairs, counts = np.unique((first[both] << 32) | second[both], return_counts=True)
-            yield from _rows({"pair": pairs, "n": counts})
+            starts = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0)).astype(np.int32)
+            pairs = codes[starts].astype(np.int64)
+            pairs <<= 32
+            pairs |= codes[starts + 1]
+            del starts
+            yield from _rows(_summed("pair", pairs))
 
     return coded.mapInArrow(run, "pair long, n long")
 
@@ -167,11 +187,10 @@ def _neighbours(coded: DataFrame, most: int) -> DataFrame:
 @dataclass
 class DoubleArray:
     """A trie over digit strings in two arrays: from state s digit d leads to t = base[s] + d if
-    check[t] == s. State 0 is the root; ``phrase`` is the number of the phrase that ends in a state."""
+    check[t] == s. State 0 is the root; where a phrase ends, base is the number of the phrase."""
 
     base: np.ndarray
     check: np.ndarray
-    phrase: np.ndarray
     shifts: tuple[int, ...]
     mask: int
     count: int
@@ -196,19 +215,19 @@ class DoubleArray:
             begins.append(np.searchsorted(parents[-1], np.arange(node[-1] + 1)))
             node = np.cumsum(fresh) - 1
         bases, size = _place(labels, begins, mask + 1)
-        base, check, phrase = (np.full(size, v, np.int32) for v in (0, -1, -1))
+        base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         slot = np.zeros(1, np.int64)
         for level in range(len(labels)):
             base[slot] = bases[level]
             child = bases[level][parents[level]] + labels[level]
             check[child] = slot[parents[level]]
             slot = child
-        phrase[slot] = np.arange(len(words), dtype=np.int32)
-        return cls(base, check, phrase, shifts, mask, len(words))
+        base[slot] = np.arange(len(words), dtype=np.int32)
+        return cls(base, check, shifts, mask, len(words))
 
     def matches(self, codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions where a phrase of so many words starts, and its number."""
-        at = np.arange(max(0, len(codes) - words + 1))
+        at = np.arange(max(0, len(codes) - words + 1), dtype=np.int32)
         state = np.zeros(len(at), np.int32)
         for w in range(words):
             word = codes[at + w]
@@ -218,7 +237,7 @@ class DoubleArray:
                 following = self.base[state] + ((word >> shift) & self.mask)
                 on = self.check[following] == state
                 at, state, word = at[on], following[on], word[on]
-        return at, self.phrase[state]
+        return at, self.base[state]
 
 
 def _place(labels: list[np.ndarray], begins: list[np.ndarray], width: int) -> tuple[list[np.ndarray], int]:
@@ -285,7 +304,7 @@ def _each_round(spark, coded: DataFrame, candidates: DataFrame, keys: list[str],
     out = None
     for rows in _rounds(candidates, keys, trie_phrases):
         # arrays only: tasks need no installed copy of the class
-        sent = spark.sparkContext.broadcast((astuple(DoubleArray.build(split(rows), largest)), rows))
+        sent = spark.sparkContext.broadcast((tuple(vars(DoubleArray.build(split(rows), largest)).values()), rows))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             fields, rows = sent.value
@@ -318,30 +337,34 @@ def phrase_counts(docs: DataFrame, least: int = 10, block_words: int = 2_000_000
     if largest >= 1 << 31:
         raise ValueError("More than 2^31 frequent words.")
     coded = written(_renumbered(blocks, words.select("lang", "word", "id")))
-    most = 2 * block_words
+    # a fraction of a block's own arrays at a time
+    most, at_once = block_words, max(1, block_words // 4)
 
     near = written(_neighbours(coded, most).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"))
 
     def pairs_run(batches: Iterator[pa.RecordBatch], trie: DoubleArray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counts of pairs (third -1), and sums of the triples that may be frequent."""
-        for codes in _codes_of(batches, most):
-            at, number = trie.matches(codes, 2)
-            counts = np.bincount(number, minlength=trie.count)
-            seen = np.flatnonzero(counts)
-            third = np.full(len(seen), -1, np.int32)
-            yield from _rows({"pair": rows[seen, 0], "third": third, "n": counts[seen]})
-            inside = at + 2 < len(codes)
-            at, number = at[inside], number[inside]
-            following = codes[at + 2]
-            on = following >= 0
-            if trie.count == total:  # this trie knows all pairs: the second one must be there as well
-                starts = np.zeros(len(codes), bool)
+        counts = np.zeros(trie.count, np.int64)
+        for whole in _codes_of(batches, most):
+            triples = []
+            for codes in _pieces(whole, at_once):
+                at, number = trie.matches(codes, 2)
+                counts += np.bincount(number, minlength=trie.count)
+                starts = np.zeros(len(codes) + 1, bool)
                 starts[at] = True
-                on &= starts[at + 1]
-            keys, counts = np.unique((number[on].astype(np.int64) << 32) | following[on], return_counts=True)
+                inside = at + 2 < len(codes)
+                at, number = at[inside], number[inside]
+                following = codes[at + 2]
+                on = following >= 0
+                if trie.count == total:  # this trie knows all pairs: the second one must be there as well
+                    on &= starts[at + 1]
+                triples.append((number[on].astype(np.int64) << 32) | following[on])
+            found = _summed("key", np.concatenate(triples))
             yield from _rows({
-                "pair": rows[keys >> 32, 0], "third": (keys & 0xFFFFFFFF).astype(np.int32), "n": counts
+                "pair": rows[found["key"] >> 32, 0], "third": (found["key"] & 0xFFFFFFFF).astype(np.int32), "n": found["n"]
             })
+        seen = np.flatnonzero(counts)
+        yield from _rows({"pair": rows[seen, 0], "third": np.full(len(seen), -1, np.int32), "n": counts[seen]})
 
     total = near.count()
     summed = _each_round(spark, coded, near, ["pair"], largest, trie_phrases, pairs_run, "pair long, third int, n long", _words_of_pair)
@@ -351,10 +374,12 @@ def phrase_counts(docs: DataFrame, least: int = 10, block_words: int = 2_000_000
     pairs = summed.where("third = -1").select("pair", "f")
 
     def triples_run(batches: Iterator[pa.RecordBatch], trie: DoubleArray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for codes in _codes_of(batches, most):
-            counts = np.bincount(trie.matches(codes, 3)[1], minlength=trie.count)
-            seen = np.flatnonzero(counts)
-            yield from _rows({"pair": rows[seen, 0], "third": rows[seen, 1].astype(np.int32), "n": counts[seen]})
+        counts = np.zeros(trie.count, np.int64)
+        for whole in _codes_of(batches, most):
+            for codes in _pieces(whole, at_once):
+                counts += np.bincount(trie.matches(codes, 3)[1], minlength=trie.count)
+        seen = np.flatnonzero(counts)
+        yield from _rows({"pair": rows[seen, 0], "third": rows[seen, 1].astype(np.int32), "n": counts[seen]})
 
     chained = _each_round(
         spark, coded, summed.where("third >= 0").select("pair", F.col("third").cast("long").alias("third")), ["pair", "third"], largest,
