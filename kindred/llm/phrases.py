@@ -107,6 +107,7 @@ def _blocks(docs: DataFrame, block_words: int, lang_col: str, text_col: str) ->
                     words, langs, lang_of, codes = [], {}, [], []
         if codes:
             yield from close()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     texts = docs.select(F.coalesce(col(lang_col), F.lit("und")).alias("lang"), col(text_col).alias("text")).where("text <> ''")
     return texts.mapInArrow(run, "block long, number int, lang string, word binary, n long, codes binary, length int")
@@ -143,6 +144,7 @@ def _codes_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarr
             held += (_unpacked(codes, length), np.array([_BREAK], np.int32))
     if held:
         yield np.concatenate(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _pieces(codes: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
