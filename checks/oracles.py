@@ -536,6 +536,15 @@ ORACLES = {
       c AS (SELECT count(*) AS rows FROM t)
       SELECT agreeing, equal_text, equal_n_chars,
              round_even(agreeing / {RECALL}::DOUBLE / (rows * (rows - 1) // 2), 10) AS prior FROM n, c""",
+    "agreement_patterns_documents": """
+SELECT CASE WHEN a.source = b.source THEN 1 ELSE 0 END + CASE WHEN a.n_chars = b.n_chars THEN 2 ELSE 0 END AS agree,
+       CASE WHEN a.lang IS NULL OR b.lang IS NULL THEN -1 WHEN a.lang = b.lang THEN 1 ELSE 0 END AS gamma_0,
+       CASE WHEN a.source IS NULL OR b.source IS NULL THEN -1 WHEN a.source = b.source THEN 1 ELSE 0 END AS gamma_1,
+       CASE WHEN a.n_chars IS NULL OR b.n_chars IS NULL THEN -1 WHEN a.n_chars = b.n_chars THEN 1 ELSE 0 END AS gamma_2,
+       count(*) AS pairs
+FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND (a.source = b.source OR a.n_chars = b.n_chars)
+GROUP BY ALL
+""",
     "prior_parties": f"""
       WITH a AS ({PARTY_A}), b AS ({PARTY_B})
       SELECT count(*) FILTER (l.nation = r.nation OR l.balance = r.balance) AS agreeing,

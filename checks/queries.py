@@ -338,6 +338,13 @@ def prior_documents(spark, folder):
     )
 
 
+def agreement_patterns_documents(spark, folder):
+    """How pairs of documents of one source or length agree; a source is on far too many rows for pairs."""
+    config = LinkConfig({"lang": "exact", "source": "exact", "n_chars": "exact"}, blocking=("source", "n_chars"))
+    records = merge_copies(record_rows(with_row_id(table(spark, folder, "documents"), id_col="doc_id"), config))
+    return blocked_patterns(records, None, config).withColumn("pairs", F.col("pairs").cast("bigint"))
+
+
 def prior_parties(spark, folder):
     a, b = (
         merge_copies(record_rows(with_row_id(t, id_col="id"), PARTY_CONFIG))
@@ -555,7 +562,7 @@ QUERIES = {
         dedup_fuzzy_levenshtein_conversations, clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
         compare_date_orders, candidate_pairs_documents, link_candidates_parties,
-        prior_documents, prior_parties, u_shares_suppliers, u_shares_sampled_customers,
+        prior_documents, prior_parties, agreement_patterns_documents, u_shares_suppliers, u_shares_sampled_customers,
         trained_weights_suppliers,
         predict_fixed_weights_documents, cluster_documents, cluster_all_documents, dedupe_prob_audit_documents,
         dedupe_prob_clean_documents, dedupe_trained_documents, link_pairs_parties,

@@ -27,7 +27,7 @@ def _equal(key: str) -> Column:
 
 def candidate_pairs(
     left: DataFrame, right: DataFrame | None, n_rules: int, tile_rows: int = TILE_ROWS,
-    also_equal: list[list[list[str]]] | None = None,
+    also_equal: list[list[list[str]]] | None = None, join_on: str = "k",
 ) -> DataFrame:
     """Every pair once, with ``match_key`` (the first rule it satisfies).
 
@@ -35,11 +35,12 @@ def candidate_pairs(
     no distinct. One join on an OR of the rules would compare everything with everything.
     ``right`` None: pairs within ``left``, smaller id first.
 
+    ``join_on``: prefix of the columns to join on, k or c (see ``without_frequent``).
     ``also_equal``: per rule, sets of further columns of which one must be equal as a whole (see
     ``needed_agreement``); each set is a join of its own on the longer key.
     """
     same = right is None
-    rule_keys = [f"k{rule}" for rule in range(n_rules)]
+    rule_keys = [f"{join_on}{rule}" for rule in range(n_rules)]
     largest = largest_groups(left, rule_keys)
     if not same:
         largest = list(map(max, largest, largest_groups(right, rule_keys)))
@@ -49,7 +50,7 @@ def candidate_pairs(
         tiles = tile_rows if largest[rule] > tile_rows else None
         sets = [[]] if also_equal is None else also_equal[rule]
         for at, columns in enumerate(sets):
-            keys = [f"k{rule}", *columns]
+            keys = [f"{join_on}{rule}", *columns]
             pairs = join_pairs(
                 _side(left, "l", keys), _side(left if same else right, "r", keys),
                 [f"_key{n}" for n in range(len(keys))], "id_l", "id_r", same, tiles,

@@ -15,6 +15,7 @@ from kindred.config import LinkConfig
 from kindred.errors import CleaningError
 from kindred.functions.compare import top_level
 from kindred.linkage.candidates import candidate_pairs, copy_pairs, with_levels
+from kindred.linkage.hot import frequent_patterns, frequent_values, without_frequent
 from kindred.linkage.model import LinkModel
 from kindred.plans.ids import number_rows
 from kindred.plans.pairs import TILE_ROWS
@@ -120,9 +121,10 @@ def random_patterns(
     return _count_patterns(levels, config)
 
 
-def _count_patterns(levels: DataFrame, config: LinkConfig) -> DataFrame:
+def _count_patterns(levels: DataFrame, config: LinkConfig, one_table: bool = True) -> DataFrame:
     gammas = [f"gamma_{i}" for i in range(len(config.comparisons))]
-    same = F.col("id_l") == F.col("id_r")
+    # ids of two tables say nothing about each other
+    same = F.lit(one_table) & (F.col("id_l") == F.col("id_r"))
     n = F.when(same & (F.col("copies_l") > 1), _pair_count(F.col("copies_l"))).otherwise(
         _pair_count(F.col("copies_l"), F.col("copies_r"))
     )
@@ -133,11 +135,26 @@ def blocked_patterns(
     left: DataFrame, right: DataFrame | None, config: LinkConfig, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """Agreement patterns of all candidate pairs. Pairs are compared and counted where the join
-    makes them; what is shuffled is at most one row per pattern and task."""
-    pairs = candidate_pairs(left, right, len(config.blocking_columns), tile_rows)
+    makes them; what is shuffled is at most one row per pattern and task. Values that very many
+    records share make no pairs (see ``linkage.hot``)."""
+    frequent = frequent_values(left, right, config)
+    hot = not frequent.isEmpty()
+    n_rules = len(config.blocking_columns)
+    if hot:
+        cold_left = without_frequent(left, frequent, n_rules)
+        cold_right = None if right is None else without_frequent(right, frequent, n_rules)
+        pairs = candidate_pairs(cold_left, cold_right, n_rules, tile_rows, join_on="c")
+        pairs = pairs.drop(*[f"c{j}_{s}" for j in range(n_rules) for s in "lr"])
+    else:
+        pairs = candidate_pairs(left, right, n_rules, tile_rows)
     if right is None:
         pairs = pairs.unionByName(copy_pairs(left))
-    return _count_patterns(with_levels(pairs, config), config)
+    counts = _count_patterns(with_levels(pairs, config), config, right is None)
+    if not hot:
+        return counts
+    gammas = [f"gamma_{i}" for i in range(len(config.comparisons))]
+    both = counts.unionByName(frequent_patterns(left, right, frequent, config, tile_rows))
+    return both.groupBy("agree", *gammas).agg(F.sum("pairs").alias("pairs"))
 
 
 class Patterns:
