@@ -127,20 +127,24 @@ def fuzzy_audit(source: str, threshold: int, block_size: int) -> str:
     return f"WITH RECURSIVE {fuzzy_ctes(source, threshold, block_size)} {FUZZY_AUDIT}"
 
 
-def levenshtein_ctes(source: str, threshold: int, block_size: int) -> str:
-    """The same with 100 * (1 - edits / length of the longer key) as the score.
+JARO_WINKLER = "100.0::DOUBLE * jaro_winkler_similarity(a.text, b.text) >= {threshold}"
+
+
+def levenshtein_ctes(source: str, threshold: int, block_size: int, test: str | None = None) -> str:
+    """The same with 100 * (1 - edits / length of the longer key) as the score, or another ``test`` of a.text and b.text.
 
     levenshtein() counts bytes here, so the accented letters of the texts are first replaced by
     digits, which the texts don't hold.
     """
+    edits = f"""100 * abs(length(a.text) - length(b.text)) <= {100 - threshold} * greatest(length(a.text), length(b.text))
+             AND 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(translate(a.text, 'ßäçèéêíñóöü', '0123456789#'), translate(b.text, 'ßäçèéêíñóöü', '0123456789#')))
+                 / greatest(length(a.text), length(b.text)) >= {threshold}"""
     return f"""
   src AS ({source}),
   tok AS (SELECT id, lower(key) AS key, substring(lower(key), 1, {block_size}) AS block FROM src),
   node AS (SELECT block, key AS text, min(id) AS id FROM tok GROUP BY block, key),
   edge AS (SELECT a.id AS ia, b.id AS ib FROM node a JOIN node b ON a.block = b.block AND a.id < b.id
-           WHERE 100 * abs(length(a.text) - length(b.text)) <= {100 - threshold} * greatest(length(a.text), length(b.text))
-             AND 100.0::DOUBLE * (greatest(length(a.text), length(b.text)) - levenshtein(translate(a.text, 'ßäçèéêíñóöü', '0123456789#'), translate(b.text, 'ßäçèéêíñóöü', '0123456789#')))
-                 / greatest(length(a.text), length(b.text)) >= {threshold}),
+           WHERE {test.format(threshold=threshold) if test else edits}),
   near AS (SELECT node.id AS idx, row_number() OVER (ORDER BY node.id) AS rn,
              coalesce(list(ia ORDER BY ia) FILTER (ia IS NOT NULL), []) AS ns
            FROM node LEFT JOIN edge ON node.id = edge.ib GROUP BY node.id),
@@ -499,6 +503,7 @@ ORACLES = {
     "dedup_fuzzy_levenshtein_conversations": f"""
       WITH RECURSIVE {levenshtein_ctes(TURN_KEYS, 35, 13)}
       SELECT * REPLACE (md5(key) AS key) FROM ({FUZZY_AUDIT})""",
+    "dedup_fuzzy_batch_part": f"WITH RECURSIVE {levenshtein_ctes(PART_KEYS, 93, 1, JARO_WINKLER)} {FUZZY_AUDIT}",
     "clean_exact_then_fuzzy_part": f"""
       WITH RECURSIVE
       keyed AS (SELECT p_partkey AS id, concat(lower(trim(p_name)), ' | ', p_type) AS key FROM part),
@@ -554,7 +559,7 @@ GROUP BY ALL
     "u_shares_suppliers": f"""
       WITH {SUPPLIERS_TRAINED} SELECT comparison, level, round_even(u, 8) AS u FROM trained""",
     # 5,000 pairs at most: 100 rows make 4,950
-    "u_shares_sampled_customers": sampled_shares(PARTY_A, PARTY_KINDS, 100),
+    "u_shares_sampled_customers": sampled_shares(PARTY_A, PARTY_KINDS, 1414),
     "trained_weights_suppliers": f"""
       WITH {SUPPLIERS_TRAINED}
       SELECT comparison, level,

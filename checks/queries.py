@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.config import LinkConfig
-from kindred.functions.distance import indel_ratio
+from kindred.functions.distance import indel_ratio, jaro_winklers
 from kindred.functions.text import combined_key, sorted_tokens
 from kindred.linkage.candidates import candidate_pairs, with_levels
 from kindred.linkage.model import LinkModel, explain_pairs, match_weights
@@ -21,7 +22,7 @@ from kindred.operators.audit import audit_members, summary, union_audits
 from kindred.operators.clean import clean_table
 from kindred.operators.cluster import connected_components
 from kindred.operators.exact import dedup_exact
-from kindred.operators.fuzzy import block_pairs, dedup_fuzzy, match_keys
+from kindred.operators.fuzzy import batch_scorer, block_pairs, dedup_fuzzy, match_keys
 from kindred.operators.normalize import normalize
 from kindred.operators.profile import common_columns, preview, profile_columns, profile_summary
 from kindred.plans.cut import shared_folder
@@ -214,6 +215,25 @@ def dedup_fuzzy_levenshtein_conversations(spark, folder):
     return out.audit.withColumn("key", F.md5("key"))
 
 
+def dedup_fuzzy_batch_part(spark, folder):
+    """A scorer over Arrow batches."""
+    scorer = batch_scorer(lambda a, b: pa.array(100.0 * jaro_winklers(a, b)), equal_texts_match=True)
+    part = table(spark, folder, "part")
+    return dedup_fuzzy(part, ["p_name", "p_type"], 93, scorer=scorer, id_col="p_partkey").audit
+
+
+def dedup_fuzzy_documents(spark, folder):
+    """Whole texts with the product's settings."""
+    out = dedup_fuzzy(table(spark, folder, "documents"), ["text"], id_col="doc_id")
+    return out.audit.withColumn("key", F.md5("key"))
+
+
+def dedup_fuzzy_conversations(spark, folder):
+    """Whole turns with the product's settings; the table has no key of its own."""
+    out = dedup_fuzzy(table(spark, folder, "conversations"), ["text"], order_by=["conv_id", "turn"])
+    return out.audit.withColumn("key", F.md5("key"))
+
+
 def clean_exact_then_fuzzy_part(spark, folder):
     config = {
         "keys": ["p_name", "p_type"], "normalize": {"p_name": ["trim", "lowercase"]},
@@ -375,7 +395,7 @@ def u_shares_suppliers(spark, folder):
 def u_shares_sampled_customers(spark, folder):
     """More customers than the bound on random pairs allows: a sample chosen by hash stands in for
     the levels below equality; the share of equality stays exact over all pairs."""
-    config = LinkConfig(SUPPLIER_KINDS, random_pairs=5_000)
+    config = LinkConfig(SUPPLIER_KINDS)
     a, _ = parties(spark, folder)
     rows = record_rows(with_row_id(a, id_col="id"), config)
     patterns = Patterns(random_patterns(rows, rows.count(), None, None, config).collect(), 3)
@@ -559,7 +579,8 @@ QUERIES = {
         block_pairs_part, block_forecast_part, block_forecast_documents, token_sort_ratio_part,
         dedup_fuzzy_part, dedup_fuzzy_audit_part, dedup_fuzzy_audit_urls,
         dedup_fuzzy_customer_names, dedup_fuzzy_levenshtein_part,
-        dedup_fuzzy_levenshtein_conversations, clean_exact_then_fuzzy_part, audit_union,
+        dedup_fuzzy_levenshtein_conversations, dedup_fuzzy_batch_part, dedup_fuzzy_documents, dedup_fuzzy_conversations,
+        clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
         compare_date_orders, candidate_pairs_documents, link_candidates_parties,
         prior_documents, prior_parties, agreement_patterns_documents, u_shares_suppliers, u_shares_sampled_customers,

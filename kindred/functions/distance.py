@@ -1,7 +1,8 @@
 """String similarities Spark has no built-in for, computed on Arrow batches with numpy.
 
 The kernels work on whole batches of pairs, one numpy step per character position. Only the LCS of
-texts over 64 characters goes pair by pair, with Python's integers as bit vectors of any width.
+texts over 64 characters goes pair by pair, with Python's integers as bit vectors of any width; if
+a least length is asked for, it stops as soon as that is out of reach.
 """
 
 from __future__ import annotations
@@ -37,17 +38,76 @@ def _codes(strings: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.arange(width) < lengths[:, None], codes, np.uint32(pad)), lengths
 
 
-def _lcs_long(a: str, b: str) -> int:
-    """Bit-parallel LCS (Hyyro 2004) on Python integers, for patterns over 64 characters."""
-    full = (1 << len(a)) - 1
+_STEP = 64  # characters between two looks at what is still within reach
+
+
+def _places(pattern: str) -> dict[str, int]:
+    """Per character, the bits of its positions."""
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(pattern):
         where[ch] = where.get(ch, 0) | (1 << i)
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return where
+
+
+def _lcs_long(pattern: str, text: str, where: dict[str, int] | None = None, least: int = 0) -> int:
+    """Bit-parallel LCS (Hyyro 2004) on Python integers, for patterns over 64 characters. Less than
+    ``least``, but not the true length, if that cannot be reached."""
+    where = _places(pattern) if where is None else where
+    size, left = len(pattern), len(text)
+    full = row = (1 << size) - 1
+    find = where.get
+    for start in range(0, left, _STEP):
+        for ch in text[start : start + _STEP]:
+            here = find(ch)
+            if here:
+                hit = row & here
+                row = (row + hit) | (row - hit)
+        row &= full  # carries past the end mean nothing
+        matched = size - row.bit_count()
+        if matched + left - start - _STEP < least:
+            return matched
+    return size - row.bit_count()
+
+
+def _common_ends(a: str, b: str) -> tuple[int, int]:
+    """Length of the common front, and of the common back of what is left."""
+    n, low, high = min(len(a), len(b)), 0, min(len(a), len(b))
+    while low < high:  # equal fronts are compared as a whole
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    front, low, high = low, 0, n - low
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
+    return front, low
+
+
+def indel_reaches(texts: list[str], other: str, threshold: float) -> np.ndarray:
+    """Which texts have an Indel ratio of at least ``threshold`` with ``other``; scores that are out of
+    reach are not worked out."""
+    out = np.zeros(len(texts), bool)
+    where = None
+    near = []
+    for i, text in enumerate(texts):
+        total = len(text) + len(other)
+        if min(len(text), len(other)) <= 64:
+            near.append(i)
+            continue
+        # the score's own rounding decides at the limit, so the least length is taken one lower
+        least = int(threshold * total / 200.0) - 1
+        if min(len(text), len(other)) < least:
+            continue
+        front, back = _common_ends(text, other)
+        if front + back:
+            a, b = text[front : len(text) - back], other[front : len(other) - back]
+            common = front + back + (_lcs_long(a, b, None, least - front - back) if a and b else 0)
+        else:
+            where = _places(other) if where is None else where
+            common = _lcs_long(other, text, where, least)
+        out[i] = 200.0 * common / total >= threshold
+    if near:
+        out[near] = indel_ratios([texts[i] for i in near], [other] * len(near)) >= threshold
+    return out
 
 
 def _lcs_short(patterns: list[str], texts: list[str]) -> np.ndarray:

@@ -1,16 +1,17 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kindred.errors import ColumnNotFoundError, InvalidConfigError
-from kindred.functions.distance import indel_ratios, lcs_lengths
+from kindred.functions.distance import indel_ratios, indel_reaches, lcs_lengths
 from kindred.functions.signature import gram_size, signature
 from kindred.operators.fuzzy import (
-    SCORERS, assign_representatives, column_scorer, dedup_fuzzy, first_representatives, similar_pairs,
+    SCORERS, assign_representatives, batch_scorer, column_scorer, dedup_fuzzy, first_representatives, pairs_of_like_length, similar_pairs,
 )
 
 
@@ -247,3 +248,59 @@ def test_long_texts_through_the_signatures(spark, scorer):
     # three leaders a block: all other rows go through the signature join
     got = audit_of(spark, texts, threshold=85, scorer=scorer, leaders=3, rows_per_task=20)
     assert got == by_definition(texts, 85, 1, score) and len(got) >= 5
+
+
+def long_texts(n, seed):
+    """Texts of some hundred characters over few letters, in families of near copies."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        if i % 4 == 0:
+            base = [rng.choice("abcd ") for _ in range(rng.choice([70, 90, 200, 260, 400]))]
+        text = list(base)
+        for _ in range(rng.randrange(len(text) // 4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice("abcde ") * rng.randrange(2)
+        out.append("".join(text))
+    return out
+
+
+def test_ratios_that_stop_early_decide_alike():
+    texts = [*long_texts(60, 1), "", "a", "a" * 500, "ab" * 300]
+    for threshold in (1, 50, 70, 85, 97, 100):
+        for other in texts[::5]:
+            want = indel_ratios(texts, [other] * len(texts)) >= threshold
+            assert (indel_reaches(texts, other, threshold) == want).all()
+
+
+@pytest.mark.parametrize("threshold", [70, 85, 100])
+def test_texts_without_rare_grams_meet_by_length(spark, threshold):
+    texts = sorted({*long_texts(90, 2), "", "a", "b"})
+    nodes = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "block string, node long, text string").repartition(3)
+    want = sorted(
+        (i, j) for j in range(len(texts)) for i in np.flatnonzero(indel_ratios(texts[:j], [texts[j]] * j) >= threshold).tolist()
+    )
+    for tile_rows in (500, 5):
+        assert sorted(map(tuple, pairs_of_like_length(nodes, threshold, tile_rows).collect())) == want
+    # all of them have fewer different grams than they may lose
+    assert sorted(map(tuple, similar_pairs(nodes, threshold).collect())) == want
+
+
+def test_batch_scorer_is_the_loop_in_few_jobs(spark):
+    def same_start(a, b):
+        return pa.array([None if x == "" else 100.0 * x.startswith(y) for x, y in zip(a.to_pylist(), b.to_pylist())])
+
+    def one(candidate, representative):
+        return 100.0 * (candidate != "" and candidate.startswith(representative))
+
+    names = ["ab", "abc", "a", "abcd", "ad", "x", "xy", "", "xyz", *some_names(40, 9)]
+    assert audit_of(spark, names, scorer=batch_scorer(same_start), block_size=0) == by_definition(names, 85, 0, one)
+
+    def jobs(rows):
+        df = spark.range(rows).select("id", F.concat(F.lit("x"), F.col("id") % 1000).alias("name"))
+        spark.sparkContext.setJobGroup(f"rows {rows}", "")
+        scorer = batch_scorer(same_start, equal_texts_match=True)
+        dedup_fuzzy(df, ["name"], scorer=scorer, id_col="id", block_size=0).audit.collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rows {rows}"))
+
+    assert abs(jobs(150) - jobs(1500)) <= 6
