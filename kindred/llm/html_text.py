@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import col
 
-# elements whose content is no text at all
-_HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|head|select|textarea|button|audio|video"
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs2>[^<>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
+# elements whose content is no text at all; the first two end at their own end tag whatever stands between
+_RAW = frozenset("script style".split())
+_HIDDEN = _RAW | frozenset(
+    "noscript template svg math iframe object canvas select textarea button audio video title".split()
 )
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDING = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -69,92 +68,206 @@ class Block:
     heading: bool
 
 
+class Scanner:
+    """Text and tags of a page, in one pass from left to right.
+
+    Every position is looked at a bounded number of times: what does not occur any more further on (a
+    tag's end, a closing quote, an end tag) is remembered.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        # where lower() keeps every place, end tags are found in any case
+        low = page.lower()
+        self.low = low if len(low) == len(page) else page
+        self.quotes = True
+        self.last: dict[str, int] = {}
+
+    def _find(self, what: str, start: int) -> int:
+        last = self.last.get(what)
+        if last is None:
+            last = self.last[what] = self.low.rfind(what)
+        return self.low.find(what, start) if start <= last else -1
+
+    def _tag_end(self, start: int) -> int:
+        """Place of the > that ends the tag, quoted values left out; -1 if there is none."""
+        at = start
+        while self.quotes:
+            if self._find(">", at) < 0:
+                return -1
+            stop = _STOP.search(self.page, at)
+            mark = stop.group()
+            if mark == ">":
+                return stop.start()
+            at = self._find(mark, stop.end()) + 1
+            if not at:  # a quote that never ends: from here on quotes mean nothing
+                self.quotes = False
+        end, following = self._find(">", start), self._find("<", start)
+        return end if end >= 0 and not 0 <= following < end else -1
+
+    def _past(self, name: str, start: int) -> int:
+        """Place after the end tag of that name, -1 if there is none."""
+        at = start
+        while (at := self._find(f"</{name}", at)) >= 0:
+            after = at + len(name) + 2
+            if after >= len(self.page) or self.page[after] in " \t\r\n\f/>":
+                end = self._find(">", after)
+                return len(self.page) if end < 0 else end + 1
+            at = after
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text before, tag name or empty, whether it is an end tag, attributes); the last one has no tag."""
+        page, at, text = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                yield page[text:at], "", False, ""
+                end = self._find("-->", at + 4)
+                at = text = len(page) if end < 0 else end + 3
+                continue
+            closing = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + closing)
+            if not name:
+                end = self._find(">", at) if page[at + 1 : at + 2] in ("!", "?", "/") else -1
+                if end < 0:
+                    at += 1
+                else:
+                    yield page[text:at], "", False, ""
+                    at = text = end + 1
+                continue
+            end = self._tag_end(name.end())
+            if end < 0:
+                at += 1
+                continue
+            tag, attrs, before = name.group().lower(), page[name.end() : end], page[text:at]
+            at = text = end + 1
+            if tag in _HIDDEN and not closing:
+                yield before, "", False, ""
+                past = -1 if attrs.endswith("/") and tag not in _RAW else self._past(tag, at)
+                if past >= 0:
+                    at = text = past
+                elif tag in _RAW:
+                    at = text = len(page)
+                continue
+            yield before, tag, closing, attrs
+        yield page[text:], "", False, ""
+
+
+# what holds inside an open element: the element itself and all that surround it
+@dataclass(frozen=True, slots=True)
+class _Around:
+    tag: str
+    in_article: bool
+    in_chrome: bool
+    hint_chrome: bool
+    hint_article: bool
+    hidden: bool
+
+
+_NOTHING = _Around("", False, False, False, False, False)
+
+
+def _inside(around: _Around, tag: str, attrs: str) -> _Around:
+    """What holds inside a new element; what surrounds the innermost article says nothing about its inside."""
+    chrome_hint, article_hint, hidden = _hints(attrs)
+    article = tag in ARTICLE_TAGS or tag != "#" and 'role="main"' in attrs
+    chrome = tag in CHROME_TAGS or tag == "header" and not around.in_article
+    hint_article, hidden = around.hint_article or article_hint, around.hidden or hidden
+    if article:
+        return _Around(tag, True, False, False, hint_article, hidden)
+    return _Around(
+        tag, around.in_article, around.in_chrome or chrome, around.hint_chrome or chrome_hint, hint_article, hidden
+    )
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks of a page in order; character references decoded, white space made single."""
-    page = page or ""
     out: list[Block] = []
-    # open surroundings: (tag, article, chrome, hint of chrome, hint of article, hidden)
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []
+    stack: list[_Around] = [_NOTHING]
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link = False
-    heading = False
+    in_link = heading = in_head = False
 
     def flush() -> None:
         nonlocal parts, link_parts
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(s[5] for s in stack):
+            around = stack[-1]
+            if text and not around.hidden and not in_head:
                 linked = len(html.unescape(" ".join(link_parts)).split())
-                article = any(s[1] for s in stack)
-                # what surrounds the innermost article says nothing about what is inside it
-                inner = max((i for i, s in enumerate(stack) if s[1]), default=-1)
-                inside = stack[inner + 1 :]
                 out.append(Block(
-                    text, len(text.split()), linked, article, any(s[2] for s in inside),
-                    any(s[3] for s in inside), any(s[4] for s in stack), heading,
+                    text, len(text.split()), linked, around.in_article, around.in_chrome, around.hint_chrome, around.hint_article, heading
                 ))
         parts, link_parts = [], []
 
-    at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
+    def leave_paragraph() -> None:
+        while stack[-1].tag == "#":
+            stack.pop()
+
+    for before, name, closing, attrs in Scanner(page or ""):
+        if before:
+            parts.append(before)
             if in_link:
-                link_parts.append(piece)
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+                link_parts.append(before)
         if not name:
             continue
-        closing = m["close"] or m["close2"]
+        if name == "head":
+            flush()
+            in_head = not closing
+            continue
         if name == "a":
             in_link = not closing
         elif name == "br":
             parts.append(" ")
-        if name in BLOCK_TAGS:
-            flush()
-            in_link = False
-            heading = not closing and len(name) == 2 and name[0] == "h" and name[1] in "123456"
-        elif closing and len(name) == 2 and name[0] == "h":
-            heading = False
+        if name not in BLOCK_TAGS:
+            continue
+        flush()
+        in_link = False
+        if not closing and name != "html":
+            in_head = False  # its end tag may be left out
+        heading = not closing and len(name) == 2 and name[0] == "h" and name[1] in "123456"
         if name not in HOLDERS:
-            if not closing and name in BLOCK_TAGS and name not in VOID_TAGS:
+            if not closing and name not in VOID_TAGS:
                 # hints on a paragraph or list item hold until the next block tag
-                attrs = m["attrs"] or m["attrs2"] or ""
-                while stack and stack[-1][0] == "#":
-                    stack.pop()
+                leave_paragraph()
                 if attrs:
-                    stack.append(("#", False, False, *_hints(attrs)))
-            elif closing and name in BLOCK_TAGS and stack and stack[-1][0] == "#":
+                    stack.append(_inside(stack[-1], "#", attrs))
+            elif closing and stack[-1].tag == "#":
                 stack.pop()
             continue
-        while stack and stack[-1][0] == "#":
-            stack.pop()
+        leave_paragraph()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-            attrs = m["attrs"] or m["attrs2"] or ""
-            chrome = name in CHROME_TAGS or name == "header" and not any(s[1] for s in stack)
-            stack.append((name, name in ARTICLE_TAGS or 'role="main"' in attrs, chrome, *_hints(attrs)))
-    if at < len(page):
-        parts.append(page[at:])
+            if open_tags.get(name):
+                while (left := stack.pop().tag) != name:
+                    open_tags[left] -= left != "#"
+                open_tags[name] -= 1
+        elif not attrs.endswith("/"):
+            stack.append(_inside(stack[-1], name, attrs))
+            open_tags[name] = open_tags.get(name, 0) + 1
     flush()
     return out
 
 
 def _hints(attrs: str) -> tuple[bool, bool, bool]:
-    """Hint of chrome, hint of article, hidden."""
+    """Hint of chrome, hint of article, hidden.
+
+    In a name of several words the last one says what it is, so article-footer is a footer, but any word
+    may say that it belongs to the surroundings. Names that contradict each other say nothing.
+    """
     if not attrs:
         return False, False, False
-    words = {w for m in _NAMES.finditer(attrs) for w in _SPLIT.split(next(g for g in m.groups() if g is not None).lower())}
-    chrome, article = words & CHROME_WORDS, words & ARTICLE_WORDS
-    if article and chrome == {"header"}:  # the header of the article itself
-        chrome = set()
-    return bool(chrome), bool(article), bool(_HIDING.search(attrs))
+    chrome = article = False
+    for m in _NAMES.finditer(attrs):
+        for token in next(g for g in m.groups() if g is not None).lower().split():
+            words = [w for w in _SPLIT.split(token) if w]
+            if not words or words == ["header"]:  # the header may be that of the article
+                chrome = chrome or bool(words) and not article
+            elif words[-1] in ARTICLE_WORDS and not (set(words) - {"header"}) & CHROME_WORDS:
+                article = True
+            elif set(words) & CHROME_WORDS:
+                chrome = True
+    return chrome and not article, article, bool(_HIDING.search(attrs))
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
@@ -265,6 +378,8 @@ def labelled_pages() -> list[str]:
         body = "".join(f"<p>+ {_fill(rng.choice(sizes), i + k)}</p>" for k in range(rng.randrange(1, 5)))
         if not plain:
             body += rng.choice((
+                # links side by side are no main text, one among prose is
+                "<ul><li><a href=/m>- {b}</a></li><li><a href=/n>- {b} again</a></li><li><a href=/o>- one more</a></li></ul><p>+ {c} end</p>",
                 "", "", "<ul><li>+ a <a href=/q>point</a> or two</li><li>+ three</li></ul>", "<p><a href=/z>+ a line that is a link</a></p>",
                 "<h2>+ a part</h2><p>+ its words</p>",
             ))
@@ -290,11 +405,15 @@ def train_tree(pages: list[str] | None = None) -> Tree:
 
 
 def main_text(page: str | None, tree: Tree) -> str:
-    """Main text blocks in page order, joined by a line break."""
+    """Main text blocks in page order, joined by a line break. If the tree finds none, all blocks that are
+    not marked as surroundings and are not mostly links."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    return "\n".join(b.text for b, ok in zip(blocks, tree.predict(describe(blocks))) if ok)
+    chosen = [b.text for b, ok in zip(blocks, tree.predict(describe(blocks))) if ok]
+    if not chosen:  # a page of short paragraphs in a layout that says nothing
+        chosen = [b.text for b in blocks if not (b.in_chrome or b.hint_chrome) and 3 * b.linked < b.words]
+    return "\n".join(chosen)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -302,7 +421,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A null or empty page, and one without main text, gives an empty text. Ids and urls are passed
     on as they are, nulls and repeats included. An empty table gives none. Other columns are not
-    read. Broken markup is read as far as it goes; an unclosed comment or script hides the rest.
+    read. Broken markup is read as far as it goes, in time proportional to the page; an unclosed comment,
+    script or style hides the rest, other elements that are never closed hide nothing.
     """
     tree = train_tree()
 

@@ -1,3 +1,5 @@
+import time
+
 from tests.llm.helpers import LONG
 
 from kindred.llm import html_text
@@ -50,6 +52,47 @@ def test_broken_markup_and_extremes():
     assert html_text.main_text("<article>" + "<p title='" * 20_000, TREE) is not None
 
 
+def test_markup_that_may_be_left_out_or_closes_itself():
+    def text(page):
+        return html_text.main_text(page, TREE)
+
+    assert text("<head><title>t</title><body><article><p>main text</p></article>") == "main text"
+    assert text("<head><title>t</title><article><p>main text</p></article>") == "main text"
+    assert text("<title>t</title><article><p>main text</p></article>") == "main text"
+    assert text("<article><p>a</p><svg class=i/><p>main text</p></article>") == "a\nmain text"
+    assert text("<article><p>a</p><svg class=i><p>main text</p></article>") == "a\nmain text"
+    assert text("<article><p>a <svg><title>x</title></svg>b</p></article>") == "a b"
+    assert text("<article><video-player></video-player><button-group><p>main</p></button-group></article>") == "main"
+    assert text("<article><p>a</p><SCRIPT>x = '</script >'; <p>b</p></article>") == "a\n'; \nb".replace("; \n", ";\n")
+    assert text("<article><p>a</p><style>x") == "a"
+    assert text("<article><p>a</p><svgx>b</svgx><svg>c</svgx></svg></article>") == "a\nb"
+
+
+def test_names_that_contradict_each_other_say_nothing():
+    prose = " ".join(f"word{i}" for i in range(70))
+    assert html_text.main_text(f'<article class="post related-x"><div class="story-body share-me"><p>{prose}</p></div></article>', TREE) == prose
+    assert html_text.main_text(f'<article><div class="text more"><p>{prose}</p></div></article>', TREE) == prose
+    assert html_text.main_text(f'<article><p>{prose}</p><div class="article-sidebar"><p>{prose}</p></div></article>', TREE) == prose
+    assert html_text.main_text("<div><p>Only a few words.</p><p>And more.</p></div><nav><p>menu</p></nav>", TREE) == "Only a few words.\nAnd more."
+
+
+def test_link_density_decides_inside_an_article():
+    def features(tree):
+        return set() if tree.left is None else {html_text.FEATURES[tree.feature]} | features(tree.left) | features(tree.right)
+
+    assert "links" in features(TREE) and features(TREE) & {"links_before", "links_after"}
+    page = "<article><p>Some words of prose here.</p><ul>{}</ul><p>And <a href=/>a link</a> within the prose.</p></article>"
+    items = "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(4))
+    assert html_text.main_text(page.format(items), TREE) == "Some words of prose here.\nAnd a link within the prose."
+
+
+def test_time_grows_with_the_page():
+    for bad in ("<a ", "<svg x='", "<p title='", "<p title=\"a' ", "<!", "<", "<div>", "<div></p></ul>", "<svg>", "</div><p class=", "<script", "<div class='a'>b"):
+        start = time.perf_counter()
+        html_text.blocks_of("<article><p>x</p>" + bad * (1_000_000 // len(bad)) + "<p>y")
+        assert time.perf_counter() - start < 6, bad
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
