@@ -273,23 +273,29 @@ def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, s
     return {name: weight / top for name, weight in weights.items()}
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, y, text: at most ``sample_rows`` texts of each label, written. An id stands for one text however
+    many rows have it: the one with the smallest hash."""
+    known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    picked = [
+        known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (1, 0)
+    ]
+    sample = picked[0].unionByName(picked[1])  # at most 2 * sample_rows ids, small enough to broadcast
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    return written(texts.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("text")))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Learn the insult lexicon and the calibration from labelled texts.
 
     ``labels``: id, label 0/1 (null: row is left out; an id with several labels counts as toxic if
     one is). At most ``sample_rows`` rows of each label are used, chosen by a hash of the id, so
-    that the sample does not depend on how the tables are split. Without toxic rows the lexicon is
+    that the sample does not depend on how the tables are split, and one text of each id (see ``labelled_texts``). Without toxic rows the lexicon is
     empty and all scores are low. Of near copies within the sample one counts, or else any word of a
     text that was copied often would look like an insult.
     """
-    known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
-    picked = [
-        known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (1, 0)
-    ]
-    sample = picked[0].unionByName(picked[1])  # at most 2 * sample_rows ids, small enough to broadcast
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id")
+    rows = labelled_texts(docs, labels, sample_rows, id_col, text_col, label_col)
 
     def families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -300,8 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: s
     if not len(found):
         return Toxicity({})
     kept = one_per_family(found.sort_values(["y", "id"], ascending=[False, True]))
-    single = sample.sparkSession.createDataFrame([(i,) for i in kept], "id long")
-    rows = written(texts.join(F.broadcast(single), "id").join(F.broadcast(sample), "id"))
+    single = docs.sparkSession.createDataFrame([(i,) for i in kept], f"id {rows.schema['id'].dataType.simpleString()}")
+    rows = rows.join(F.broadcast(single), "id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())

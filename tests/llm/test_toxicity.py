@@ -79,6 +79,18 @@ def test_awkward_rows_and_empty_tables(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_an_id_on_very_many_texts_counts_once(spark):
+    docs, labels = made()
+    flooded = documents(spark, docs).unionByName(documents(spark, [(docs[0][0], f"flood {i} of rows") for i in range(5_000)]))
+    table = spark.createDataFrame([*labels, (labels[0][0], 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_texts(flooded, table, 20, "doc_id", "text", "toxic")
+    assert rows.count() <= 40 and rows.select("id").distinct().count() == rows.count()
+    whole = toxicity.labelled_texts(flooded, table, 10_000, "doc_id", "text", "toxic")
+    assert whole.where(f"id = {docs[0][0]}").count() == 1 and whole.count() == len(docs)
+    strings = toxicity.score_toxicity(flooded.limit(50).selectExpr("cast(doc_id as string) doc_id", "text"), table.selectExpr("cast(doc_id as string) doc_id", "toxic"))
+    assert strings.count() == 50
+
+
 def test_copies_of_a_toxic_text_teach_no_words():
     text = " ".join(f"w{i}" for i in range(60))
     import pandas as pd
