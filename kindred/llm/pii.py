@@ -37,7 +37,8 @@ _ANY_DIGIT = re.compile(r"[0-9]")
 _TOKEN_END = re.compile(r"[^A-Za-z0-9_/+-]|\Z")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+-")
 _KEY_SHAPES = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|[sp]k[-_][0-9A-Za-z_-]{16,}|xox[bp]-[0-9A-Za-z-]{10,}")
-_AT = re.compile(r"[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+", re.I)
+_AT_DOMAIN = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)+", re.I)
+_AT_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 
 # gazetteers and cues
 TLDS = frozenset("com org net edu gov io co uk de fr es it nl eu info biz ch at us ca".split())
@@ -92,6 +93,26 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def spelt_out(text: str) -> list[tuple[int, int]]:
+    """Addresses with (at) or [at] for the sign, leftmost and non-overlapping.
+
+    Looks from each sign to the left, as ``emails`` does."""
+    found, done = [], 0
+    for sign in _AT_SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        end = sign.start() - (sign.start() > done and text[sign.start() - 1] == " ")
+        start = end
+        while start > done and text[start - 1] in _AT_LOCAL:
+            start -= 1
+        if start < end and (m := _AT_DOMAIN.match(text, sign.end())):
+            found.append((start, m.end()))
+            done = m.end()
+        else:
+            done = sign.end()
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four base kinds, by kind as listed, then place."""
     out = [("email", a, b) for a, b in emails(text)]
@@ -122,8 +143,7 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             taken.append((a, b))
     sure = [("secret", m.start(), m.end()) for m in _KEYS.finditer(text)]
     sure += [("number", m.start(), m.end()) for p in (_IBAN, _BRACKETED) for m in p.finditer(text)]
-    if _AT_SIGN.search(text):
-        sure += [("contact", m.start(), m.end()) for m in _AT.finditer(text)]
+    sure += [("contact", a, b) for a, b in spelt_out(text)]
     cued = [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".:!?"))) for m in _CUED.finditer(text)]
     cued = [c for c in cued if c[2] - c[1] >= 4]
     found: list[tuple[str, int, int]] = []

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 from tests.llm.helpers import AWKWARD, documents
@@ -59,8 +60,19 @@ def test_every_labelers_pattern_proposes():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 500_000, "a@" * 200_000, "1" * 500_000, "+1" + " " * 300_000, "1." * 200_000, "a.b@" * 100_000):
+    for text in ("a" * 500_000, "a@" * 200_000, "1" * 500_000, "+1" + " " * 300_000, "1." * 200_000, "a.b@" * 100_000,
+                 "a" * 300_000 + " (at) ", "a (at) " * 60_000, "(at)" + "b" * 300_000, "a(at)b." * 60_000, "x (at) " + "b (dot) " * 50_000):
+        start = time.perf_counter()
         pii.proposals(text, pii.base_spans(text))
+        assert time.perf_counter() - start < 5
+
+
+def test_spelt_out_addresses_are_those_of_the_plain_pattern():
+    plain = re.compile(r"[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+", re.I)
+    rng = random.Random(12)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["a", "b-", "x.y", " ", "  ", "(at)", "[AT]", "(dot)", ".", "[dot] ", "é", ","]) for _ in range(rng.randrange(14)))
+        assert pii.spelt_out(text) == [m.span() for m in plain.finditer(text)], text
 
 
 def test_method_adds_spans_and_keeps_the_base(spark):
