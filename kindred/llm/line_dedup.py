@@ -43,8 +43,8 @@ def _lines(source: DataFrame, min_chars: int) -> DataFrame:
     """doc, part, line, text of every line that takes part."""
     return (
         source.select("doc", "part", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        .where(F.length("raw") >= min_chars)
         .select("doc", "part", "line", F.btrim("raw", F.lit(_BLANKS)).alias("text"))
+        .where(F.length("text") >= min_chars)
     )
 
 
@@ -73,7 +73,7 @@ def _with_halves(lines: DataFrame, near_words: int) -> DataFrame:
     )
 
 
-def line_decisions(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
+def line_decisions(docs: DataFrame, min_chars: int = 1, near_words: int = 10,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that go: doc, part (_part of the row's text), line (number from 0), near (whether only
     a near copy is earlier)."""
@@ -173,12 +173,13 @@ def one_word_apart(a: Column, b: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
+def dedup_lines(docs: DataFrame, min_chars: int = 1, near_words: int = 10,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with the lines that go taken out of the text, plus _lines (lines of
     the text) and _dropped (how many of them went).
 
-    Lines under ``min_chars`` characters never go. Blanks around a line don't count.
+    Lines under ``min_chars`` characters, blanks around them not counted, never go: by default only those
+    without any. Shorter lines than ``near_words`` words go for equal ones only.
     Null and empty texts stay as they are; every row stays, even if no line is left. A row
     is known by its doc_id and a hash of its text: lines of rows that are equal in both are the same
     occurrence, so repeated rows stay equal; rows that share a doc_id, or have none, but differ in
@@ -186,14 +187,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, near_words: int = 10,
     An empty table gives an empty table.
     """
     gone = line_decisions(docs, min_chars, near_words, id_col, text_col)
-    gone = gone.groupBy("doc", "part").agg(F.collect_set("line").alias("gone"))
+    # one bit per line, 64 to a number, so that a look at a line costs the same in a text of any length
+    shift = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)
+    gone = gone.groupBy("doc", "part", F.floor(F.col("line") / 64).cast("int").alias("at")).agg(F.bit_or(shift).alias("bits"))
+    gone = gone.groupBy("doc", "part").agg(
+        F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("some"), F.max("at").alias("last"),
+        F.sum(F.bit_count("bits")).alias("n_gone"),
+    )
+    every = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(
+        F.get(F.filter("some", lambda s: s["at"] == i), F.lit(0))["bits"], F.lit(0).cast("long")
+    ))
+    gone = gone.select("doc", "part", every.alias("gone"), "n_gone")
     same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("own_part") == F.col("part"))
     joined = boxed(docs, id=col(id_col), own_part=_part(col(text_col)), text=col(text_col)).join(gone, same, "left")
     lines = F.split("text", "\n", -1)
     has = F.col("gone").isNotNull() & F.col("text").isNotNull()
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    kept = F.filter(lines, lambda x, i: F.coalesce(
+        F.call_function("getbit", F.get("gone", F.floor(i / 64).cast("int")), i % 64) == 0, F.lit(True)
+    ))
     total = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
-    dropped = F.when(has, F.size("gone")).otherwise(F.lit(0)).cast("long")
+    dropped = F.when(has, F.col("n_gone")).otherwise(F.lit(0)).cast("long")
     text = F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text"))
     columns = [c for c in docs.columns if c not in ("_lines", "_dropped")]
     return unboxed(joined, [*columns, "_lines", "_dropped"], **{text_col: text, "_lines": total, "_dropped": dropped})

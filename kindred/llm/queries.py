@@ -121,7 +121,7 @@ WITH l AS (
   SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS raw
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, line, string_split(trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), ' ') AS words
-      FROM l WHERE length(raw) >= 20),
+      FROM l WHERE trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 first AS (SELECT words, len(words) AS n, min((doc_id, line)) AS pos FROM w GROUP BY words),
 v AS (SELECT words, n, pos, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest
       FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM first WHERE n >= 10)),

@@ -58,7 +58,7 @@ def without_repeated_lines(docs):
         for line in (text or "").split("\n"):
             words = line.strip(" \t\r\x0b\x0c").split(" ")
             n = len(words)
-            if len(line) >= 20:
+            if words != [""]:
                 earlier = [w for m in (n - 1, n, n + 1) for w in seen[m]]
                 gone = any(w == words or min(len(w), n) >= 10 and one_edit(w, words) for w in earlier)
                 seen[n].append(words)
