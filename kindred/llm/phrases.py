@@ -322,7 +322,7 @@ def _words_of_pair(rows: np.ndarray) -> np.ndarray:
     return np.stack([rows[:, 0] >> 32, rows[:, 0] & 0xFFFFFFFF], axis=1)
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, block_words: int = 2_000_000, trie_phrases: int = 1_000_000,
+def phrase_counts(docs: DataFrame, least: int = 10, block_words: int = 1_000_000, trie_phrases: int = 1_000_000,
                   lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Four written tables: words (id, lang, word, f), pairs (pair, f) and triples (pair, third, f) that
     occur at least ``least`` times, and totals (lang, n: all words of a language).
@@ -402,7 +402,7 @@ def _score(a: str, left: Column, right: Column) -> Column:
     return F.call_function("div", parts["over"], parts["under"]).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside_percent: int = 50, block_words: int = 2_000_000,
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside_percent: int = 50, block_words: int = 1_000_000,
                  trie_phrases: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The ``top`` phrases of two and three words of every language: lang, rank, phrase, a, l, r, n, score.
 

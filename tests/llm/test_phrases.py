@@ -81,7 +81,7 @@ def test_against_brute_force_in_one_round_and_in_many(spark):
     docs = spark.createDataFrame([(t, g, "x", "y") for g, t in rows], "text string, lang string, word string, pair string").repartition(5)
     want = brute(rows, 10, 25)
     assert len(want) > 60 and len({r[0] for r in want}) == 4
-    for block_words, trie_phrases in ((2_000_000, 1_000_000), (300, 7)):
+    for block_words, trie_phrases in ((1_000_000, 1_000_000), (300, 7)):
         got = phrases.collocations(docs, top=25, block_words=block_words, trie_phrases=trie_phrases)
         assert sorted(map(tuple, got.collect())) == want
 
