@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_every_operator_is_registered():
     names = set(driver.queries())
     assert {"pipeline", *QUERIES} <= names and set(ORACLES) <= set(QUERIES)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
