@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from checks.queries import dedup_fuzzy_conversations, dedup_fuzzy_documents
 from conftest import rows_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -304,3 +306,16 @@ def test_batch_scorer_is_the_loop_in_few_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rows {rows}"))
 
     assert abs(jobs(150) - jobs(1500)) <= 6
+
+
+def test_queries_on_whole_texts_are_the_loop(spark, tmp_path):
+    """These two have no SQL: the recursion is too slow on whole texts."""
+    texts = [*long_texts(60, 3), *some_names(20, 4)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(i // 7, i % 7, t) for i, t in rows]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = [(n, m, hashlib.md5(k.encode()).hexdigest(), *rest) for n, m, k, *rest in by_definition(texts, 85, 1)]
+    assert len(want) > 10
+    for query in (dedup_fuzzy_documents, dedup_fuzzy_conversations):
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
