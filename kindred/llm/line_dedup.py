@@ -42,9 +42,9 @@ def _part(text: Column) -> Column:
 def _lines(source: DataFrame, min_chars: int) -> DataFrame:
     """doc, part, line, text of every line that takes part."""
     return (
-        source.select("doc", "part", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        .select("doc", "part", "line", F.btrim("raw", F.lit(_BLANKS)).alias("text"))
-        .where(F.length("text") >= min_chars)
+        source.select("doc", "part", F.posexplode(
+            F.transform(F.split("text", "\n", -1), lambda raw: F.btrim(raw, F.lit(_BLANKS)))
+        ).alias("line", "text")).where(F.length("text") >= min_chars)
     )
 
 
