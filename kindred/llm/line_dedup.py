@@ -189,9 +189,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_words: int = 10,
     gone = line_decisions(docs, min_chars, near_words, id_col, text_col)
     # one bit per line, 64 to a number, so that a look at a line costs the same in a text of any length
     shift = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)
-    gone = gone.groupBy("doc", "part", F.floor(F.col("line") / 64).cast("int").alias("at")).agg(F.bit_or(shift).alias("bits"))
+    gone = gone.groupBy("doc", "part", F.shiftright("line", 6).alias("at")).agg(F.bit_or(shift).alias("bits"))
     gone = gone.groupBy("doc", "part").agg(
-        F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("some"), F.max("at").alias("last"),
+        F.collect_list(F.struct("at", "bits")).alias("some"), F.max("at").alias("last"),
         F.sum(F.bit_count("bits")).alias("n_gone"),
     )
     every = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(
@@ -202,9 +202,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1, near_words: int = 10,
     joined = boxed(docs, id=col(id_col), own_part=_part(col(text_col)), text=col(text_col)).join(gone, same, "left")
     lines = F.split("text", "\n", -1)
     has = F.col("gone").isNotNull() & F.col("text").isNotNull()
-    kept = F.filter(lines, lambda x, i: F.coalesce(
-        F.call_function("getbit", F.get("gone", F.floor(i / 64).cast("int")), i % 64) == 0, F.lit(True)
-    ))
+    kept = F.filter(lines, lambda x, i: F.call_function(
+        "getbit", F.coalesce(F.get("gone", F.shiftright(i, 6)), F.lit(0).cast("long")), i.bitwiseAND(F.lit(63))
+    ) == 0)
     total = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     dropped = F.when(has, F.col("n_gone")).otherwise(F.lit(0)).cast("long")
     text = F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text"))
