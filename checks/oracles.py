@@ -528,6 +528,28 @@ ORACLES = {
       FROM o l JOIN o r ON l.o_custkey = r.o_custkey AND l.id < r.id""",
     "candidate_pairs_documents":
         f"WITH {DOCUMENT_PAIRS} SELECT id_l, id_r, copies_l, copies_r, match_key FROM cand",
+    "rule_forecast_documents": """
+      WITH t AS (SELECT DISTINCT md5(text) AS text, source, lang, n_chars FROM documents),
+      i AS (SELECT *, row_number() OVER (ORDER BY text, source, lang, n_chars) AS id FROM t),
+      p AS (SELECT coalesce(l.source = r.source, false) AS s, coalesce(l.lang = r.lang, false) AS g,
+                   coalesce(l.n_chars = r.n_chars, false) AS n FROM i l JOIN i r ON l.id < r.id)
+      SELECT 0 AS match_key, count(*) FILTER (s) AS equal_pairs, count(*) FILTER (s) AS n_pairs FROM p
+      UNION ALL SELECT 1, count(*) FILTER (g), count(*) FILTER (g AND NOT s) FROM p
+      UNION ALL SELECT 2, count(*) FILTER (n), count(*) FILTER (n AND NOT s AND NOT g) FROM p""",
+    "rule_forecast_parties": f"""
+      WITH a AS ({PARTY_A}), b AS ({PARTY_B}),
+      p AS (SELECT coalesce(l.nation = r.nation, false) AS n, coalesce(l.balance = r.balance, false) AS m
+            FROM a l CROSS JOIN b r)
+      SELECT 0 AS match_key, count(*) FILTER (n) AS equal_pairs, count(*) FILTER (n) AS n_pairs FROM p
+      UNION ALL SELECT 1, count(*) FILTER (m), count(*) FILTER (m AND NOT n) FROM p""",
+    "link_factors_events": """
+      WITH g AS (SELECT event_type, user_id, floor(value / 50) AS step, min(event_id) AS id, count(*) AS n FROM events
+                 WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL)
+      SELECT a.id AS record_a, b.id AS record_b, a.n AS copies_a, b.n AS copies_b, a.n * b.n AS n_links
+      FROM g a JOIN g b USING (user_id, step) WHERE a.event_type = 'click' AND b.event_type = 'purchase'""",
+    "numbered_lineitem": """
+      SELECT count(*) AS n_rows, count(*) AS n_same, 0::BIGINT AS least, count(*) - 1 AS greatest, count(*) AS n_ids
+      FROM lineitem""",
     "link_candidates_parties": f"""
       WITH a AS ({PARTY_A}), b AS ({PARTY_B})
       SELECT l.id AS id_l, r.id AS id_r, CASE WHEN l.nation = r.nation THEN 0 ELSE 1 END AS match_key

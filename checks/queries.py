@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kindred.config import LinkConfig
 from kindred.functions.distance import indel_ratio, jaro_winklers
 from kindred.functions.text import combined_key, sorted_tokens
-from kindred.linkage.candidates import candidate_pairs, with_levels
+from kindred.linkage.candidates import candidate_pairs, rule_forecast, with_levels
 from kindred.linkage.model import LinkModel, explain_pairs, match_weights
 from kindred.linkage.records import merge_copies, record_rows
 from kindred.linkage.runs import dedupe_records, link_records, score
@@ -28,7 +28,7 @@ from kindred.operators.profile import common_columns, preview, profile_columns,
 from kindred.plans.cut import shared_folder
 from kindred.plans.ids import with_row_id
 from kindred.plans.pairs import pair_forecast
-from kindred.sources.tables import read_table, write_result, write_table
+from kindred.sources.tables import read_numbered, read_table, write_result, write_table
 
 # Fixed models, so that scoring can be checked apart from training.
 DOCUMENT_CONFIG = LinkConfig(
@@ -344,6 +344,37 @@ def link_candidates_parties(spark, folder):
     return candidate_pairs(a, b, 2).select("id_l", "id_r", "match_key")
 
 
+def rule_forecast_documents(spark, folder):
+    """How many pairs of documents agree on source, language or length, counted without a pair."""
+    config = LinkConfig({"text": "exact"}, blocking=("source", "lang", "n_chars"))
+    documents = with_row_id(table(spark, folder, "documents"), id_col="doc_id")
+    out = rule_forecast(merge_copies(record_rows(documents, config)), None, 3)
+    return out.select("match_key", *(F.col(c).cast("bigint").alias(c) for c in ("equal_pairs", "n_pairs")))
+
+
+def rule_forecast_parties(spark, folder):
+    a, b = (
+        merge_copies(record_rows(with_row_id(t, id_col="id"), PARTY_CONFIG))
+        for t in parties(spark, folder)
+    )
+    out = rule_forecast(a, b, 2)
+    return out.select("match_key", *(F.col(c).cast("bigint").alias(c) for c in ("equal_pairs", "n_pairs")))
+
+
+def link_factors_events(spark, folder):
+    """Links between records of two kinds of events, not written out to pairs of rows. By the model
+    user and step must both be equal."""
+    events = table(spark, folder, "events").withColumn("step", F.floor(F.col("value") / 50))
+    config = LinkConfig({"user_id": "exact", "step": "exact"}, threshold=0.5)
+    model = LinkModel(0.01, config.comparisons, {"user_id": [0.1, 0.9], "step": [0.2, 0.8]},
+                      {"user_id": [0.99, 0.01], "step": [0.97, 0.03]})
+    a, b = (events.where(F.col("event_type") == kind).select("event_id", "user_id", "step") for kind in ("click", "purchase"))
+    out = link_records(a, b, config, "event_id", "event_id", model=model)
+    return out.record_links.select(
+        "record_a", "record_b", "copies_a", "copies_b", F.col("n_links").cast("bigint").alias("n_links")
+    )
+
+
 # --- training ----------------------------------------------------------------------------------
 
 def prior_documents(spark, folder):
@@ -552,6 +583,20 @@ def parquet_round_trip_events(spark, folder):
     return read_table(spark, path)
 
 
+def numbered_lineitem(spark, folder):
+    """Ids from positions in the files: all of them, without a gap, and the same when read again."""
+    path = f"{folder}/lineitem.parquet"
+    rows, again = read_numbered(spark, path), read_numbered(spark, path)
+    line = F.struct("l_orderkey", "l_linenumber")
+    both = rows.select("_row_id", line.alias("line")).join(
+        again.select("_row_id", line.alias("line_again")), "_row_id", "full_outer")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("line") == F.col("line_again")).alias("n_same"),
+        F.min("_row_id").alias("least"), F.max("_row_id").alias("greatest"),
+        F.count_distinct("_row_id").alias("n_ids"),
+    )
+
+
 def csv_with_schema_customer(spark, folder):
     """One scan: the types are given."""
     customer = table(spark, folder, "customer")
@@ -582,7 +627,8 @@ QUERIES = {
         dedup_fuzzy_levenshtein_conversations, dedup_fuzzy_batch_part, dedup_fuzzy_documents, dedup_fuzzy_conversations,
         clean_exact_then_fuzzy_part, audit_union,
         compare_exact_people, compare_name_people, compare_email_people, compare_phone_people,
-        compare_date_orders, candidate_pairs_documents, link_candidates_parties,
+        compare_date_orders, candidate_pairs_documents, link_candidates_parties, rule_forecast_documents,
+        rule_forecast_parties, link_factors_events,
         prior_documents, prior_parties, agreement_patterns_documents, u_shares_suppliers, u_shares_sampled_customers,
         trained_weights_suppliers,
         predict_fixed_weights_documents, cluster_documents, cluster_all_documents, dedupe_prob_audit_documents,
@@ -590,5 +636,6 @@ QUERIES = {
         link_audit_parties, link_trained_parties, dedupe_certain_documents, linkage_plan_documents,
         explain_pairs_documents, csv_round_trip_customer, csv_round_trip_conversations,
         parquet_round_trip_events, csv_with_schema_customer, written_result_events,
+        numbered_lineitem,
     )
 }

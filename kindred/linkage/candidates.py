@@ -66,6 +66,45 @@ def candidate_pairs(
     return reduce(DataFrame.unionByName, parts)
 
 
+def rule_forecast(left: DataFrame, right: DataFrame | None, n_rules: int) -> DataFrame:
+    """How many pairs ``candidate_pairs`` makes per rule, counted before any pair is made.
+
+    ``equal_pairs``: pairs equal on the rule's own column. ``n_pairs``: those that no earlier rule
+    has made, whose sum is the size of the union. Inclusion and exclusion over the sets of rules:
+    a record counts once for every set of columns of which none is missing, in groups of equal
+    values, and a group only needs its size. Two hashes per record and set are shuffled at most.
+    """
+    def counted(records: DataFrame, n_l: int, n_r: int) -> DataFrame:
+        sets = []
+        for mask in range(1, 1 << n_rules):
+            members = [F.col(f"k{j}") for j in range(n_rules) if mask >> j & 1]
+            known = reduce(Column.__and__, [k.isNotNull() for k in members])
+            key = F.struct(F.lit(mask).alias("mask"), F.xxhash64(*members).alias("h1"),
+                           F.md5(F.concat(*members)).alias("h2"))
+            sets.append(F.when(known, key))
+        one = records.select(F.explode(F.array_compact(F.array(*sets))).alias("of"))
+        return one.select("of.*", F.lit(n_l).cast("bigint").alias("n_l"), F.lit(n_r).cast("bigint").alias("n_r"))
+
+    rows = counted(left, 1, 0)
+    if right is not None:
+        rows = rows.unionAll(counted(right, 0, 1))
+    groups = rows.groupBy("mask", "h1", "h2").agg(F.sum("n_l").alias("l"), F.sum("n_r").alias("r"))
+    n_l, n_r = (F.col(c).cast("decimal(19,0)") for c in "lr")
+    made = n_l * (n_l - 1) / 2 if right is None else n_l * n_r
+    sums = groups.groupBy("mask").agg(F.sum(made.cast("decimal(38,0)")).alias("pairs"))
+    # a set counts for its last rule: what that rule adds to the union of those before it
+    signed = F.when(F.bit_count("mask") % 2 == 1, F.col("pairs")).otherwise(-F.col("pairs"))
+    rule = F.floor(F.log2(F.col("mask").cast("double"))).cast("int")
+    per_rule = sums.groupBy(rule.alias("match_key")).agg(
+        F.max(F.when(F.bit_count("mask") == 1, F.col("pairs"))).alias("equal_pairs"), F.sum(signed).alias("n_pairs")
+    )
+    rules = left.sparkSession.range(n_rules).select(F.col("id").cast("int").alias("match_key"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    return rules.join(per_rule, "match_key", "left").select(
+        "match_key", *(F.coalesce(F.col(c).cast("decimal(38,0)"), zero).alias(c) for c in ("equal_pairs", "n_pairs"))
+    )
+
+
 def needed_agreement(
     config: LinkConfig, model: LinkModel, threshold: float
 ) -> list[list[list[str]]]:

@@ -85,7 +85,8 @@ def random_patterns(
     """Agreement patterns of all pairs of a sample of rows; of all rows if those are few.
 
     The pairs are numbered 0, 1, ... and each number is turned into two positions, so the pairs
-    come from a range and two joins with a sample of fixed size.
+    come from a range and two joins on the position with a sample of fixed size. That size is in
+    rows, not in bytes, so whether the sample is broadcast is left to AQE.
     """
     max_pairs = config.random_pairs
     if right is None:
@@ -108,10 +109,7 @@ def random_patterns(
     numbers = spark.range(0, n_pairs, 1, spark.sparkContext.defaultParallelism)
     pairs = numbers.select(at_l.alias("_at_l"), at_r.alias("_at_r"))
     for side, suffix in ((side_l, "l"), (side_r, "r")):
-        # at most max_pairs rows, usually some thousand: the size is set above, not by the data
-        lookup = F.broadcast(
-            side.select(*[F.col(c).alias(f"{c}_{suffix}") for c in side.columns])
-        )
+        lookup = side.select(*[F.col(c).alias(f"{c}_{suffix}") for c in side.columns])
         pairs = pairs.join(lookup, f"_at_{suffix}")
     ones = [F.lit(1).alias(c) for c in ("id_l", "id_r", "copies_l", "copies_r", "match_key")]
     keys = [F.lit(None).cast("binary").alias(f"k{j}_{s}")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from kindred.config import CleanConfig
 from kindred.errors import require_columns
-from kindred.operators.audit import DedupResult
+from kindred.operators.audit import DedupResult, drop_rows
 from kindred.operators.exact import exact_rows
 from kindred.operators.fuzzy import FuzzySettings, fuzzy_rows
 from kindred.operators.normalize import normalize
-from kindred.plans.ids import with_row_id
+from kindred.plans.cut import cut_lineage
+from kindred.plans.ids import ROW_ID, quoted, with_row_id
 
 
 def clean_table(
@@ -30,6 +33,10 @@ def clean_table(
     if config.mode == "fuzzy":
         return fuzzy_rows(rows, keys, settings)
     exact = exact_rows(rows, keys)
-    # the second stage looks at the first's survivors as ids and match texts, written once
-    fuzzy = fuzzy_rows(exact.clean, keys, settings)
-    return DedupResult(fuzzy.clean, *exact.groupings, *fuzzy.groupings)
+    # the second stage looks at the first's survivors as ids and key columns, written once; whole
+    # rows move in one anti join on what both stages removed
+    kept = cut_lineage(drop_rows(rows.select(ROW_ID, *map(quoted, keys)), ROW_ID, exact.groupings[0].removed))
+    fuzzy = fuzzy_rows(kept, keys, settings)
+    groupings = [*exact.groupings, *fuzzy.groupings]
+    removed = reduce(DataFrame.unionByName, [g.removed.select("removed_index") for g in groupings])
+    return DedupResult(drop_rows(rows, ROW_ID, removed), *groupings)

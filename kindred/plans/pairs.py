@@ -60,14 +60,15 @@ def hot_keys(df: DataFrame, on: list[str], tile_rows: int = TILE_ROWS) -> DataFr
 
 def join_pairs(
     left: DataFrame, right: DataFrame, on: list[str], id_l: str, id_r: str,
-    same: bool = False, tile_rows: int | None = TILE_ROWS,
+    same: bool = False, tile_rows: int | None = TILE_ROWS, hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of two sides whose other columns differ in name.
 
     A key that holds a large share of the rows would put all its pairs into one task. Such keys
     are cut into a grid: each left row falls into one grid row and is copied along it, each right
     row into one grid column, so every pair meets in exactly one tile of bounded size. The other
-    keys form a grid of one tile. ``tile_rows`` None says that no key is known to be large.
+    keys form a grid of one tile. ``tile_rows`` None says that no key is known to be large. ``hot``: the
+    keys to cut, with ``_tiles_l`` and ``_tiles_r``, where the caller knows them without counting.
 
     ``same`` says that both sides are the same rows, with their columns in the same order: each
     pair comes once, the smaller id on the left. Of the grid only the half on one side of the
@@ -103,9 +104,10 @@ def join_pairs(
         return met.select(*on, *(c.alias(name) for name, c in turned.items()))
     if tile_rows is None:
         return spread(left, *on).join(right, on)
-    hot = hot_keys(left, on, tile_rows).withColumnRenamed("_tiles", "_tiles_l")
-    hot_r = hot_keys(right, on, tile_rows).withColumnRenamed("_tiles", "_tiles_r")
-    hot = cut_lineage(hot.join(hot_r, on, "full_outer"))
+    if hot is None:
+        hot = hot_keys(left, on, tile_rows).withColumnRenamed("_tiles", "_tiles_l")
+        hot_r = hot_keys(right, on, tile_rows).withColumnRenamed("_tiles", "_tiles_r")
+        hot = cut_lineage(hot.join(hot_r, on, "full_outer"))
     if hot.isEmpty():
         return spread(left, *on).join(right, on)
     tiles_l = F.coalesce("_tiles_l", F.lit(1))

@@ -121,3 +121,15 @@ def test_union_of_audits(spark):
                               "removed_indices string, n_duplicates long")
     b = a.selectExpr("*", "0.9D AS match_probability")
     assert rows_of(union_audits(a, b), "match_probability") == [(0.9,), (None,)]
+
+
+def test_staged_run_reads_the_first_stage_once(spark):
+    """Whole rows meet what both stages removed in one anti join; the stage between is written."""
+    df = spark.range(40).selectExpr("id", "concat('name ', id div 4, repeat('x', cast(id % 4 = 3 as int))) as k", "id as v")
+    out = clean_table(df, {"keys": ["k"], "mode": "Exact then Fuzzy", "threshold": 90}, id_col="id")
+    plan = out.clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1
+    kept = {r.id for r in out.clean.collect()}
+    members = [r.removed_index for r in out.members.collect()]
+    assert len(members) == len(set(members)) and kept | set(members) == set(range(40)) and not kept & set(members)
+    assert {"id", "k", "v"} <= set(out.clean.columns)

@@ -1,11 +1,12 @@
+import os
 import zipfile
 
 import pytest
 from conftest import rows_of
 
-from kindred.errors import CleaningError, EmptyDataError, UnsupportedFormatError
+from kindred.errors import CleaningError, EmptyDataError, InvalidConfigError, UnsupportedFormatError
 from kindred.operators.exact import dedup_exact
-from kindred.sources.tables import list_sheets, read_csv, read_table, write_result, write_table
+from kindred.sources.tables import list_sheets, read_csv, read_numbered, read_table, write_result, write_table
 from kindred.sources.workbook import workbook_catalog
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -177,6 +178,58 @@ def test_files_with_another_header_order_are_no_other_data(spark, tmp_path):
     assert rows_of(read_csv(spark, str(folder)), "name", "email") == [("x", "x@e"), ("y", "y@e")]
 
 
+def test_blank_and_repeated_headers_must_be_the_same_in_all_files(spark, tmp_path):
+    folder = tmp_path / "in.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('name,,name\nx,1,y\n')
+    for other in (",name,name\n1,x,y\n", "name,,other\nx,1,y\n", "name,,name,more\nx,1,y,z\n", "name,\nx,1\n"):
+        (folder / "b.csv").write_text(other)
+        with pytest.raises(CleaningError, match="different headers"):
+            read_csv(spark, str(folder))
+    (folder / "b.csv").write_text('"name",,name\nv,2,w\n')
+    assert sorted(tuple(r) for r in read_csv(spark, str(folder)).collect()) == [("v", 2, "w"), ("x", 1, "y")]
+
+
+def test_numbers_from_file_positions(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    rows = spark.range(5_000).selectExpr("id", "concat('t', id) as _file", "id % 3 as `a.b`")
+    rows.repartition(7, "`a.b`").write.option("parquet.block.size", 4096).parquet(path)
+    one = read_numbered(spark, path)
+    assert one.columns == ["id", "_file", "a.b", "_row_id"]
+    first = dict(one.select("_row_id", "id").collect())
+    assert sorted(first) == list(range(5_000)) and len(set(first.values())) == 5_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert dict(read_numbered(spark, path).select("_row_id", "id").collect()) == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Exchange range" not in plan
+    assert plan.count("FileScan") == 1 and plan.count("BroadcastHashJoin") == 1
+    taken = str(tmp_path / "i.parquet")
+    spark.range(2).selectExpr("id as _row_id").write.parquet(taken)
+    with pytest.raises(InvalidConfigError):
+        read_numbered(spark, taken)
+    empty = str(tmp_path / "none.parquet")
+    spark.range(0).write.parquet(empty)
+    assert read_numbered(spark, empty).collect() == []
+
+
+def test_a_failed_result_leaves_nothing_to_read(spark, tmp_path):
+    good = spark.range(3).selectExpr("id", "id as v")
+    bad = spark.range(3).selectExpr("raise_error('broken') as v")
+    base = str(tmp_path / "run")
+    for clean, audit in ((good, bad), (bad, good)):
+        with pytest.raises(Exception, match="broken"):
+            write_result(clean, audit, base)
+        assert os.listdir(base) == []
+    write_result(good, good, base)
+    assert sorted(f for f in os.listdir(base) if not f.startswith(".")) == ["audit.parquet", "clean.parquet"]
+    with pytest.raises(CleaningError, match="already"):
+        write_result(good, good, base)
+    assert read_table(spark, f"{base}/clean.parquet").count() == 3
+
+
 def test_given_schema_takes_one_scan(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,day,v\n7,2024-02-29,NA\n8,,1.5\n")
     out = read_csv(spark, str(tmp_path / "a.csv"), schema="id long, day date, v double")
