@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import col, written
-from kindred.llm.quality import Votes
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("contact", "number", "secret")
@@ -49,11 +48,14 @@ NUMBER_CUES = frozenset(
     "telefon handy konto karte téléphone portable compte carte teléfono móvil cuenta tarjeta".split()
 )
 CONTACT_CUES = frozenset("mail email e-mail contact write reach kontakt schreib adresse courriel correo".split())
+PASSWORD_CUES = frozenset("password passwd pwd passwort contraseña".split())
 CUES = {"secret": SECRET_CUES, "number": NUMBER_CUES, "contact": CONTACT_CUES}
 
 _AT_SIGN = re.compile(r"\(at\)|\[at\]", re.I)
 _KEYS = re.compile(rf"(?<![A-Za-z0-9])(?:{_KEY_SHAPES.pattern}|(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_.-]{{12,}})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_DOCUMENT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,9}(?![A-Za-z0-9])")  # passports, identity cards
+_NATIONAL = re.compile(r"\d{3}-\d{2}-\d{4}|0\d{2,4}[ -]\d{3,}[ -]?\d{2,}|\d{3}-\d{3}-\d{4}|\d{4}(?:[ -]\d{4}){2,3}")
 _BRACKETED = re.compile(r"\([0-9]{2,5}\)[ -]?[0-9]{2,}(?:[ -][0-9]{2,}){0,4}(?![0-9A-Za-z])")
 # a cue, then a sign of assignment or a blank; values after a blank alone need a digit
 _CUED = re.compile(
@@ -143,6 +145,7 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             taken.append((a, b))
     sure = [("secret", m.start(), m.end()) for m in _KEYS.finditer(text)]
     sure += [("number", m.start(), m.end()) for p in (_IBAN, _BRACKETED) for m in p.finditer(text)]
+    sure += [("number", m.start(), m.end()) for m in _DOCUMENT.finditer(text) if _cued(text, "number", m.start())[0]]
     sure += [("contact", a, b) for a, b in spelt_out(text)]
     cued = [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".:!?"))) for m in _CUED.finditer(text)]
     cued = [c for c in cued if c[2] - c[1] >= 4]
@@ -172,6 +175,15 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+def _cued(text: str, kind: str, start: int) -> tuple[bool, bool, str]:
+    """Whether one of the four words before a span is a cue, whether the span is assigned to
+    something, and the last word."""
+    before = text[max(0, start - 60) : start]
+    near = [w.strip(".,:;=\"'()[]").lower() for w in before.split()][-4:]
+    near = [w for w in near if w]
+    return any(w in CUES[kind] for w in near), bool(re.search(r"[=:]\s*[\"']?$", before)), near[-1] if near else ""
+
+
 def iban(bare: str) -> bool:
     """Whether the check digits of an IBAN are right."""
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}", bare)) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
@@ -183,36 +195,37 @@ def _entropy(token: str) -> float:
 
 
 def votes_and_features(text: str, kind: str, start: int, end: int) -> tuple[list[int], list[float]]:
-    """Votes of LABELERS (1 yes, -1 no, 0 abstains) and features for the classifier."""
+    """Votes of LABELERS (1 yes, -1 no, 0 abstains) and features for the classifier. A labeler abstains
+    where it does not apply: check digits on numbers that have none, shapes on chosen passwords."""
     token = text[start:end]
-    before = text[max(0, start - 60) : start]
-    near = [w.strip(".,:;=\"'()[]").lower() for w in before.split()][-4:]
+    cue, assigned, last = _cued(text, kind, start)
     digits = sum("0" <= c <= "9" for c in token)
     letters = sum(c.isalpha() for c in token)
     bare = re.sub(r"[ ()-]", "", token)
     hexadecimal = bool(re.fullmatch(r"[0-9a-fA-F]+", token))
-    cue = any(w in CUES[kind] for w in near)
-    assigned = bool(re.search(r"[=:]\s*[\"']?$", before))
     entropy = _entropy(token)
     if kind == "secret":
-        pattern = 1 if hexadecimal or _KEYS.fullmatch(token) else -1
+        chosen = assigned and last in PASSWORD_CUES
+        pattern = 1 if hexadecimal and len(token) >= 16 or _KEYS.fullmatch(token) else 0 if cue and assigned else -1
         check = 1 if hexadecimal and len(token) in (32, 40, 56, 64, 96, 128) else 0
         gazetteer = 1 if token.startswith(KEY_STARTS) else 0
-        shape = 1 if entropy >= 2.8 and digits >= 2 else -1
+        shape = 1 if entropy >= 2.8 and digits >= 2 else 0 if chosen or pattern == 1 else -1
     elif kind == "number":
-        pattern = 1 if re.fullmatch(r"\d{3}-\d{2}-\d{4}|0\d{2,4}[ -]\d{3,}[ -]?\d{2,}|\d{3}-\d{3}-\d{4}|\d{4}(?:[ -]\d{4}){2,3}", token) or _BRACKETED.fullmatch(token) or _IBAN.fullmatch(token) else -1
-        check = 1 if iban(bare) or bare.isdecimal() and 13 <= len(bare) <= 19 and luhn(bare) else -1
+        pattern = 1 if any(p.fullmatch(token) for p in (_NATIONAL, _BRACKETED, _IBAN, _DOCUMENT)) else -1
+        checked = _IBAN.fullmatch(token) or bare.isdecimal() and 13 <= len(bare) <= 19
+        check = 0 if not checked else 1 if iban(bare) or bare.isdecimal() and luhn(bare) else -1
         gazetteer = 1 if re.match(r"(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|00(?:1|3[3469]|4[149]|49))", bare) and len(bare) >= 11 else 0
         shape = 1 if len(set(bare)) >= 4 and bare not in "01234567890123456789" else -1
     else:
         pattern, check = 1, 0
         gazetteer = 1 if re.split(r"[^A-Za-z]+", token.rstrip("]) "))[-1].lower() in TLDS else -1
         shape = 1 if len(token) <= 60 else -1
-    votes = [pattern, check, gazetteer, 1 if cue else 0, 1 if assigned else 0, shape]
+    votes = [pattern, check, gazetteer, 1 if cue else 0 if assigned else -1, 1 if assigned else 0, shape]
     n = len(token)
     features = [
         float(kind == "secret"), float(kind == "number"), float(kind == "contact"), min(n, 64) / 64, digits / n, letters / n,
-        entropy / 6, float(hexadecimal), float(cue), float(assigned), float(before[-1:] in ('"', "'")), float(" " in token),
+        entropy / 6, float(hexadecimal), float(cue), float(assigned), float(text[max(0, start - 1) : start] in ('"', "'")), float(" " in token),
+        float(pattern), float(check), float(gazetteer), float(shape),
     ]
     return votes, features
 
@@ -248,6 +261,40 @@ def find_spans(text):
     return run(text)
 
 
+# What labelers are taken to be before anything is counted: the share of yes among their votes on
+# real and on other spans, and how much that weighs, as a part of all proposals.
+YES_ON_REAL, YES_ON_OTHER, BELIEF = 0.9, 0.2, 0.1
+
+
+class Reliabilities:
+    """How often each labeler says yes on real and on other spans, by expectation-maximisation over
+    counted votes (-1, 0, 1 per labeler); who abstains says nothing.
+
+    Where few labelers speak against a span, votes alone can't tell poor labelers from a wrong
+    span. The belief that labelers are better than chance settles that; it is a part of the total,
+    so tables of any size with the same shares are judged alike.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9):
+        total = counts.sum()
+        belief = BELIEF * total * np.array([YES_ON_REAL, YES_ON_OTHER])[:, None]
+        yes, votes = (patterns > 0).astype(float), (patterns != 0).astype(float)
+        real = np.where(patterns.sum(axis=1) > 0, 0.9, 0.1)  # start: the majority
+        for _ in range(rounds):
+            w = np.stack([real, 1 - real]) * counts
+            self.share = (w.sum(axis=1) + BELIEF * total) / (total * (1 + 2 * BELIEF))
+            self.rate = (w @ yes + belief) / (w @ votes + BELIEF * total)
+            before, real = real, self.posterior(patterns)
+            if np.abs(real - before).max() < tolerance:
+                break
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of being real."""
+        logs = np.log(self.share) + (patterns > 0) @ np.log(self.rate).T + (patterns < 0) @ np.log(1 - self.rate).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return p[:, 0] / p.sum(axis=1)
+
+
 def fit_classifier(features: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the offset."""
     x = np.hstack([features, np.ones((len(features), 1))])
@@ -278,14 +325,19 @@ def find_personal_data(docs: DataFrame, least: float = 0.5, sample_rows: int = 2
     more = found.where(F.size("more") > 0).select("doc_id", F.explode("more").alias("m")).select(
         "doc_id", "m.kind", "m.start", "m.votes", "m.features"
     )
-    counts = more.groupBy("votes").count().collect()  # at most 3 ** 6 patterns
+    counts = more.groupBy("kind", "votes").count().collect()  # at most 3 * 3 ** 6 patterns
     weights = None
     if counts:
-        counts = sorted((tuple(r["votes"]), r["count"]) for r in counts)
-        model = Votes(np.array([c[0] for c in counts]), np.array([c[1] for c in counts], float), neutral=True)
-        sample = more.select("votes", "features", "doc_id", "start").orderBy(F.xxhash64("doc_id", "start", "features"), "features", "votes").limit(sample_rows).collect()
-        votes = np.array([r["votes"] for r in sample])
-        weights = fit_classifier(np.array([r["features"] for r in sample]), model.posterior(votes))
+        counts = sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in counts)
+        models = {}  # a labeler may be right about one kind and wrong about another
+        for kind in {c[0] for c in counts}:
+            seen = [c for c in counts if c[0] == kind]
+            models[kind] = Reliabilities(np.array([c[1] for c in seen]), np.array([c[2] for c in seen], float))
+        sample = more.select("kind", "votes", "features", "doc_id", "start").orderBy(
+            F.xxhash64("doc_id", "start", "features"), "features", "votes", "kind"
+        ).limit(sample_rows).collect()
+        soft = [models[r["kind"]].posterior(np.array([r["votes"]]))[0] for r in sample]
+        weights = fit_classifier(np.array([r["features"] for r in sample]), np.array(soft))
 
     @F.pandas_udf("string")
     def merged(base: pd.Series, more: pd.Series) -> pd.Series:

@@ -1,6 +1,8 @@
 import random
-import time
 import re
+import time
+
+import numpy as np
 
 from tests.llm.helpers import AWKWARD, documents
 
@@ -102,6 +104,53 @@ def test_method_adds_spans_and_keeps_the_base(spark):
             assert len(text[int(a) : int(b)]) == 40
 
 
+def test_planted_spans_of_every_kind_are_found_and_lookalikes_are_not(spark):
+    rng = random.Random(8)
+
+    def of(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    digits, low = "0123456789", "0123456789abcdef"
+    real = [
+        ("contact", "write to ", lambda: f"{of('abc', 4)} (at) example (dot) com"), ("contact", "mail ", lambda: f"{of('abc', 5)}[at]posteo.de"),
+        ("secret", "use ", lambda: "ghp_" + of("aBcD0123456789", 36)), ("secret", "token = ", lambda: "f0" + of(low, 38)),
+        ("secret", "password: ", lambda: "hun" + of("xyz", 4) + "7x2"), ("secret", "password: ", lambda: "swordfish"),
+        ("number", "my ssn is ", lambda: f"{of(digits, 3)}-{of(digits, 2)}-{of(digits, 4)}"), ("number", "call ", lambda: f"(030) {of(digits, 7)}"),
+        ("number", "passport no ", lambda: "X" + of(digits, 7)),
+    ]
+    other = [("total of ", lambda: "4" + of(digits, 7)), ("see ", lambda: f"chapter{of(digits, 2)}section{of(digits, 1)}"),
+             ("born ", lambda: f"19{of(digits, 2)}-05-1{of(digits, 1)}"), ("build ", lambda: f"release-2024-{of(digits, 2)}-final-{of(digits, 2)}")]
+    rows, truth = [], {}
+    for i in range(360):
+        if i % 4:
+            kind, lead, make = real[i % len(real)]
+        else:
+            kind, (lead, make) = None, other[i // 4 % len(other)]
+        head, value = f"some words {i % 7} before that " + lead, make()
+        rows.append((i, f"{head}{value} and words after"))
+        truth[i] = f"{kind}:{len(head)}:{len(head) + len(value)}" if kind else ""
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    wrong = {i: (rows[i][1], got[i]) for i in truth if got[i] != truth[i]}
+    assert not wrong, list(wrong.values())[:5]
+
+
+def test_reliabilities_tell_poor_labelers_from_wrong_spans():
+    rng = np.random.default_rng(3)
+    real = rng.random(4000) < 0.7
+    right = np.array([0.95, 0.9, 0.85, 0.55])
+    says = np.where(rng.random((4000, 4)) < right, real[:, None], ~real[:, None])
+    votes = np.where(rng.random((4000, 4)) < 0.2, 0, np.where(says, 1, -1))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    one = pii.Reliabilities(patterns, counts.astype(float))
+    assert ((one.posterior(votes) > 0.5) == real).mean() > 0.93
+    spread = one.rate[0] - one.rate[1]
+    assert list(np.argsort(-spread)) == [0, 1, 2, 3]
+    more = pii.Reliabilities(patterns, counts * 50.0)
+    assert np.allclose(one.posterior(patterns), more.posterior(patterns))
+    alone = pii.Reliabilities(np.array([[1, 1, 0, 1]]), np.array([1.0]))
+    assert alone.posterior(np.array([[1, 1, 0, 1]]))[0] > 0.9
+
+
 def test_awkward_rows_and_empty_table(spark):
     out = pii.find_personal_data(documents(spark, AWKWARD)).collect()
     assert len(out) == len(AWKWARD) and {r.base for r in out} == {""}
