@@ -15,7 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import col
@@ -24,7 +24,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 FLUSH_CHARS = 4_000_000  # characters of examples handed on at a time
 
 EXAMPLES = (
-    "conv_id long, example long, target_turn long, n_turns long, formatted string, loss_start long, loss_end long, last boolean"
+    "conv_id {conv}, example long, target_turn {turn}, n_turns long, formatted string, loss_start long, loss_end long, last boolean"
 )
 
 
@@ -52,10 +52,6 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _null(value):
-    return None if value is None or value is pd.NA or value != value else value
-
-
 def expand_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                          text_col: str = "text", target_role: str = "assistant") -> DataFrame:
     """One row per example: conv_id, example (from 0), target_turn (null without a target), n_turns
@@ -63,29 +59,31 @@ def expand_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     there is none), last (the conversation's last example, which holds all its turns).
 
     Turns stand in the order of ``turn_col``, nulls first, ties by role and text. A null role or
-    text counts as empty; rows with a null conv_id are one conversation. Repeated rows are turns
-    of their own. An empty table gives none. Other columns are not read. The examples of a
-    conversation come one after another, in order, in one partition; a task holds one
-    conversation at a time.
+    text counts as empty. Ids and turns keep their own types, which may be numbers or texts. A row
+    with a null conv_id is a conversation of its own, as nothing says what it belongs to; however
+    many there are, they stay where they were read. Repeated rows are turns of their own. An empty
+    table gives none. Other columns are not read. The examples of a conversation come one after
+    another, in order, in one partition; a task holds one conversation at a time.
     """
     rows = turns.select(
-        col(conv_col).cast("long").alias("conv"), col(turn_col).cast("long").alias("turn"),
-        col(role_col).alias("role"), col(text_col).alias("text"),
+        col(conv_col).alias("conv"), col(turn_col).alias("turn"), col(role_col).alias("role"), col(text_col).alias("text")
     )
-    rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    schema = EXAMPLES.format(conv=rows.schema["conv"].dataType.simpleString(), turn=rows.schema["turn"].dataType.simpleString())
+    names = [field.split()[0] for field in schema.split(", ")]
+    together = rows.where("conv is not null").repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    rows = together.unionByName(rows.where("conv is null"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         size = 0
-        conv, open_turns, prefix, count, example = object(), 0, "", 0, 0
+        conv, open_turns, prefix, count, example = None, 0, "", 0, 0
         waiting = None  # the latest example; it is known to be the last one only when the conversation ends
 
-        def frame() -> pd.DataFrame:
-            names = [f.split()[0] for f in EXAMPLES.split(", ")]
-            out = pd.DataFrame(ready, columns=names, dtype=object)
-            for name in ("conv_id", "example", "target_turn", "n_turns", "loss_start", "loss_end"):
-                out[name] = out[name].astype("Int64")
-            return out.astype({"last": bool})
+        def frame(types: pa.Schema) -> pa.RecordBatch:
+            whole = pa.int64()
+            kinds = [types.field("conv").type, whole, types.field("turn").type, whole, pa.string(), whole, whole, pa.bool_()]
+            columns = zip(*ready) if ready else [[] for _ in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
         def close() -> None:
             nonlocal waiting, size
@@ -99,37 +97,37 @@ def expand_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                 size += len(waiting[4])
             waiting = None
 
-        started = False
+        started, types = False, None
         for batch in batches:
-            for c, turn, role, text in zip(batch["conv"], batch["turn"], batch["role"], batch["text"]):
-                c, turn = _null(c), _null(turn)
-                if not started or c != conv:
+            types = batch.schema
+            for c, turn, role, text in zip(*(batch.column(name).to_pylist() for name in ("conv", "turn", "role", "text"))):
+                if not started or c is None or c != conv:
                     if started:
                         close()
                     conv, open_turns, prefix, count, example, started = c, 0, "", 0, 0, True
-                formatted, start, end = format_turn(_null(role), _null(text))
+                formatted, start, end = format_turn(role, text)
                 base, prefix = len(prefix), prefix + formatted
                 count += 1
                 open_turns += 1
-                if _null(role) == target_role:
+                if role == target_role:
                     if waiting:
                         ready.append((*waiting, False))
                         size += len(waiting[4])
                     waiting = (conv, example, turn, count, prefix, base + start, base + end)
                     example, open_turns = example + 1, 0
                 if size > FLUSH_CHARS:
-                    yield frame()
+                    yield frame(types)
                     ready, size = [], 0
         if started:
             close()
         if ready:
-            yield frame()
+            yield frame(types)
 
-    return rows.mapInPandas(run, EXAMPLES)
+    return rows.mapInArrow(run, schema)
 
 
 READ_BACK = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    "conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 )
 
 
@@ -139,28 +137,33 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     Reads the output of expand_conversations as it lies, conversation by conversation."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = READ_BACK.format(conv=examples.schema["conv_id"].dataType.simpleString())
+    names = [field.split()[0] for field in schema.split(", ")]
+    read = ("conv_id", "formatted", "loss_start", "loss_end", "last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, chars, total, count = hashlib.sha256(), 0, 0, 0
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                trained = unescape(row.formatted[int(row.loss_start) : int(row.loss_end)])
+            for conv, formatted, start, end, last in zip(*(batch.column(name).to_pylist() for name in read)):
+                trained = unescape(formatted[start:end])
                 loss.update(trained.encode("utf-8", "surrogatepass"))
                 chars += len(trained)
-                total += len(row.formatted)
+                total += len(formatted)
                 count += 1
-                if row.last:
+                if last:
                     turns = hashlib.sha256()
-                    found = parse(row.formatted)
+                    found = parse(formatted)
                     for role, text in found:
                         turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    out.append((_null(row.conv_id), len(found), turns.hexdigest(), chars, loss.hexdigest(), total, count))
+                    out.append((conv, len(found), turns.hexdigest(), chars, loss.hexdigest(), total, count))
                     loss, chars, total, count = hashlib.sha256(), 0, 0, 0
             if out:
-                frame = pd.DataFrame(out, columns=[f.split()[0] for f in READ_BACK.split(", ")], dtype=object)
-                yield frame.astype({"conv_id": "Int64", "n_turns": "int64", "loss_chars": "int64", "formatted_chars": "int64", "n_examples": "int64"})
+                whole = pa.int64()
+                kinds = [batch.schema.field("conv_id").type, whole, pa.string(), whole, pa.string(), whole, whole]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
-    return examples.mapInPandas(run, READ_BACK)
+    return examples.select(*read).mapInArrow(run, schema)
 
 
 def with_forged_turns(turns: DataFrame) -> DataFrame:
@@ -169,4 +172,6 @@ def with_forged_turns(turns: DataFrame) -> DataFrame:
     more = turns.sparkSession.createDataFrame(
         [(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string"
     )
+    types = turns.schema
+    more = more.select(*(F.col(c).cast(types[c].dataType) for c in more.columns))
     return turns.select("conv_id", "turn", "role", "text").unionByName(more)

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,7 +22,7 @@ from kindred.llm.common import col, word_count, written
 LENGTHS = (256, 512, 1024, 2048)
 BIN_COST = 8  # what opening a bin costs, in words: start and end marks, a row of its own
 SCHEMA = (
-    "doc_id long, piece long, start long, n_words long, bin_id long, bin_length long, bin_words long, bin_offset long"
+    "doc_id {id}, piece long, start long, n_words long, bin_id long, bin_length long, bin_words long, bin_offset long"
 )
 
 
@@ -79,13 +81,13 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost
     text), n_words, bin_id, bin_length (a permitted length), bin_words (words in the bin),
     bin_offset (of the piece in its bin).
 
-    Null and empty texts are one piece of no words without a bin. Repeated rows are packed each.
+    Ids keep their own type, number or text. Null and empty texts are one piece of no words without a bin. Repeated rows are packed each.
     An empty table gives none. Other columns are not read. Bins never hold pieces of two chunks;
     a chunk has ``chunk_rows`` pieces, whatever the size of the table.
     """
     longest = max(lengths)
     sized = written(docs.select(
-        col(id_col).cast("long").alias("doc_id"), word_count(col(text_col)).alias("size"),
+        col(id_col).alias("doc_id"), word_count(col(text_col)).alias("size"),
         F.xxhash64(col(id_col), col(text_col)).alias("deal"),
     ))
     full, rest = F.floor(F.col("size") / longest), F.col("size") % longest
@@ -106,43 +108,48 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost
     )
     chunks = max(1, sized.where(rest > 0).count() // chunk_rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = SCHEMA.format(id=sized.schema["doc_id"].dataType.simpleString())
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
         serial = 0
-        held: list[pd.DataFrame] = []
 
-        def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        def result(rows: pa.Table, bins: list) -> list[pa.RecordBatch]:
+            made = [pa.array(b, pa.int64()) for b in bins]
+            same = [rows.column(name) for name in ("doc_id", "piece", "start", "n_words")]
+            return pa.Table.from_arrays([*same, *made], names).combine_chunks().to_batches()
+
+        def packed(rows: pa.Table) -> list[pa.RecordBatch]:
             nonlocal serial
-            rows = rows.sort_values(["n_words", "deal", "doc_id"], ascending=[False, True, True], kind="stable")
-            where, shrunk, used = pack(rows["n_words"].tolist(), lengths, bin_cost)
+            # longest first; rows come in the order of deal, piece and doc_id, which settles ties
+            rows = rows.take(np.argsort(-rows.column("n_words").to_numpy(), kind="stable"))
+            where, shrunk, used = pack(rows.column("n_words").to_pylist(), lengths, bin_cost)
             first, serial = task + serial, serial + len(shrunk)
-            return pd.DataFrame({
-                "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "start": rows["start"], "n_words": rows["n_words"],
-                "bin_id": [first + b for b, _ in where], "bin_length": [shrunk[b] for b, _ in where],
-                "bin_words": [used[b] for b, _ in where], "bin_offset": [o for _, o in where],
-            })
+            return result(rows, [
+                [first + b for b, _ in where], [shrunk[b] for b, _ in where], [used[b] for b, _ in where], [o for _, o in where],
+            ])
 
+        held: list[pa.Table] = []
         count = 0
         for batch in batches:
-            whole = batch[batch["whole"]]
-            if len(whole):
-                ids = range(task + serial, task + serial + len(whole))
-                serial += len(whole)
-                yield pd.DataFrame({
-                    "doc_id": whole["doc_id"].astype("Int64"), "piece": whole["piece"], "start": whole["start"], "n_words": whole["n_words"],
-                    "bin_id": ids, "bin_length": longest, "bin_words": longest, "bin_offset": 0,
-                })
-            part = batch[~batch["whole"]]
+            table = pa.Table.from_batches([batch])
+            whole = table.filter(table.column("whole"))
+            n = len(whole)
+            if n:
+                yield from result(whole, [range(task + serial, task + serial + n), [longest] * n, [longest] * n, [0] * n])
+                serial += n
+            part = table.filter(pc.invert(table.column("whole")))
             while len(part):
-                take = part.iloc[: chunk_rows - count]
+                take = part.slice(0, chunk_rows - count)
                 held.append(take)
                 count += len(take)
-                part = part.iloc[len(take):]
+                part = part.slice(len(take))
                 if count == chunk_rows:
-                    yield packed(pd.concat(held))
+                    yield from packed(pa.concat_tables(held))
                     held, count = [], 0
         if held:
-            yield packed(pd.concat(held))
+            yield from packed(pa.concat_tables(held))
 
     dealt = wholes.unionByName(rests).repartition(chunks, "deal", "piece").sortWithinPartitions("deal", "piece", "doc_id")
-    return dealt.mapInPandas(run, SCHEMA).unionByName(empty)
+    return dealt.mapInArrow(run, schema).unionByName(empty)

@@ -22,7 +22,7 @@ def turns_of(spark, rows):
 def made():
     rng = random.Random(3)
     rows = []
-    for conv in [*range(40), None]:
+    for conv in range(40):
         for turn in range(rng.randrange(1, 9)):
             rows.append((conv, turn, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(NASTY)))
     rows += [(99, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(300)]
@@ -58,3 +58,25 @@ def test_empty_and_repeated(spark):
     rows = [(1, None, None, None), (1, 0, "assistant", "x"), (1, 0, "assistant", "x")]
     assert chat.expand_conversations(turns_of(spark, rows)).count() == 2
     assert chat.read_back(chat.expand_conversations(turns_of(spark, rows).limit(0))).count() == 0
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, t % 3, "assistant" if t % 2 else "user", "the same") for t in range(400)]
+    rows += [(None, None, None, None), (7, 0, "user", "q"), (7, 1, "assistant", "r")]
+    out = chat.read_back(chat.expand_conversations(turns_of(spark, rows))).collect()
+    assert len(out) == 402 and sorted(r.n_turns for r in out) == [1] * 401 + [2]
+    assert sum(r.loss_chars for r in out) == 200 * len("the same") + 1
+
+
+def test_ids_and_turns_keep_their_type(spark):
+    big = 2**53 + 1  # no double holds it
+    out = chat.read_back(chat.expand_conversations(turns_of(spark, [(big, 0, "user", "q"), (None, 0, "user", "x")]))).collect()
+    assert {r.conv_id for r in out} == {big, None}
+    named = spark.createDataFrame(
+        [("c-1", "b", "assistant", "r"), ("c-1", "a", "user", "q"), ("c-2", None, "user", "z"), (None, "a", "user", "n")],
+        "conv_id string, turn string, role string, text string")
+    examples = chat.expand_conversations(named)
+    assert examples.schema["conv_id"].dataType.simpleString() == "string"
+    got = {r.conv_id: r for r in examples.collect()}
+    assert set(got) == {"c-1", "c-2", None} and got["c-1"].target_turn == "b"
+    assert chat.parse(got["c-1"].formatted) == [("user", "q"), ("assistant", "r")]

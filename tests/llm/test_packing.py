@@ -5,20 +5,45 @@ from tests.llm.helpers import AWKWARD, documents
 from kindred.llm import packing
 
 
+def plain_pack(sizes, lengths, bin_cost):
+    """The definition, with a search over all open bins for every piece."""
+    capacity, used = [], []
+    for k, s in enumerate(sizes):
+        fitting = [(capacity[b] - used[b] - s, b) for b in range(len(used)) if capacity[b] - used[b] >= s]
+        if fitting:
+            tightest = min(fitting)[0]
+            choice = [b for room, b in fitting if room == tightest]
+        else:
+            prices = []
+            for c in lengths:
+                if c >= s:
+                    gap = c - s
+                    coming = sum(t for t in sizes[k + 1:] if t <= gap)
+                    prices.append(((c + bin_cost) / (s + min(gap, coming)), c))
+            capacity.append(min(prices)[1])
+            used.append(0)
+            choice = [len(used) - 1]
+        yield s, choice, used
+
+
 def test_best_fit_step_by_step():
-    """Each piece goes where a plain search over all open bins puts it."""
+    """Each piece goes where a plain search over all open bins puts it; among bins with equal room
+    any will do, as they take the same pieces from then on."""
     rng = random.Random(1)
-    for _ in range(30):
+    lengths = (16, 32, 64)
+    for _ in range(60):
         sizes = sorted((rng.choice([rng.randrange(1, 65), rng.randrange(1, 9)]) for _ in range(rng.randrange(80))), reverse=True)
-        where, shrunk, used = packing.pack(sizes, (16, 32, 64), 4)
+        where, shrunk, used = packing.pack(sizes, lengths, 4)
         assert len(where) == len(sizes)
-        content = {}
-        for s, (b, at) in zip(sizes, where):
-            assert at == content.get(b, 0)
-            content[b] = at + s
-        assert [content[b] for b in range(len(used))] == used
+        opened = 0
+        for (s, choice, filled), (b, at) in zip(plain_pack(sizes, lengths, 4), where):
+            assert b in choice and at == filled[b]
+            opened = max(opened, b + 1)
+            assert opened == len(filled)
+            filled[b] += s
+        assert opened == len(used) and (not sizes or filled == used)
         for u, length in zip(used, shrunk):
-            assert u <= length and all(c < u for c in (16, 32, 64) if c < length)
+            assert u <= length and all(c < u for c in lengths if c < length)
 
 
 def test_a_piece_takes_the_tightest_open_bin():
@@ -70,3 +95,13 @@ def test_awkward_rows_and_empty_table(spark):
     assert sum(r.n_words for r in rows) == sum(len((t or "").split()) for _, t in AWKWARD)
     assert [r.bin_id for r in rows if r.n_words == 0] == [None] * 4
     assert packing.pack_documents(documents(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_ids_keep_their_type(spark):
+    big = 2**53 + 1  # no double holds it
+    rows = packing.pack_documents(documents(spark, [(big, "one two three"), (None, "four five"), (1, "")])).collect()
+    assert {r.doc_id: r.n_words for r in rows} == {big: 3, None: 2, 1: 0}
+    named = spark.createDataFrame([("doc-a", "w " * 5000), ("doc-b", "w"), (None, "w w")], "doc_id string, text string")
+    out = packing.pack_documents(named)
+    assert out.schema["doc_id"].dataType.simpleString() == "string"
+    check(out.collect(), {"doc-a": "w " * 5000, "doc-b": "w", None: "w w"}, packing.LENGTHS)
