@@ -114,14 +114,16 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 16,
     )
     dims = sample.shape[1]
     frames = curve_frames(dims, curves)
-    projected = np.einsum("nd,cdp->cnp", sample, frames)
+    # what all vectors have in common says nothing about distances, but takes digits
+    centre = sample.mean(axis=0)
+    projected = np.einsum("nd,cdp->cnp", sample - centre, frames)
     middle, spread = projected.mean(axis=1), projected.std(axis=(1, 2)) + 1e-300
     shifts = np.random.default_rng(SEED + 1).uniform(-0.5, 0.5, middle.shape)
     half = 1 << (BITS - 1)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            data = np.stack(batch["vec"].to_numpy()) if len(batch) else np.zeros((0, dims))
+            data = np.stack(batch["vec"].to_numpy()) - centre if len(batch) else np.zeros((0, dims))
             out = []
             for c in range(curves):
                 # 8 spreads to either side; what lies beyond goes to the edge
@@ -161,12 +163,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 16,
         if not len(queries) or not len(found):
             return empty
         data, at = np.stack(found["vec"].to_numpy()), found["at"].to_numpy()
-        names, norms = found["point"].to_numpy(), (data * data).sum(axis=1)
+        names, near = found["point"].to_numpy(), data - centre
+        norms = (near * near).sum(axis=1)
         out = []
         for start in range(0, len(queries), 256):
             part = queries.iloc[start : start + 256]
             q = np.stack(part["vec"].to_numpy())
-            rough = norms[None, :] - 2 * (q @ data.T)
+            rough = norms[None, :] - 2 * ((q - centre) @ near.T)
             rough[np.abs(at[None, :] - part["at"].to_numpy()[:, None]) > reach] = np.inf
             keep = min(rough.shape[1], 2 * k + 2)
             best = np.argpartition(rough, keep - 1, axis=1)[:, :keep]

@@ -45,6 +45,20 @@ def test_recall_against_brute_force(spark):
     assert total == 400 and hits / total >= 0.9
 
 
+def test_an_offset_all_vectors_share_costs_nothing(spark):
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(600, 16))
+    found = []
+    for offset in (0.0, 1e8):
+        data = spread + offset
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+        out = hilbert.nearest(df).toPandas()
+        ids = np.arange(600)
+        hits = [len({i for i, _ in brute(ids, data, q)} & set(g["vec_id"])) for q, g in out.groupby("query_id")]
+        found.append(sum(hits))
+    assert found == [60, 60]
+
+
 def test_copies_ties_and_rows_that_take_no_part(spark):
     one, two = [1.0, 0.0, 0.0], [1.0, 1.0, 0.0]
     rows = [(i, one) for i in range(0, 130)] + [(200, two), (201, two), (300, None), (301, []), (302, [0.0] * 3),
