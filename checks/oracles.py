@@ -625,4 +625,42 @@ GROUP BY ALL
       SELECT count(*) FILTER (n > 1) AS n_groups, (sum(n - 1) FILTER (n > 1))::BIGINT AS n_removed,
              count(*) AS n_kept, sum(kept)::BIGINT AS sum_ids FROM g""",
     "csv_with_schema_customer": "SELECT * FROM customer",
+    # what is refused: errors by case, counts where a case is accepted
+    "empty_sources_customer": """
+      WITH s AS (SELECT 'all' AS name, count(*) AS n FROM customer
+                 UNION ALL SELECT 'in debt', count(*) FROM customer WHERE c_acctbal < 0
+                 UNION ALL SELECT 'none', count(*) FROM customer WHERE c_acctbal > 1e12)
+      SELECT name, CASE WHEN n = 0 THEN 'EmptyDataError' END AS error, CASE WHEN n > 0 THEN n END AS n_rows FROM s""",
+    "normalize_checked_customer": f"""
+      SELECT 'trim' AS name, NULL::VARCHAR AS error, sum(length(trim(coalesce(c_name, ''), {_SPACES})))::BIGINT AS n_chars FROM customer
+      UNION ALL SELECT 'lowercase', NULL, sum(length(lower(coalesce(c_name, ''))))::BIGINT FROM customer
+      UNION ALL SELECT 'email', NULL, sum(length(lower(trim(coalesce(c_name, ''), {_SPACES}))))::BIGINT FROM customer
+      UNION ALL SELECT 'phone', NULL, sum(length(regexp_replace(coalesce(c_name, ''), '[^0-9]', '', 'g')))::BIGINT FROM customer
+      UNION ALL SELECT 'uppercase', 'CleaningError', NULL
+      UNION ALL SELECT 'no such column', 'ColumnNotFoundError', NULL""",
+    "keys_checked_documents": """
+      SELECT 'lang' AS name, NULL::VARCHAR AS error, count(*) AS n_kept FROM (SELECT DISTINCT coalesce(lang, '') FROM documents)
+      UNION ALL SELECT 'lang, source', NULL, count(*) FROM (SELECT DISTINCT coalesce(lang, ''), coalesce(source, '') FROM documents)
+      UNION ALL SELECT 'none', 'InvalidConfigError', NULL
+      UNION ALL SELECT 'author', 'ColumnNotFoundError', NULL
+      UNION ALL SELECT 'lang, author', 'ColumnNotFoundError', NULL""",
+    "linkage_configs_documents": """
+      SELECT 'good' AS name, NULL::VARCHAR AS error, sum(n * (n - 1) / 2)::BIGINT AS n_pairs
+      FROM (SELECT count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY n_chars)
+      UNION ALL SELECT 'nothing to compare', 'InvalidConfigError', NULL
+      UNION ALL SELECT 'unknown comparison', 'InvalidConfigError', NULL
+      UNION ALL SELECT 'unknown column', 'ColumnNotFoundError', NULL
+      UNION ALL SELECT 'unknown blocking column', 'ColumnNotFoundError', NULL
+      UNION ALL SELECT 'threshold of zero', 'InvalidConfigError', NULL""",
+    "threshold_cap_documents": f"""
+      WITH {document_scored(DOCUMENTS_GIVEN)},
+      t AS (SELECT * FROM (VALUES (NULL::DOUBLE, 0.9::DOUBLE), (0.95, 0.95), (0.999, 0.999), (1.0, 0.999)) v(asked, threshold))
+      SELECT asked, threshold, 42::BIGINT AS seed, count(id_l) AS n_pairs
+      FROM t LEFT JOIN scored ON match_probability >= threshold GROUP BY asked, threshold""",
+    "training_refusals_documents": f"""
+      WITH g AS (SELECT count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY n_chars)
+      SELECT 'good' AS name, NULL::VARCHAR AS error,
+             round(sum(n * (n - 1) / 2) / {RECALL} / (SELECT count(*) * (count(*) - 1) / 2 FROM documents), 10)::DOUBLE AS prior FROM g
+      UNION ALL SELECT 'no equal values', 'CleaningError', NULL
+      UNION ALL SELECT 'nothing but the block', 'CleaningError', NULL""",
 }

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.config import LinkConfig
+from kindred.errors import CleaningError
 from kindred.functions.distance import indel_ratio, jaro_winklers
 from kindred.functions.text import combined_key, sorted_tokens
 from kindred.linkage.candidates import candidate_pairs, rule_forecast, with_levels
@@ -612,6 +613,103 @@ def written_result_events(spark, folder):
     return removed.crossJoin(clean.agg(F.count(F.lit(1)).alias("n_kept"), F.sum("event_id").alias("sum_ids")))
 
 
+# --- what is refused, next to what the same call gives for a good configuration -----------------
+
+def _outcomes(spark, schema, cases, run):
+    """One row per case: its name, the error's class (null if accepted) and what ``run`` counted."""
+    rows = []
+    for name, case in cases.items():
+        try:
+            rows.append((name, None, run(case)))
+        except CleaningError as error:
+            rows.append((name, type(error).__name__, None))
+    return spark.createDataFrame(rows, f"name string, error string, {schema}")
+
+
+def empty_sources_customer(spark, folder):
+    """A file without rows is refused, one with rows is read."""
+    customers = table(spark, folder, "customer")
+
+    def run(condition):
+        path = write_table(customers.where(condition), _scratch(spark) + ".csv")
+        return read_table(spark, path).count()
+
+    cases = {"all": "true", "in debt": "c_acctbal < 0", "none": "c_acctbal > 1e12"}
+    return _outcomes(spark, "n_rows bigint", cases, run)
+
+
+def normalize_checked_customer(spark, folder):
+    """Known operations on a known column give text; others are refused before any job."""
+    customers = table(spark, folder, "customer")
+
+    def run(config):
+        [column] = config
+        return normalize(customers, config).agg(F.sum(F.length(column))).first()[0]
+
+    cases = {op: {"c_name": [op]} for op in ("trim", "lowercase", "email", "phone", "uppercase")}
+    cases["no such column"] = {"c_email": ["trim"]}
+    return _outcomes(spark, "n_chars bigint", cases, run)
+
+
+def keys_checked_documents(spark, folder):
+    """Rows left by exact dedup on each list of keys; no keys and unknown ones are refused."""
+    documents = table(spark, folder, "documents")
+    cases = {"lang": ["lang"], "lang, source": ["lang", "source"], "none": [], "author": ["author"], "lang, author": ["lang", "author"]}
+    return _outcomes(
+        spark, "n_kept bigint", cases, lambda keys: dedup_exact(documents, keys, id_col="doc_id").clean.count()
+    )
+
+
+def linkage_configs_documents(spark, folder):
+    """Pairs of documents that each linkage would compare; wrong configurations are refused."""
+    documents = with_row_id(table(spark, folder, "documents"), id_col="doc_id")
+
+    def run(case):
+        config = LinkConfig(**case)
+        config.check(documents)
+        rows = record_rows(documents, config).withColumn("copies", F.lit(1))
+        return candidate_pairs(rows, None, len(config.blocking_columns)).count()
+
+    cases = {
+        "good": {"comparisons": {"n_chars": "exact"}},
+        "nothing to compare": {"comparisons": {}},
+        "unknown comparison": {"comparisons": {"n_chars": "sound"}},
+        "unknown column": {"comparisons": {"author": "exact"}},
+        "unknown blocking column": {"comparisons": {"n_chars": "exact"}, "blocking": ("author",)},
+        "threshold of zero": {"comparisons": {"n_chars": "exact"}, "threshold": 0.0},
+    }
+    return _outcomes(spark, "n_pairs bigint", cases, run)
+
+
+def threshold_cap_documents(spark, folder):
+    """Pairs found at the threshold that is asked for, at most 0.999, or at the default one."""
+    _, records = _document_records(spark, folder)
+    pairs = candidate_pairs(records, None, 2)
+    rows = []
+    for asked in (None, 0.95, 0.999, 1.0):
+        more = {} if asked is None else {"threshold": asked}
+        config = LinkConfig(DOCUMENT_CONFIG.comparisons, blocking=DOCUMENT_CONFIG.blocking, **more)
+        found = score(pairs, config, DOCUMENT_MODEL, config.threshold).count()
+        rows.append((asked, config.threshold, config.seed, found))
+    return spark.createDataFrame(rows, "asked double, threshold double, seed bigint, n_pairs bigint")
+
+
+def training_refusals_documents(spark, folder):
+    """A prior where there is something to learn from; one clear error where there is not."""
+    documents = with_row_id(table(spark, folder, "documents"), id_col="doc_id")
+
+    def run(config):
+        rows = record_rows(documents, config)
+        return round(train(merge_copies(rows), rows, None, None, config).prior, 10)
+
+    cases = {
+        "good": LinkConfig({"n_chars": "exact", "source": "exact", "lang": "exact"}, blocking=("n_chars",)),
+        "no equal values": LinkConfig({"doc_id": "exact", "lang": "exact"}, blocking=("doc_id",)),
+        "nothing but the block": LinkConfig({"source": "exact"}),
+    }
+    return _outcomes(spark, "prior double", cases, run)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -636,6 +734,7 @@ QUERIES = {
         link_audit_parties, link_trained_parties, dedupe_certain_documents, linkage_plan_documents,
         explain_pairs_documents, csv_round_trip_customer, csv_round_trip_conversations,
         parquet_round_trip_events, csv_with_schema_customer, written_result_events,
-        numbered_lineitem,
+        numbered_lineitem, empty_sources_customer, normalize_checked_customer, keys_checked_documents,
+        linkage_configs_documents, threshold_cap_documents, training_refusals_documents,
     )
 }
