@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred.plans.cut import shared_folder
 from kindred.plans.ids import quoted
@@ -42,13 +42,24 @@ def as_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new table in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table that was ``written`` and that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and go on from the copy.
 
     Like a checkpoint, but compressed and column by column, so that later steps read only what
     they need. Lost executors cost nothing: the files lie in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    path = path or new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
