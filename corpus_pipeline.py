@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.llm import line_dedup, mixing, packing, simhash, toxicity
-from kindred.llm.common import written
+from kindred.llm.common import drop_folder, new_folder, written
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,8 +57,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage keeps is written to the shared folder, as the next
-    one reads it several times and lost executors must not bring back all stages before it."""
+    one reads it several times and lost executors must not bring back all stages before it. Once
+    the next one is written too, it is deleted; only what the last stage reads stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = new_folder(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
