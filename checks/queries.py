@@ -12,7 +12,7 @@ from kindred.errors import CleaningError
 from kindred.functions.distance import indel_ratio, jaro_winklers
 from kindred.functions.text import combined_key, sorted_tokens
 from kindred.linkage.candidates import (
-    candidate_levels, candidate_pairs, rule_forecast, with_levels,
+    candidate_levels, candidate_pairs, needed_agreement, rule_forecast, with_levels,
 )
 from kindred.linkage.model import LinkModel, explain_pairs, match_weights
 from kindred.linkage.records import merge_copies, record_rows
@@ -28,7 +28,7 @@ from kindred.operators.exact import dedup_exact
 from kindred.operators.fuzzy import batch_scorer, block_pairs, dedup_fuzzy, match_keys
 from kindred.operators.normalize import normalize
 from kindred.operators.profile import common_columns, preview, profile_columns, profile_summary
-from kindred.plans.cut import shared_folder
+from kindred.plans.cut import cut_lineage, shared_folder
 from kindred.plans.ids import with_row_id
 from kindred.plans.pairs import pair_forecast
 from kindred.sources.tables import read_numbered, read_table, write_result, write_table
@@ -459,7 +459,8 @@ def trained_weights_suppliers(spark, folder):
 
 def predict_fixed_weights_documents(spark, folder):
     _, records = _document_records(spark, folder)
-    pairs = candidate_pairs(records, None, 2)
+    needed = needed_agreement(DOCUMENT_CONFIG, DOCUMENT_MODEL, DOCUMENT_CONFIG.threshold)
+    pairs = candidate_pairs(cut_lineage(records), None, 2, also_equal=needed)
     return score(pairs, DOCUMENT_CONFIG, DOCUMENT_MODEL, DOCUMENT_CONFIG.threshold).select(
         "id_l", "id_r", "gamma_0", "gamma_1", "gamma_2", "gamma_3",
         F.bround("match_weight", 6).alias("match_weight"),
@@ -686,11 +687,14 @@ def linkage_configs_documents(spark, folder):
 def threshold_cap_documents(spark, folder):
     """Pairs found at the threshold that is asked for, at most 0.999, or at the default one."""
     _, records = _document_records(spark, folder)
-    pairs = candidate_pairs(records, None, 2)
+    records = cut_lineage(records)
     rows = []
     for asked in (None, 0.95, 0.999, 1.0):
         more = {} if asked is None else {"threshold": asked}
         config = LinkConfig(DOCUMENT_CONFIG.comparisons, blocking=DOCUMENT_CONFIG.blocking, **more)
+        # pairs that agree on too little to reach the threshold are not made
+        needed = needed_agreement(config, DOCUMENT_MODEL, config.threshold)
+        pairs = candidate_pairs(records, None, 2, also_equal=needed)
         found = score(pairs, config, DOCUMENT_MODEL, config.threshold).count()
         rows.append((asked, config.threshold, config.seed, found))
     return spark.createDataFrame(rows, "asked double, threshold double, seed bigint, n_pairs bigint")
