@@ -6,6 +6,7 @@ import pytest
 from kindred.functions import distance
 from kindred.functions.distance import IndelTexts, indel_ratios
 from kindred.operators import fuzzy
+from kindred.operators.fuzzy import SCORERS, assign_representatives
 
 
 @pytest.mark.parametrize("few, lane, step", [(0, 8, 7), (0, 1 << 14, 64), (48, 1 << 14, 64)])
@@ -41,3 +42,20 @@ def test_common_signatures_are_not_joined(spark, monkeypatch):
     ids = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
     score = indel_ratios([texts[i] for i, _ in ids], [texts[j] for _, j in ids])
     assert got == [p for p, s in zip(ids, score) if s >= 85] and got
+
+
+def test_sweeps_that_remove_nothing_end(spark, monkeypatch):
+    """Small blocks that one sweep decides say nothing about the long texts of a large one."""
+    rng = random.Random(8)
+    rows = [(f"b{i // 6}", i, f"b{i // 6} {i}") for i in range(360)]
+    texts = ["".join(rng.choices("abcdefghij", k=400)) for _ in range(100)]
+    texts += [t[:-3] for t in texts[:5]]
+    rows += [("x", 1000 + i, t) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "block string, node long, text string")
+    sweeps, plain = [], fuzzy._sweep
+    monkeypatch.setattr(fuzzy, "_sweep", lambda *a: sweeps.append(a) or plain(*a))
+    got = [
+        tuple(r) for r in assign_representatives(nodes, SCORERS["ratio"], 90, leaders=16).collect() if r["node"] >= 1000
+    ]
+    assert sorted(got) == [(1100 + i, 1000 + i) for i in range(5)]
+    assert len(sweeps) == 1
