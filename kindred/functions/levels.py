@@ -10,12 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from kindred.functions.compare import EMAIL_LEVEL, NAME_LEVELS, email_levels, name_levels, top_level
+from kindred.functions.compare import EMAIL_LEVEL, NAME_LEVELS, top_level
 from kindred.functions.distance import jaro_winklers
 
 # Types with a kernel below; dates are left to the built-in expressions.
 GRID_TYPES = ("exact", "name", "email", "phone")
 _SHORT = 64  # bytes; longer texts go pair by pair
+_PAIRS = 8_192  # single pairs compared at once
 
 
 def _word(bits: int):
@@ -52,6 +53,7 @@ class Texts:
                 bits[:, :used] = np.packbits(self.matrix == byte, axis=1, bitorder="little")
                 self.where[byte] = bits.view("<u8")[:, 0].astype(self.word)
         self._windows: dict[int, list[np.ndarray]] = {}
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def _reach(self, length: int) -> list[np.ndarray]:
         """Per position of a text of this length, the positions it may match in each of the many."""
@@ -106,6 +108,60 @@ class Texts:
             out[long - start] = jaro_winklers(pa.array([text] * len(rest), pa.string()), pa.array(rest, pa.string()))
         return out
 
+    def jaro_winkler_pairs(self, left: "Texts", at_l: np.ndarray, at_r: np.ndarray) -> np.ndarray:
+        """Similarity of texts of ``left`` (first) with some of the many (second), pair by pair."""
+        out = np.empty(len(at_l))
+        for start in range(0, len(at_l), _PAIRS):
+            part = slice(start, start + _PAIRS)
+            out[part] = self._pairs(left, at_l[part], at_r[part])
+        long = np.flatnonzero(np.isin(at_l, left.long) | np.isin(at_r, self.long)) if len(left.long) + len(self.long) else ()
+        if len(long):
+            texts = ([left.texts[i] for i in at_l[long]], [self.texts[i] for i in at_r[long]])
+            out[long] = jaro_winklers(*(pa.array(t, pa.string()) for t in texts))
+        return out
+
+    def _pairs(self, left: "Texts", at_l: np.ndarray, at_r: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            rows = np.zeros(256, np.int64)
+            rows[list(self.where)] = np.arange(1, len(self.where) + 1)
+            self._table = rows, np.stack([np.zeros(len(self.texts), self.word), *self.where.values()])
+        rows, table = self._table
+        first_text = left.matrix[at_l]
+        sizes_l, sizes_r = left.lengths[at_l], self.lengths[at_r]
+        window = np.maximum(np.maximum(sizes_l, sizes_r) // 2 - 1, 0)
+        wide, column = np.arange(_SHORT // 2), rows[first_text]
+        free = self.every[at_r]
+        count, moved = np.zeros(len(at_l), np.uint8), np.zeros(len(at_l), np.uint8)
+        hits = []
+        for i in range(int(sizes_l.max(initial=0))):
+            places = table[column[:, i], at_r]
+            low = np.maximum(i - wide, 0)
+            reach = (_ones(np.minimum(i + wide + 1, 64) - low) << low.astype(np.uint64)).astype(self.word)
+            first = places & free
+            first &= reach[window]
+            first &= np.negative(first)
+            free ^= first
+            hit = first != 0
+            count += hit
+            hits.append((places, hit))
+        used = self.every[at_r] ^ free
+        for places, hit in hits:
+            lowest = used & np.negative(used)
+            lowest &= np.negative(hit.astype(self.word))
+            used ^= lowest
+            lowest &= places
+            moved += hit & (lowest == 0)
+        m = count.astype(np.int64)
+        some = np.maximum(m, 1)
+        jaro = np.where(
+            m > 0, (m / np.maximum(sizes_l, 1) + m / np.maximum(sizes_r, 1) + (m - moved // 2) / some) / 3.0, 0.0
+        )
+        prefix, alike = np.zeros(len(m), np.int64), np.ones(len(m), bool)
+        for i in range(min(4, left.width, self.width)):
+            alike &= (first_text[:, i] == self.matrix[at_r, i]) & (i < sizes_l)
+            prefix += alike
+        return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
+
     def edits(self, text: str, start: int) -> np.ndarray:
         """Levenshtein distance (Myers 1999) in bytes; 3 stands for 3 and more where a text is long."""
         one = text.encode()
@@ -165,6 +221,7 @@ class LevelRows:
         self.unknown = self.code_r < 0
         self.right = right
         self._laid_out = False
+        self.left_texts = None
 
     def _lay_out(self) -> None:
         if self.kind == "exact" or self._laid_out:
@@ -176,6 +233,13 @@ class LevelRows:
             self.users = Texts([_user(v) for v in known])
             self.user_l, self.user_r = codes([_user(v or "") or None for v in self.left], [_user(v) or None for v in known])
 
+    def _lay_out_left(self) -> None:
+        self._lay_out()
+        if self.left_texts is None:
+            known = ["" if v is None else v for v in self.left]
+            self.left_texts = Texts(known)
+            self.left_users = Texts([_user(v) for v in known]) if self.kind == "email" else None
+
     def equal(self, i: int, start: int) -> np.ndarray:
         if self.code_l[i] < 0:
             return np.zeros(len(self.code_r) - start, bool)
@@ -210,15 +274,19 @@ class LevelRows:
         out = np.where(self.code_l[at_l] == self.code_r[at_r], self.top, 0).astype(np.int8)
         out[(self.code_l[at_l] < 0) | (self.code_r[at_r] < 0)] = -1
         open_ = out == 0
-        if self.kind == "email" and open_.any():
-            users = [[_user(v or "") or None for v in side] for side in (self.left, self.right)]
-            user_l, user_r = codes(*users)
-            out[open_ & (user_l[at_l] >= 0) & (user_l[at_l] == user_r[at_r])] = 3
+        if not open_.any():
+            return out
+        self._lay_out_left()
+        if self.kind == "email":
+            out[open_ & (self.user_l[at_l] >= 0) & (self.user_l[at_l] == self.user_r[at_r])] = 3
             open_ = out == 0
-        if open_.any():
-            a = pa.array([self.left[i] for i in at_l[open_]], pa.string())
-            b = pa.array([self.right[i] for i in at_r[open_]], pa.string())
-            out[open_] = (name_levels if self.kind == "name" else email_levels)(a, b)
+        l, r = at_l[open_], at_r[open_]
+        score = self.texts.jaro_winkler_pairs(self.left_texts, l, r)
+        if self.kind == "name":
+            out[open_] = sum((score >= limit).astype(np.int8) for limit in NAME_LEVELS)
+        else:
+            by_user = self.users.jaro_winkler_pairs(self.left_users, l, r) >= EMAIL_LEVEL
+            out[open_] = np.where(score >= EMAIL_LEVEL, 2, by_user)
         return out
 
 

@@ -2,7 +2,7 @@
 
 A join hands every pair of a group over as a row of its own, with all compared values, and text
 comparisons pay for each. Here the rows of a large group are cut into a grid: every tile is one task that holds
-up to GRID_ROWS records of each side, compares one record with all of the other side at once
+up to GRID_ROWS records of each side (GRID_WIDE of a second table), compares one record with all of the other side at once
 (``functions.levels``), and returns what is asked for: all pairs with their levels, those that can reach a
 threshold, or how many pairs agree in which way.
 """
@@ -26,6 +26,7 @@ from kindred.plans.cut import cut_lineage
 from kindred.plans.pairs import spread
 
 GRID_ROWS = 2_000
+GRID_WIDE = 16_000   # rows of the second of two tables, which one record meets at once
 GRID_PAIRS = 10_000  # pairs from which a group is worth a task of its own
 _FLUSH = 200_000     # pairs in a batch that leaves a task
 
@@ -45,8 +46,9 @@ def large_groups(left: DataFrame, right: DataFrame | None, on: list[str], names:
     n = sizes(left, "l")
     both = n.withColumn("_n_r", F.col("_n_l")) if right is None else n.join(sizes(right, "r"), names)
     many = both.where(F.col("_n_l") * F.col("_n_r") >= GRID_PAIRS)
+    rows = {"l": GRID_ROWS, "r": GRID_ROWS if right is None else GRID_WIDE}
     return cut_lineage(many.select(
-        *names, *(F.ceil(F.col(f"_n_{s}") / GRID_ROWS).cast("bigint").alias(f"_tiles_{s}") for s in "lr")
+        *names, *(F.ceil(F.col(f"_n_{s}") / rows[s]).cast("bigint").alias(f"_tiles_{s}") for s in "lr")
     ))
 
 
